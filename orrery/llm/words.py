@@ -154,9 +154,9 @@ def shingle_sets(words: Words, size: int = 5) -> Iterator[np.ndarray]:
             yield windows(words.hash[a:b], b - a) if b > a else np.zeros(0, U)
 
 
-def lists(counts: np.ndarray, values: np.ndarray) -> pa.Array:
+def lists(counts: np.ndarray, values: np.ndarray | pa.Array) -> pa.Array:
     """List array whose i-th list has the next ``counts[i]`` of ``values``."""
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values if isinstance(values, pa.Array) else pa.array(values))
 
 
 def blobs(counts: np.ndarray, data: np.ndarray) -> pa.Array:
