@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from .scratch import Scratch
 def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) of every id in ``edges``: the smallest id reachable.
 
-    Alternates large-star and small-star until no edge changes.  Each step
+    Alternates large-star and small-star until the edges are stars.  Each step
     hooks ids to the smallest neighbour they see, so the number of steps grows
     with the logarithm of the longest path.  A step only takes minima per id
     (combined before the shuffle) and one equi-join that adaptive execution
@@ -19,9 +21,14 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
     an empty table gives an empty result.
     """
     now = edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u < v").distinct()
-    now, step = scratch.write(now, "cc0"), 0
-    was = None
+    name, step = f"cc{uuid.uuid4().hex[:6]}-", 0
+    now = scratch.write(now, f"{name}0")
     while True:
+        # A star forest is done: no leaf has two centres, and no centre is a leaf.
+        role = now.select(F.col("v").alias("id"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")).union(now.select("u", F.lit(0), F.lit(1)))
+        role = role.groupBy("id").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre"))
+        if role.where("leaf > 1 or (leaf = 1 and centre = 1)").isEmpty():
+            break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("m").alias("u"), "v").where("u < v").distinct()
@@ -34,12 +41,7 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
             .distinct()
         )
         step += 1
-        now = scratch.write(small, f"cc{step}")
-        # A star forest is a fixed point: no id is both a centre and a leaf, and no leaf has two centres.
-        sums = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
-        scratch.drop(f"cc{step - 1}")
-        if tuple(sums) == was:
-            break
-        was = tuple(sums)
+        now = scratch.write(small, f"{name}{step}")
+        scratch.drop(f"{name}{step - 1}")
     leaves = now.select(F.col("v").alias("id"), F.col("u").alias("component"))
     return leaves.unionByName(now.select(F.col("u").alias("id"), F.col("u").alias("component")).distinct())

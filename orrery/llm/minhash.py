@@ -8,10 +8,10 @@ and the attempt alone, so equal sets borrow alike).  ``rows`` neighbouring
 values of a group make a band.  Texts with equal sets are one class first and
 only its smallest id goes on, so thousands of exact copies cost one row.
 Classes that share a band share a bucket, and each bucket links its members to
-one hub only, which keeps candidate pairs linear in the input; buckets whose
-members stay apart are dealt again with other hubs until a round finds no
-link.  Candidates pass a test of sizes (exact), a test of the whole signature
-(``screen``, some six standard deviations below the threshold) and then the
+one hub only, which keeps candidate pairs linear in the input.  Buckets whose
+members then lie in several components are dealt again, with a hub of each of
+up to ``HUBS`` components, until a round finds no link.  Candidates pass a test of sizes (exact), a test of the whole signature
+(``screen``, between five and six standard deviations below the threshold) and then the
 exact test on the full sets.
 
 Scale.  Every shuffle moves ids and 64-bit keys; texts are read twice (for
@@ -26,14 +26,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import Scratch
 from .words import VISIBLE, U, Words, blobs, lists, mix, shingle_sets, slices
 
-GROUPS, BINS, ROWS = 8, 25, 5
+GROUPS, BINS, ROWS = 4, 24, 4
 SCREEN = 0.5
+#: Hubs of a bucket that is dealt again.
+HUBS = 8
 
 
 def _densify(values: np.ndarray) -> np.ndarray:
@@ -116,6 +119,12 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([b.column("a").filter(pa.array(keep)), b.column("b").filter(pa.array(keep))], ["a", "b"])
 
 
+def _screened(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    sig = reps.select("id", "sig")
+    pairs = pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
+    return pairs.mapInArrow(_alike, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row of ``docs``.
 
@@ -141,39 +150,48 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = signed.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
     reps = scratch.write(reps.select("id", "n", "sig", "bands"), "reps")
     member = reps.select(F.explode("bands").alias("key"), "id", "n")
-    links, round_ = None, 0
+    hub = F.min(F.struct(F.xxhash64("id").alias("r"), F.col("id").alias("hub"), F.col("n").alias("hub_n"))).alias("h")
+    hubs = member.groupBy("key").agg(hub, F.count("*").alias("m")).where("m > 1")
+    # What shares a bucket at all; the rest of the operator reads this small part only.
+    shared = scratch.write(member.join(hubs.select("key", "m", "h.hub", "h.hub_n"), "key"), "shared")
+    scratch.release()
+    fits = f"id <> hub and 100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)"
+    star = shared.where(fits)
+    links, known, parts = None, [], []
     comp = None
     while True:
-        if comp is not None:
-            member = opened.join(comp.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))  # noqa: F821
-        hub = F.min(F.struct(F.xxhash64("key", "id", F.lit(round_)).alias("r"), F.col("id").alias("hub"), F.col("n").alias("hub_n"), *([F.col("c").alias("hub_c")] if comp is not None else []))).alias("h")
-        hubs = member.groupBy("key").agg(hub, F.count("*").alias("m"), *([F.min("c").alias("c0"), F.max("c").alias("c1")] if comp is not None else []))
-        hubs = hubs.where("c0 < c1" if comp is not None else "m > 1").select("key", "h.*", "m")
-        star = member.join(hubs, "key").where("id <> hub and 100 * least(n, hub_n) >= %d * greatest(n, hub_n)" % percent)
-        if comp is not None:
-            star = star.where("c <> hub_c")
         pairs = star.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-        sig = reps.select("id", "sig")
-        pairs = pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
-        pairs = scratch.write(pairs.mapInArrow(_alike, "a long, b long"), f"pairs{round_}")
+        pairs = scratch.write(_screened(pairs, reps), f"pairs{len(parts)}")
         ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        sets = text.join(ends, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(size), "id long, s array<long>")
-        sets = scratch.write(sets, f"sets{round_}")
+        for sets in known:
+            ends = ends.join(sets.select("id"), "id", "left_anti")
+        if not known or not ends.isEmpty():
+            sets = text.join(ends, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(size), "id long, s array<long>")
+            known.append(scratch.write(sets, f"sets{len(parts)}"))
+        sets = known[0]
+        for more in known[1:]:
+            sets = sets.unionByName(more)
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
-        found = scratch.write(both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b"), f"links{round_}")
-        scratch.drop(f"sets{round_}")
-        new = not found.isEmpty()
-        links = found if links is None else links.unionByName(found)
-        if comp is not None and not new:
+        found = scratch.write(both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b"), f"links{len(parts)}")
+        parts.append(found)
+        if len(parts) > 1 and found.isEmpty():
             break
-        comp = scratch.write(components(links, scratch), f"comp{round_}")
-        if round_ == 0:
-            # Buckets of two are settled; larger ones stay while they hold more than one component.
-            c = member.join(hubs.where("m > 2").select("key"), "key", "left_semi").join(comp.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
-            split = c.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1")
-            opened = scratch.write(c.join(split.select("key"), "key", "left_semi").select("key", "id", "n"), "open")
-        round_ += 1
+        links = found if links is None else links.unionByName(found)
+        comp = scratch.write(components(links, scratch), f"comp{len(parts)}")
+        labelled = comp.withColumnRenamed("component", "c")
+        if len(parts) == 1:
+            # Buckets of two are settled; larger ones stay open while they hold several components.
+            opened = shared.where("m > 2").select("key", "id", "n")
+        opened = opened.join(labelled, "id", "left").select("key", "id", "n", F.coalesce("c", "id").alias("c"))
+        split = opened.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1")
+        now = scratch.write(opened.join(split.select("key"), "key", "left_semi"), f"open{len(parts)}")
+        # One member of each of some components is a hub to all that lie in others.
+        each = now.groupBy("key", "c").agg(F.min(F.struct(F.xxhash64("id", F.lit(len(parts))).alias("r"), F.col("id").alias("hub"), F.col("n").alias("hub_n"))).alias("h"))
+        few = each.withColumn("k", F.row_number().over(W.partitionBy("key").orderBy("h.r"))).where(F.col("k") <= HUBS)
+        star = now.join(few.select("key", F.col("c").alias("hub_c"), "h.hub", "h.hub_n"), "key").where("c <> hub_c and " + fits)
+        opened = now.drop("c")
+        scratch.release()
     whole = signed.select("id", "n", "k1", "k2").join(classes, ["k1", "k2"], "left").join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", "rep", "id")
     return whole.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id") == component).alias("kept"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -37,3 +38,8 @@ class Scratch:
         jvm = self.spark._jvm
         at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def release(self) -> None:
+        """Let Spark remove the shuffle files of plans that nothing refers to any more."""
+        gc.collect()
+        self.spark._jvm.System.gc()
