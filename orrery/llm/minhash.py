@@ -11,7 +11,7 @@ Classes that share a band share a bucket, and each bucket links its members to
 one hub only, which keeps candidate pairs linear in the input.  Buckets whose
 members then lie in several components are dealt again, with a hub of each of
 up to ``HUBS`` components, until a round finds no link.  Candidates pass a test of sizes (exact), a test of the whole signature
-(``screen``, between five and six standard deviations below the threshold) and then the
+(``screen``, some five standard deviations below the threshold) and then the
 exact test on the full sets.
 
 Scale.  Every shuffle moves ids and 64-bit keys; texts are read twice (for
@@ -33,10 +33,12 @@ from .components import components
 from .scratch import Scratch
 from .words import VISIBLE, U, Words, blobs, lists, mix, shingle_sets, slices
 
-GROUPS, BINS, ROWS = 4, 24, 4
-SCREEN = 0.5
+GROUPS, BINS, ROWS = 8, 24, 4
+#: Groups whose values make bands; all groups make the signature that screens pairs.
+BANDED = 4
+SCREEN = 0.6
 #: Hubs of a bucket that is dealt again.
-HUBS = 8
+HUBS = 4
 
 
 def _densify(values: np.ndarray) -> np.ndarray:
@@ -92,7 +94,8 @@ def _sign(size: int):
                 key[full] = [(s.sum(dtype=U), mix(s).sum(dtype=U)) for s in some]
             found = signatures(some) if some else np.zeros((0, GROUPS * BINS), np.uint32)
             sig = blobs(full * found.shape[1], (found & np.uint32(255)).astype(np.uint8).ravel())
-            keys = lists(full * (found.shape[1] // ROWS), bands(found).view(np.int64).ravel())
+            banded = bands(found[:, : BANDED * BINS])
+            keys = lists(full * banded.shape[1], banded.view(np.int64).ravel())
             key = key.view(np.int64)
             yield pa.record_batch(
                 [part.column("id"), pa.array(n), pa.array(key[:, 0]), pa.array(key[:, 1]), sig, keys],
