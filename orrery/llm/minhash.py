@@ -8,9 +8,10 @@ and the attempt alone, so equal sets borrow alike).  ``rows`` neighbouring
 values of a group make a band.  Texts with equal sets are one class first and
 only its smallest id goes on, so thousands of exact copies cost one row.
 Classes that share a band share a bucket, and each bucket links its members to
-one hub only, which keeps candidate pairs linear in the input.  Buckets whose
-members then lie in several components are dealt again, with a hub of each of
-up to ``HUBS`` components, until a round finds no link.  Candidates pass a test of sizes (exact), a test of the whole signature
+one hub only, which keeps candidate pairs linear in the input.  Members of
+buckets that then hold several components are dealt again by pairs of bands,
+each such bucket with a hub of its own, until a round finds no link.
+Candidates pass a test of sizes (exact), a test of the whole signature
 (``screen``, some five standard deviations below the threshold) and then the
 exact test on the full sets.
 
@@ -26,7 +27,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import components
@@ -37,8 +37,6 @@ GROUPS, BINS, ROWS = 8, 24, 4
 #: Groups whose values make bands; all groups make the signature that screens pairs.
 BANDED = 4
 SCREEN = 0.6
-#: Hubs of a bucket that is dealt again.
-HUBS = 4
 
 
 def _densify(values: np.ndarray) -> np.ndarray:
@@ -183,17 +181,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = found if links is None else links.unionByName(found)
         comp = scratch.write(components(links, scratch), f"comp{len(parts)}")
         labelled = comp.withColumnRenamed("component", "c")
+        named = lambda rows: rows.join(labelled, "id", "left").select("key", "id", "n", F.coalesce("c", "id").alias("c"))
         if len(parts) == 1:
-            # Buckets of two are settled; larger ones stay open while they hold several components.
-            opened = shared.where("m > 2").select("key", "id", "n")
-        opened = opened.join(labelled, "id", "left").select("key", "id", "n", F.coalesce("c", "id").alias("c"))
-        split = opened.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1")
-        now = scratch.write(opened.join(split.select("key"), "key", "left_semi"), f"open{len(parts)}")
-        # One member of each of some components is a hub to all that lie in others.
-        each = now.groupBy("key", "c").agg(F.min(F.struct(F.xxhash64("id", F.lit(len(parts))).alias("r"), F.col("id").alias("hub"), F.col("n").alias("hub_n"))).alias("h"))
-        few = each.withColumn("k", F.row_number().over(W.partitionBy("key").orderBy("h.r"))).where(F.col("k") <= HUBS)
-        star = now.join(few.select("key", F.col("c").alias("hub_c"), "h.hub", "h.hub_n"), "key").where("c <> hub_c and " + fits)
-        opened = now.drop("c")
+            # Buckets of two are settled.  Larger ones that hold several components are dealt by
+            # pairs of bands, which alike sets share often and others hardly ever.
+            rows = named(shared.where("m > 2"))
+            split = rows.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1")
+            keys = rows.join(split.select("key"), "key", "left_semi").groupBy("id", "n").agg(F.array_sort(F.collect_set("key")).alias("ks"))
+            two = F.flatten(F.transform("ks", lambda k, i: F.transform(F.slice("ks", i + 2, F.size("ks")), lambda m: F.xxhash64(k, m))))
+            opened = scratch.write(keys.select("id", "n", F.explode(two).alias("key")), "deeper")
+        now = named(opened)
+        hub = F.min(F.struct(F.xxhash64("key", "id", F.lit(len(parts))).alias("r"), F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("c").alias("hub_c"))).alias("h")
+        hubs = now.groupBy("key").agg(hub, F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1")
+        now = scratch.write(now.join(hubs.select("key", "m", "h.hub", "h.hub_n", "h.hub_c"), "key"), f"open{len(parts)}")
+        star = now.where("c <> hub_c and " + fits)
+        opened = now.where("m > 2").select("key", "id", "n")
         scratch.release()
     whole = signed.select("id", "n", "k1", "k2").join(classes, ["k1", "k2"], "left").join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", "rep", "id")
