@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lattice, minhash, mixing, quality, tokens
+from . import decontaminate, lattice, minhash, mixing, quality, suffix, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.without_repeats(_table(spark, sf_dir, "documents")).drop("runs")
+
+
 def op8_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_vectors(_table(spark, sf_dir, "embeddings"))
 
