@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lattice, minhash, mixing, quality, suffix, tokens
+from . import chains, decontaminate, lattice, minhash, mixing, ngram, quality, suffix, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,16 +40,31 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.without_repeats(_table(spark, sf_dir, "documents")).drop("runs")
 
 
+def op7_chained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chains.passages(_table(spark, sf_dir, "documents"))
+
+
 def op8_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = _table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0")
+    return ngram.cross_entropy_difference(_table(spark, sf_dir, "documents"), good)
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_ids(_table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
