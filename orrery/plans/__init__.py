@@ -1 +1 @@
-
+"""Relations over the driver's tables and the registered queries."""
