@@ -37,6 +37,8 @@ GROUPS, BINS, ROWS = 8, 24, 4
 #: Groups whose values make bands; all groups make the signature that screens pairs.
 BANDED = 4
 SCREEN = 0.6
+#: Bands that a band is paired with when buckets are dealt again, and orders of documents from which those buckets take their hubs.
+NEAR, ORDERS = 4, 8
 
 
 def _densify(values: np.ndarray) -> np.ndarray:
@@ -150,7 +152,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = scratch.write(signed.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep")), "classes")
     reps = signed.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
     reps = scratch.write(reps.select("id", "n", "sig", "bands"), "reps")
-    member = reps.select(F.explode("bands").alias("key"), "id", "n")
+    member = reps.select(F.posexplode("bands").alias("band", "key"), "id", "n")
     hub = F.min(F.struct(F.xxhash64("id").alias("r"), F.col("id").alias("hub"), F.col("n").alias("hub_n"))).alias("h")
     hubs = member.groupBy("key").agg(hub, F.count("*").alias("m")).where("m > 1")
     # What shares a bucket at all; the rest of the operator reads this small part only.
@@ -167,6 +169,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for sets in known:
             ends = ends.join(sets.select("id"), "id", "left_anti")
         if not known or not ends.isEmpty():
+            # As a table its size is known: where it is small the texts are not shuffled to meet it.
+            ends = scratch.write(ends, f"ends{len(parts)}")
             sets = text.join(ends, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(size), "id long, s array<long>")
             known.append(scratch.write(sets, f"sets{len(parts)}"))
         sets = known[0]
@@ -181,17 +185,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = found if links is None else links.unionByName(found)
         comp = scratch.write(components(links, scratch), f"comp{len(parts)}")
         labelled = comp.withColumnRenamed("component", "c")
-        named = lambda rows: rows.join(labelled, "id", "left").select("key", "id", "n", F.coalesce("c", "id").alias("c"))
+        named = lambda rows, *more: rows.join(labelled, "id", "left").select("key", *more, "id", "n", F.coalesce("c", "id").alias("c"))
         if len(parts) == 1:
             # Buckets of two are settled.  Larger ones that hold several components are dealt by
             # pairs of bands, which alike sets share often and others hardly ever.
-            rows = named(shared.where("m > 2"))
+            rows = named(shared.where("m > 2"), "band")
             split = rows.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1")
-            keys = rows.join(split.select("key"), "key", "left_semi").groupBy("id", "n").agg(F.array_sort(F.collect_set("key")).alias("ks"))
-            two = F.flatten(F.transform("ks", lambda k, i: F.transform(F.slice("ks", i + 2, F.size("ks")), lambda m: F.xxhash64(k, m))))
+            keys = rows.join(split.select("key"), "key", "left_semi").groupBy("id", "n").agg(F.map_from_entries(F.collect_list(F.struct("band", "key"))).alias("ks"))
+            near = lambda b: F.transform(F.sequence(F.lit(1), F.lit(NEAR)), lambda k: F.xxhash64(F.element_at("ks", b), F.element_at("ks", (b + k) % (BANDED * BINS // ROWS)), b) * F.when(F.map_contains_key("ks", (b + k) % (BANDED * BINS // ROWS)), 1))
+            two = F.filter(F.flatten(F.transform(F.map_keys("ks"), near)), lambda x: x.isNotNull())
             opened = scratch.write(keys.select("id", "n", F.explode(two).alias("key")), "deeper")
         now = named(opened)
-        hub = F.min(F.struct(F.xxhash64("key", "id", F.lit(len(parts))).alias("r"), F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("c").alias("hub_c"))).alias("h")
+        hub = F.min(F.struct(F.xxhash64(F.pmod("key", F.lit(ORDERS)), "id", F.lit(len(parts))).alias("r"), F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("c").alias("hub_c"))).alias("h")
         hubs = now.groupBy("key").agg(hub, F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1")
         now = scratch.write(now.join(hubs.select("key", "m", "h.hub", "h.hub_n", "h.hub_c"), "key"), f"open{len(parts)}")
         star = now.where("c <> hub_c and " + fits)
