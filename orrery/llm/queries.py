@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import chains, decontaminate, lattice, minhash, mixing, ngram, quality, suffix, tokens
+from . import chains, decontaminate, lattice, minhash, mixing, ngram, oracle, quality, suffix, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,7 +67,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
-
-
-SQL: dict[str, str] = {}
+    return dict(oracle.SQL)
