@@ -51,7 +51,7 @@ def create_or_verify(rows: DataFrame, path: str) -> str:
     return "verified"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical(rows: pd.Series) -> pd.Series:
     """JSON text of objects given as JSON: sorted keys, default separators, letters as they are."""
     return rows.map(lambda t: None if t is None else json.dumps(json.loads(t), sort_keys=True, ensure_ascii=False))
