@@ -10,7 +10,8 @@ only its smallest id goes on, so thousands of exact copies cost one row.
 Classes that share a band share a bucket, and each bucket links its members to
 one hub only, which keeps candidate pairs linear in the input.  Members of
 buckets that then hold several components are dealt again by pairs of bands,
-each such bucket with a hub of its own, until a round finds no link.
+each such bucket with two hubs (the ends of one of a few orders of documents),
+until a round finds no link.
 Candidates pass a test of sizes (exact), a test of the whole signature
 (``screen``, some five standard deviations below the threshold) and then the
 exact test on the full sets.
@@ -196,11 +197,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             two = F.filter(F.flatten(F.transform(F.map_keys("ks"), near)), lambda x: x.isNotNull())
             opened = scratch.write(keys.select("id", "n", F.explode(two).alias("key")), "deeper")
         now = named(opened)
-        hub = F.min(F.struct(F.xxhash64(F.pmod("key", F.lit(ORDERS)), "id", F.lit(len(parts))).alias("r"), F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("c").alias("hub_c"))).alias("h")
-        hubs = now.groupBy("key").agg(hub, F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1")
+        one = F.struct(F.xxhash64(F.pmod("key", F.lit(ORDERS)), "id", F.lit(len(parts))).alias("r"), F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("c").alias("hub_c"))
+        hubs = now.groupBy("key").agg(F.array(F.min(one), F.max(one)).alias("hs"), F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1")
+        hubs = hubs.select("key", "m", F.explode("hs").alias("h"))
         now = scratch.write(now.join(hubs.select("key", "m", "h.hub", "h.hub_n", "h.hub_c"), "key"), f"open{len(parts)}")
         star = now.where("c <> hub_c and " + fits)
-        opened = now.where("m > 2").select("key", "id", "n")
+        opened = now.where("m > 2").select("key", "id", "n").distinct()
         scratch.release()
     whole = signed.select("id", "n", "k1", "k2").join(classes, ["k1", "k2"], "left").join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", "rep", "id")

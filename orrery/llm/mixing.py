@@ -167,11 +167,12 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     document taken more than once.
     """
     # The text is not shuffled with the plan's windows: the plan's few numbers are joined to it.
-    chosen = plan(docs, id_col, text_col, source_col, **options).where("taken > 0")
-    chosen = chosen.select(F.col(id_col).alias("_id"), *(F.col(c).alias(f"_{c}") for c in ("size", "start", "shard_size", "n", "q", "stride", "shift")))
-    both = docs.join(chosen, docs[id_col] == chosen["_id"]).drop("_id")
+    names = ("size", "start", "shard_size", "n", "q", "stride", "shift")
+    chosen = plan(docs, id_col, text_col, source_col, **options).where("taken > 0").select(F.col(id_col).cast("long").alias("mix_id"), *names)
+    # The other columns travel in a struct, so that their names can be any.
     others = [c for c in docs.columns if c != text_col]
-    flat = both.select(F.struct(*others).alias("rest"), F.col(text_col).alias("text"), *(F.col(f"_{c}").alias(c) for c in ("size", "start", "shard_size", "n", "q", "stride", "shift")))
+    packed = docs.select(F.col(id_col).cast("long").alias("mix_id"), F.struct(*others).alias("rest"), F.col(text_col).alias("text"))
+    flat = packed.join(chosen, "mix_id").drop("mix_id")
     schema = flat.select("rest", "text").schema
     out = flat.mapInArrow(_texts, schema)
     return out.select(*(F.col("text").alias(c) if c == text_col else F.col("rest")[c].alias(c) for c in docs.columns))

@@ -213,7 +213,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     one = one.groupBy("_id").agg(F.max("_label").alias("_label"))
     # The draw is made on ids alone; texts are fetched for the rows drawn only.
     drawn = one.orderBy(F.xxhash64("_id", F.lit(SEED)), "_id").limit(sample)
-    rows = docs.join(drawn, docs[id_col] == F.col("_id")).select(F.col("_id"), F.col(text_col).alias("_text"), "_label")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(drawn, "_id").select("_id", "_text", "_label")
     rows = sorted(((r._id, r._text or "", r._label) for r in rows.toLocalIterator()), key=lambda r: (int(mix(np.array([r[0]], np.int64).view(U))[0]), r[1]))
     return fit([r[1] for r in rows], np.array([r[2] for r in rows], np.float64))
 
