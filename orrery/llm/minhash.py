@@ -10,8 +10,8 @@ only its smallest id goes on, so thousands of exact copies cost one row.
 Classes that share a band share a bucket, and each bucket links its members to
 one hub only, which keeps candidate pairs linear in the input.  Members of
 buckets that then hold several components are dealt again by pairs of bands,
-each such bucket with two hubs (the ends of one of a few orders of documents),
-until a round finds no link.
+each such bucket with two hubs (the member with most links, and the first in one
+of a few orders of documents), until a round finds no link.
 Candidates pass a test of sizes (exact), a test of the whole signature
 (``screen``, some five standard deviations below the threshold) and then the
 exact test on the full sets.
@@ -184,9 +184,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if len(parts) > 1 and found.isEmpty():
             break
         links = found if links is None else links.unionByName(found)
-        comp = scratch.write(components(links, scratch), f"comp{len(parts)}")
+        # Components, and how many links each id has: the text that others were made from has most.
+        degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
+        comp = scratch.write(components(links, scratch).join(degree, "id"), f"comp{len(parts)}")
         labelled = comp.withColumnRenamed("component", "c")
-        named = lambda rows, *more: rows.join(labelled, "id", "left").select("key", *more, "id", "n", F.coalesce("c", "id").alias("c"))
+        named = lambda rows, *more: rows.join(labelled, "id", "left").select("key", *more, "id", "n", F.coalesce("c", "id").alias("c"), F.coalesce("links", F.lit(0)).alias("links"))
         if len(parts) == 1:
             # Buckets of two are settled.  Larger ones that hold several components are dealt by
             # pairs of bands, which alike sets share often and others hardly ever.
@@ -197,8 +199,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             two = F.filter(F.flatten(F.transform(F.map_keys("ks"), near)), lambda x: x.isNotNull())
             opened = scratch.write(keys.select("id", "n", F.explode(two).alias("key")), "deeper")
         now = named(opened)
-        one = F.struct(F.xxhash64(F.pmod("key", F.lit(ORDERS)), "id", F.lit(len(parts))).alias("r"), F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("c").alias("hub_c"))
-        hubs = now.groupBy("key").agg(F.array(F.min(one), F.max(one)).alias("hs"), F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1")
+        order = F.xxhash64(F.pmod("key", F.lit(ORDERS)), "id", F.lit(len(parts)))
+        hub = lambda r: F.struct(r.alias("r"), F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("c").alias("hub_c"))
+        hubs = now.groupBy("key").agg(F.array(F.min(hub(order)), F.max(hub(F.col("links")))).alias("hs"), F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1")
         hubs = hubs.select("key", "m", F.explode("hs").alias("h"))
         now = scratch.write(now.join(hubs.select("key", "m", "h.hub", "h.hub_n", "h.hub_c"), "key"), f"open{len(parts)}")
         star = now.where("c <> hub_c and " + fits)

@@ -149,7 +149,7 @@ def read_file(uri: str, offset: int = 0, size: int | None = None) -> bytes:
 MANIFEST = "part int, path string, documents long, ids long, bytes long"
 
 
-def files(docs: DataFrame, folder: str, save: Callable[[np.ndarray, np.ndarray, np.ndarray], bytes], path: str, end_id: int, id_col: str, text_col: str, ordinary: bool = False) -> DataFrame:
+def files(docs: DataFrame, folder: str, save: Callable[[np.ndarray, np.ndarray, np.ndarray], bytes], path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """Encode ``docs`` in ascending id order and save one file for each partition; the manifest, a row for each file.
 
     A task writes under a name of its own attempt and tells it in its row, so a
@@ -158,7 +158,7 @@ def files(docs: DataFrame, folder: str, save: Callable[[np.ndarray, np.ndarray,
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, ids, keys, counts = tokenizer(path, ordinary), [], [], []
+        own, ids, keys, counts = tokenizer(path), [], [], []
         for part in slices(batches, "text"):
             flat, count = own.encode(part.column("text"))
             ids.append(np.insert(flat, np.cumsum(count), end_id))
@@ -231,7 +231,7 @@ FLAT = np.dtype("<u2")
 SCAN = 1 << 20
 
 
-def _flat(ids: np.ndarray, keys: np.ndarray, lengths: np.ndarray) -> bytes:
+def _flat(ids: np.ndarray) -> bytes:
     if len(ids) and int(ids.max()) > 65535:
         raise ValueError("these ids don't fit into two bytes")
     return ids.astype(FLAT).tobytes()
@@ -283,19 +283,43 @@ def count_tokens(files_: DataFrame, end_id: int, block: int = SCAN, item: int =
 def document_tokens(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = 50256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start, n_tokens) of every document, by a scan of flat files of all documents' ids.
 
-    The flat files hold two-byte ids and nothing else, in ascending id order.
-    The k-th document found belongs to the k-th id, which counts of the ids of
-    each range give.  ``end_id`` must be a special token's: a text that holds its
+    The flat files hold two-byte ids and nothing else.  The k-th document found
+    belongs to the k-th document written; ``start`` counts the ids of all
+    documents of smaller ids.  ``end_id`` must be a special token's: a text that holds its
     string is encoded as ordinary text, so the id stands at ends alone.  Null
     and empty texts count their end alone; rows that repeat an id are documents
     of their own, in an order that is not told; null ids are left out; an empty
     table gives an empty result; other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "flat")
-    manifest = scratch.write(files(docs, f"{scratch.path}/files", _flat, tokenizer_path or default_tokenizer(), end_id, id_col, text_col, ordinary=True), "manifest")
-    found = count_tokens(manifest, end_id)
-    ids = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"))
-    placed = scratch.write(ids.repartitionByRange("id").sortWithinPartitions("id").withColumn("p", F.spark_partition_id()).withColumn("k", F.monotonically_increasing_id() % (1 << 33)), "ids")
-    first = placed.groupBy("p").count().withColumn("first", F.coalesce(F.sum("count").over(W.partitionBy(F.lit(1)).orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long")))
-    numbered = placed.join(first.select("p", "first"), "p").select("id", (F.col("first") + F.col("k")).alias("ordinal"))
-    return numbered.join(found, "ordinal").select(F.col("id").alias(id_col), "start", "n_tokens")
+    path, folder = tokenizer_path or default_tokenizer(), f"{scratch.path}/files"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, ids, keys = tokenizer(path, ordinary=True), [], []
+        for part in slices(batches, "text"):
+            flat, count = own.encode(part.column("text"))
+            ids.append(_flat(np.insert(flat, np.cumsum(count), end_id)))
+            keys.append(part.column("id").to_numpy())
+        if not keys:
+            return
+        key, data = np.concatenate(keys), b"".join(ids)
+        part = TaskContext.get().partitionId()
+        at = write_file(folder, f"{part:06d}-{uuid.uuid4().hex[:8]}.ids", data)
+        n = len(key)
+        yield pa.record_batch([pa.array(np.full(n, part, np.int32)), pa.array([at] * n), pa.array(np.full(n, len(data))), pa.array(np.arange(n)), pa.array(key)], ["part", "path", "bytes", "k", "id"])
+
+    # Files are written where the texts lie, so that no text is shuffled; their rows tell which documents they hold.
+    text = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    written = scratch.write(text.mapInArrow(run, "part int, path string, bytes long, k long, id long"), "written")
+    parts = written.groupBy("part").agg(F.max("path").alias("path"), F.max("bytes").alias("bytes"), F.count("*").alias("documents"))
+    earlier = W.partitionBy(F.lit(1)).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    parts = scratch.write(parts.withColumn("first", F.coalesce(F.sum("documents").over(earlier), F.lit(0).cast("long"))), "parts")
+    found = count_tokens(parts, end_id).select("ordinal", "n_tokens")
+    numbered = written.join(parts.select("part", "first"), "part").select("id", (F.col("first") + F.col("k")).alias("ordinal"))
+    counted = numbered.join(found, "ordinal").select("id", "n_tokens")
+    # Starts in ascending id order: sums inside ranges of ids, and a prefix scan over the ranges.
+    ranged = scratch.write(counted.repartitionByRange("id").sortWithinPartitions("id").withColumn("p", F.spark_partition_id()), "ranged")
+    sums = ranged.groupBy("p").agg(F.sum("n_tokens").alias("n"))
+    sums = sums.select("p", F.coalesce(F.sum("n").over(W.partitionBy(F.lit(1)).orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long")).alias("base"))
+    inside = F.sum("n_tokens").over(W.partitionBy("p").orderBy("id", "n_tokens").rowsBetween(W.unboundedPreceding, 0)) - F.col("n_tokens")
+    return ranged.join(sums, "p").withColumn("inside", inside).select(F.col("id").alias(id_col), (F.col("base") + F.col("inside")).alias("start"), "n_tokens")
