@@ -10,8 +10,8 @@ only its smallest id goes on, so thousands of exact copies cost one row.
 Classes that share a band share a bucket, and each bucket links its members to
 one hub only, which keeps candidate pairs linear in the input.  Members of
 buckets that then hold several components are dealt again by pairs of bands,
-each such bucket with two hubs (the member with most links, and the first in one
-of a few orders of documents), until a round finds no link.
+each such bucket with two hubs (the member with most copies and links, and the
+first in one of a few orders of documents), until a round finds no link.
 Candidates pass a test of sizes (exact), a test of the whole signature
 (``screen``, some five standard deviations below the threshold) and then the
 exact test on the full sets.
@@ -150,10 +150,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = scratch.write(text.mapInArrow(_sign(size), "id long, n long, k1 long, k2 long, sig binary, bands array<long>"), "signed")
 
     # One class for each distinct set; the smallest id stands for it.
-    classes = scratch.write(signed.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep")), "classes")
-    reps = signed.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    reps = scratch.write(reps.select("id", "n", "sig", "bands"), "reps")
-    member = reps.select(F.posexplode("bands").alias("band", "key"), "id", "n")
+    classes = scratch.write(signed.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
+    reps = signed.join(classes.select("k1", "k2", F.col("rep").alias("id"), "copies"), ["k1", "k2", "id"]).dropDuplicates(["id"])
+    reps = scratch.write(reps.select("id", "n", "copies", "sig", "bands"), "reps")
+    member = reps.select(F.posexplode("bands").alias("band", "key"), "id", "n", "copies")
     hub = F.min(F.struct(F.xxhash64("id").alias("r"), F.col("id").alias("hub"), F.col("n").alias("hub_n"))).alias("h")
     hubs = member.groupBy("key").agg(hub, F.count("*").alias("m")).where("m > 1")
     # What shares a bucket at all; the rest of the operator reads this small part only.
@@ -188,24 +188,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
         comp = scratch.write(components(links, scratch).join(degree, "id"), f"comp{len(parts)}")
         labelled = comp.withColumnRenamed("component", "c")
-        named = lambda rows, *more: rows.join(labelled, "id", "left").select("key", *more, "id", "n", F.coalesce("c", "id").alias("c"), F.coalesce("links", F.lit(0)).alias("links"))
+        named = lambda rows, *more: rows.join(labelled, "id", "left").select("key", *more, "id", "n", "copies", F.coalesce("c", "id").alias("c"), F.coalesce("links", F.lit(0)).alias("links"))
         if len(parts) == 1:
             # Buckets of two are settled.  Larger ones that hold several components are dealt by
             # pairs of bands, which alike sets share often and others hardly ever.
             rows = named(shared.where("m > 2"), "band")
             split = rows.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1")
-            keys = rows.join(split.select("key"), "key", "left_semi").groupBy("id", "n").agg(F.map_from_entries(F.collect_list(F.struct("band", "key"))).alias("ks"))
+            keys = rows.join(split.select("key"), "key", "left_semi").groupBy("id", "n", "copies").agg(F.map_from_entries(F.collect_list(F.struct("band", "key"))).alias("ks"))
             near = lambda b: F.transform(F.sequence(F.lit(1), F.lit(NEAR)), lambda k: F.xxhash64(F.element_at("ks", b), F.element_at("ks", (b + k) % (BANDED * BINS // ROWS)), b) * F.when(F.map_contains_key("ks", (b + k) % (BANDED * BINS // ROWS)), 1))
             two = F.filter(F.flatten(F.transform(F.map_keys("ks"), near)), lambda x: x.isNotNull())
-            opened = scratch.write(keys.select("id", "n", F.explode(two).alias("key")), "deeper")
+            opened = scratch.write(keys.select("id", "n", "copies", F.explode(two).alias("key")), "deeper")
         now = named(opened)
         order = F.xxhash64(F.pmod("key", F.lit(ORDERS)), "id", F.lit(len(parts)))
         hub = lambda r: F.struct(r.alias("r"), F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("c").alias("hub_c"))
-        hubs = now.groupBy("key").agg(F.array(F.min(hub(order)), F.max(hub(F.col("links")))).alias("hs"), F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1")
+        hubs = now.groupBy("key").agg(F.array(F.min(hub(order)), F.max(hub(F.col("copies") * (1 << 20) + F.col("links")))).alias("hs"), F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1")
         hubs = hubs.select("key", "m", F.explode("hs").alias("h"))
         now = scratch.write(now.join(hubs.select("key", "m", "h.hub", "h.hub_n", "h.hub_c"), "key"), f"open{len(parts)}")
         star = now.where("c <> hub_c and " + fits)
-        opened = now.where("m > 2").select("key", "id", "n").distinct()
+        opened = now.where("m > 2").select("key", "id", "n", "copies").distinct()
         scratch.release()
     whole = signed.select("id", "n", "k1", "k2").join(classes, ["k1", "k2"], "left").join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", "rep", "id")
