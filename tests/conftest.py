@@ -7,7 +7,6 @@ import pytest
 ROOT = str(Path(__file__).resolve().parent.parent)
 sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
-DATA = "/root/testdata"
 
 
 @pytest.fixture(scope="session")
@@ -31,23 +30,9 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def duck():
     import duckdb
+    from helpers import DATA
 
     con = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/sf0.001/{t}.parquet'")
     return con
-
-
-def norm(v):
-    if isinstance(v, float):
-        return None if v != v else round(v, 5) + 0.0
-    return float(v) if hasattr(v, "quantize") else v
-
-
-def same(df, rel):
-    cols = sorted(df.columns)
-    assert cols == sorted(rel.columns)
-    at = [rel.columns.index(c) for c in cols]
-    got = sorted((tuple(norm(r[c]) for c in cols) for r in df.collect()), key=repr)
-    want = sorted((tuple(norm(r[i]) for i in at) for r in rel.fetchall()), key=repr)
-    assert got == want
