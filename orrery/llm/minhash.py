@@ -8,17 +8,21 @@ and the attempt alone, so equal sets borrow alike).  ``rows`` neighbouring
 values of a group make a band.  Texts with equal sets are one class first and
 only its smallest id goes on, so thousands of exact copies cost one row.
 Classes that share a band share a bucket, and each bucket links its members to
-one hub only, which keeps candidate pairs linear in the input.  Members of
-buckets that then hold several components are dealt again by pairs of bands,
-each such bucket with two hubs (the member with most copies and links, and the
-first in one of a few orders of documents), until a round finds no link.
-Candidates pass a test of sizes (exact), a test of the whole signature
+one hub only, which keeps candidate pairs linear in the input.  Buckets that
+then hold several components are open: all pairs of their members that are in
+different components are compared by whole sets, so that every pair that
+shares a band is either in one component or was compared.  The hubs'
+candidates pass a test of sizes (exact), a test of the whole signature
 (``screen``, some five standard deviations below the threshold) and then the
 exact test on the full sets.
 
-Scale.  Every shuffle moves ids and 64-bit keys; texts are read twice (for
-signatures, and for the sets of candidates) and never shuffled.  Nothing is
-collected but counters.
+Scale.  Every shuffle moves ids and 64-bit keys, but for the sets of candidates
+and of members of open buckets; texts are read three times (for signatures, and
+for those sets) and never shuffled.  Open buckets that share members are one
+unit up to ``UNIT`` members, so that a set isn't sent once for each band; a unit
+is dealt in blocks, each pair of blocks is one group, and its answer is a forest.
+The work on a hot template grows with the square of its texts that no hub
+linked.  Nothing is collected but counters.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +43,10 @@ GROUPS, BINS, ROWS = 8, 24, 4
 #: Groups whose values make bands; all groups make the signature that screens pairs.
 BANDED = 4
 SCREEN = 0.6
-#: Bands that a band is paired with when buckets are dealt again, and orders of documents from which those buckets take their hubs.
-NEAR, ORDERS = 4, 8
+#: Members of a unit of open buckets; above it each bucket is a unit.  Members and shingles of a block, on average.
+UNIT, BLOCK, BLOCK_SHINGLES = 16_384, 512, 1 << 19
+#: Columns of a slice of the matrix of shingles, and members up to which a shingle's pairs are listed.
+COLUMNS, LISTED = 4096, 4
 
 
 def _densify(values: np.ndarray) -> np.ndarray:
@@ -123,6 +130,95 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([b.column("a").filter(pa.array(keep)), b.column("b").filter(pa.array(keep))], ["a", "b"])
 
 
+def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """(left, right) numbers of common shingles of the sets at these places."""
+    sizes = np.array([len(x) for x in sets])
+    _, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    at = np.full((2, len(sets)), -1)
+    at[0, left], at[1, right] = np.arange(len(left)), np.arange(len(right))
+    out = np.zeros((len(left), len(right)), np.float32)
+    order = np.argsort(column, kind="stable")
+    first = np.cumsum(held) - held
+    for many in range(2, LISTED + 1):
+        own = row[order[first[held == many][:, None] + np.arange(many)]]
+        for i in range(many):
+            for j in range(many):
+                a, b = at[0, own[:, i]], at[1, own[:, j]]
+                fits = (a >= 0) & (b >= 0) & (own[:, i] != own[:, j])
+                out += np.bincount(a[fits] * len(right) + b[fits], minlength=out.size).reshape(out.shape)
+    heavy = np.flatnonzero(held > LISTED)
+    for k in range(0, len(heavy), COLUMNS):
+        some = heavy[k : k + COLUMNS]
+        span = np.concatenate([order[first[c] : first[c] + held[c]] for c in some])
+        where = np.repeat(np.arange(len(some)), held[some])
+        block = np.zeros((len(sets), len(some)), np.float32)
+        block[row[span], where] = 1
+        out += block[left] @ block[right].T
+    return out
+
+
+def forest(pairs: np.ndarray, labels: np.ndarray) -> list[int]:
+    """Places of the pairs that join what labels and the pairs before didn't."""
+    parent = np.unique(labels, return_inverse=True)[1].tolist()
+    ends = parent.copy()
+    parent = list(range(max(parent, default=-1) + 1))
+    out = []
+    for k, (a, b) in enumerate(pairs.tolist()):
+        x, y = ends[a], ends[b]
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        while parent[y] != y:
+            parent[y] = y = parent[parent[y]]
+        if x != y:
+            parent[x] = y
+            out.append(k)
+    return out
+
+
+def _compare(percent: int):
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        ids, c, at = (table.column(n).to_numpy() for n in ("id", "c", "at"))
+        n = pc.list_value_length(table.column("s")).to_numpy()
+        flat = table.column("s").combine_chunks().flatten().to_numpy().view(U)
+        sets = np.split(flat, np.cumsum(n)[:-1])
+        left, right = np.flatnonzero(at == key[1].as_py()), np.flatnonzero(at == key[2].as_py())
+        if not len(left) or not len(right):
+            return table.select(["id", "c"]).slice(0, 0).rename_columns(["a", "b"])
+        common = overlaps(sets, left, right)
+        fits = (100 * common >= percent * (n[left][:, None] + n[right][None, :] - common)) & (c[left][:, None] != c[right][None, :])
+        x, y = np.nonzero(fits)
+        pairs = np.stack([left[x], right[y]], axis=1)
+        pairs = pairs[forest(pairs, c)]
+        a, b = ids[pairs[:, 0]], ids[pairs[:, 1]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return run
+
+
+def _units(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(unit, i, j, at, id, c): the members of open buckets by pair of blocks; ``at`` is the member's block, i or j."""
+    keyed = rows.groupBy("key").agg(F.min("id").alias("hub"))
+    whole = components(rows.join(keyed, "key").select("id", "hub"), scratch, "id", "hub").withColumnRenamed("component", "whole")
+    whole = scratch.write(whole.join(whole.groupBy("whole").agg(F.count("*").alias("m")), "whole"), "wholes")
+    rows = rows.join(whole, "id")
+    small = F.col("m") <= UNIT
+    rows = rows.select(F.when(small, F.xxhash64("whole")).otherwise(F.col("key")).alias("unit"), "id", "c", "n").distinct()
+    rows = scratch.write(rows, "units")
+    # The component with most members isn't compared with itself: the rest is dealt to the first blocks, it to those after them.
+    parts = rows.groupBy("unit", "c").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
+    of = parts.groupBy("unit").agg(F.max(F.struct("m", "w", "c")).alias("top"), F.sum("m").alias("m"), F.sum("w").alias("w"))
+    blocks = lambda m, w: F.greatest(F.lit(1), F.ceil(m / BLOCK), F.ceil(w / BLOCK_SHINGLES)).cast("int")
+    of = of.select("unit", F.col("top.c").alias("top"), blocks(F.col("m") - F.col("top.m"), F.col("w") - F.col("top.w")).alias("r"), blocks(F.col("top.m"), F.col("top.w")).alias("g"))
+    rows = rows.join(of, "unit")
+    is_top = F.col("c") == F.col("top")
+    at = F.when(is_top, F.col("r") + F.pmod(F.xxhash64("id"), F.col("g"))).otherwise(F.pmod(F.xxhash64("id"), F.col("r"))).cast("int")
+    rows = rows.withColumn("at", at)
+    other = F.explode(F.sequence(F.lit(0), F.when(is_top, F.col("r")).otherwise(F.col("r") + F.col("g")) - 1))
+    rows = rows.select("unit", "at", "id", "c", other.alias("other"))
+    return rows.select("unit", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at", "id", "c")
+
+
 def _screened(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     sig = reps.select("id", "sig")
     pairs = pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
@@ -161,51 +257,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch.release()
     fits = f"id <> hub and 100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)"
     star = shared.where(fits)
-    links, known, parts = None, [], []
-    comp = None
-    while True:
-        pairs = star.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-        pairs = scratch.write(_screened(pairs, reps), f"pairs{len(parts)}")
-        ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        for sets in known:
-            ends = ends.join(sets.select("id"), "id", "left_anti")
-        if not known or not ends.isEmpty():
-            # As a table its size is known: where it is small the texts are not shuffled to meet it.
-            ends = scratch.write(ends, f"ends{len(parts)}")
-            sets = text.join(ends, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(size), "id long, s array<long>")
-            known.append(scratch.write(sets, f"sets{len(parts)}"))
-        sets = known[0]
-        for more in known[1:]:
-            sets = sets.unionByName(more)
-        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
-        common = F.size(F.array_intersect("x", "y"))
-        found = scratch.write(both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b"), f"links{len(parts)}")
-        parts.append(found)
-        if len(parts) > 1 and found.isEmpty():
-            break
-        links = found if links is None else links.unionByName(found)
-        # Components, and how many links each id has: the text that others were made from has most.
-        degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
-        comp = scratch.write(components(links, scratch).join(degree, "id"), f"comp{len(parts)}")
-        labelled = comp.withColumnRenamed("component", "c")
-        named = lambda rows, *more: rows.join(labelled, "id", "left").select("key", *more, "id", "n", "copies", F.coalesce("c", "id").alias("c"), F.coalesce("links", F.lit(0)).alias("links"))
-        if len(parts) == 1:
-            # Buckets of two are settled.  Larger ones that hold several components are dealt by
-            # pairs of bands, which alike sets share often and others hardly ever.
-            rows = named(shared.where("m > 2"), "band")
-            split = rows.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1")
-            keys = rows.join(split.select("key"), "key", "left_semi").groupBy("id", "n", "copies").agg(F.map_from_entries(F.collect_list(F.struct("band", "key"))).alias("ks"))
-            near = lambda b: F.transform(F.sequence(F.lit(1), F.lit(NEAR)), lambda k: F.xxhash64(F.element_at("ks", b), F.element_at("ks", (b + k) % (BANDED * BINS // ROWS)), b) * F.when(F.map_contains_key("ks", (b + k) % (BANDED * BINS // ROWS)), 1))
-            two = F.filter(F.flatten(F.transform(F.map_keys("ks"), near)), lambda x: x.isNotNull())
-            opened = scratch.write(keys.select("id", "n", "copies", F.explode(two).alias("key")), "deeper")
-        now = named(opened)
-        order = F.xxhash64(F.pmod("key", F.lit(ORDERS)), "id", F.lit(len(parts)))
-        hub = lambda r: F.struct(r.alias("r"), F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("c").alias("hub_c"))
-        hubs = now.groupBy("key").agg(F.array(F.min(hub(order)), F.max(hub(F.col("copies") * (1 << 20) + F.col("links")))).alias("hs"), F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1")
-        hubs = hubs.select("key", "m", F.explode("hs").alias("h"))
-        now = scratch.write(now.join(hubs.select("key", "m", "h.hub", "h.hub_n", "h.hub_c"), "key"), f"open{len(parts)}")
-        star = now.where("c <> hub_c and " + fits)
-        opened = now.where("m > 2").select("key", "id", "n", "copies").distinct()
+    pairs = star.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    pairs = scratch.write(_screened(pairs, reps), "pairs")
+    # As a table its size is known: where it is small the texts are not shuffled to meet it.
+    ends = scratch.write(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "ends")
+    sets = scratch.write(text.join(ends, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(size), "id long, s array<long>"), "sets")
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    links = scratch.write(both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b"), "links")
+    comp = scratch.write(components(links, scratch), "comp")
+    scratch.release()
+    # Buckets of two are settled, and those of one component.
+    rows = shared.where("m > 2").join(comp, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
+    split = rows.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1")
+    opened = scratch.write(rows.join(split.select("key"), "key", "left_semi"), "open")
+    if not opened.isEmpty():
+        dealt = scratch.write(_units(opened, scratch), "dealt")
+        more = scratch.write(opened.select("id").distinct().join(ends, "id", "left_anti"), "more")
+        rest = scratch.write(text.join(more, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(size), "id long, s array<long>"), "rest")
+        met = dealt.join(sets.unionByName(rest), "id").groupBy("unit", "i", "j").applyInArrow(_compare(percent), "a long, b long")
+        found = scratch.write(met, "found")
+        if not found.isEmpty():
+            comp = scratch.write(components(links.unionByName(found), scratch), "comp2")
         scratch.release()
     whole = signed.select("id", "n", "k1", "k2").join(classes, ["k1", "k2"], "left").join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", "rep", "id")

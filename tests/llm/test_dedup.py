@@ -180,3 +180,24 @@ def test_lattice_decoding():
     assert own.max() <= 1 + 1e-9
     for root in minimal:  # no neighbouring lattice point is nearer
         assert (((x - near - root) ** 2).sum(axis=1) >= own - 1e-9).all()
+
+
+def test_minhash_templates_below_the_threshold(spark):
+    """Texts of one template, mostly just below the threshold: what no hub links is compared all the same."""
+    r, base, rows = random.Random(4), prose(21, 200).split(), []
+    for i in range(1500):
+        w = base.copy()
+        for at in r.sample(range(200), 3 + r.randrange(4)):
+            w[at] = f"z{r.randrange(5)}"
+        rows.append((i, " ".join(w)))
+    numbers, sets = {}, []
+    for _, t in rows:
+        sets.append([numbers.setdefault(x, len(numbers)) for x in shingles(t)])
+    table = np.zeros((len(rows), len(numbers)), np.float32)
+    for i, own in enumerate(sets):
+        table[i, own] = 1
+    common, n = table @ table.T, table.sum(axis=1)
+    links = np.argwhere(np.triu(100 * common >= 75 * (n[:, None] + n - common), 1)).tolist()
+    got = {x.doc_id: x.component_id for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = groups(range(len(rows)), links)
+    assert len(set(want.values())) > 100 and got == want
