@@ -201,3 +201,18 @@ def test_minhash_templates_below_the_threshold(spark):
     got = {x.doc_id: x.component_id for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     want = groups(range(len(rows)), links)
     assert len(set(want.values())) > 100 and got == want
+
+
+@pytest.mark.parametrize("unit", [1 << 14, 1])
+def test_open_buckets_are_compared_by_all_pairs(spark, monkeypatch, unit):
+    """Whatever single bucket two members share, and however far its band is from their others, they meet."""
+    monkeypatch.setattr(minhash, "UNIT", unit)
+    monkeypatch.setattr(minhash, "BLOCK", 2)
+    r = random.Random(6)
+    rows = [(key, i, 10, i % 4 * i) for key in range(12) for i in r.sample(range(40), r.randrange(3, 9))]
+    sides = {}
+    for x in minhash._units(spark.createDataFrame(rows, "key long, id long, n long, c long"), Scratch(spark, "t")).collect():
+        sides.setdefault((x.unit, x.i, x.j), []).append((x.id, x["at"]))
+    met = {frozenset((a, b)) for (_, i, j), own in sides.items() for a, p in own for b, q in own if p == i and q == j}
+    want = {frozenset((a, b)) for k, a, _, c in rows for m, b, _, d in rows if k == m and c != d}
+    assert want <= met
