@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -221,6 +222,32 @@ def test_language_models(spark, odd, odd_rows, empty):
             assert got[i].target_loss == pytest.approx(loss[0]) and got[i].background_loss == pytest.approx(loss[1])
 
 
+@pytest.mark.parametrize("head", [1 << 20, 40, 0])
+def test_language_models_count_exact_words(spark, monkeypatch, head):
+    """More words than any table of fixed size keeps apart, against counts of the strings themselves."""
+    monkeypatch.setattr(ngram, "HEAD", head)
+    rows = [(i, " ".join(f"w{i * 3000 + j}" for j in range(3000))) for i in range(120)]
+    rows += [(200, "a b a c a b w7 w400000 a"), (201, "a b a c b b"), (202, "a b a c b b"), (203, None)]
+    target = {200, *range(60)}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in ngram.cross_entropy_difference(df, spark.createDataFrame([(i,) for i in target], "doc_id long")).collect()}
+    assert len(got) == len(rows) and got[203].score == 0
+    counts = [Counter(), Counter()]
+    for i, t in rows:
+        w = (t or "").split()
+        for k in (0, 1) if i in target else (0,):
+            counts[k].update(w)
+            counts[k].update(zip(["", *w], w, strict=False))
+    for i, t in rows:
+        if t is not None and (i > 100 or i % 40 == 0):
+            w, loss = t.split(), []
+            for c in counts[::-1]:
+                total = sum(n for x, n in c.items() if isinstance(x, str))
+                own = [(0.7 * min(c[p, x] / c[p], 1) + 0.3 * (c[x] + 1) / (total + 2**18)) if p and c[p] else (c[x] + 1) / (total + 2**18) for p, x in zip(["", *w], w, strict=False)]
+                loss.append(-np.log(own).mean())
+            assert (got[i].target_loss, got[i].background_loss) == pytest.approx(loss)
+
+
 @pytest.mark.parametrize("name", sorted(oracle.SQL))
 def test_queries_equal_their_sql(spark, duck, name):
     same(queries.queries()[name](spark, f"{DATA}/sf0.001"), duck.sql(oracle.SQL[name]))
