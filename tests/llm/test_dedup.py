@@ -171,6 +171,21 @@ def test_lattice(spark):
     assert lattice.near_vectors(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("chance", [20, 5])
+def test_lattice_links_with_keys_of_several_rotations(spark, monkeypatch, chance):
+    """Pairs just above the threshold are found as well where labels are so large that keys join two or three rotations."""
+    monkeypatch.setattr(lattice, "CHANCE", chance)
+    r = np.random.default_rng(9)
+    x, e = r.standard_normal((2, 500, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    e -= (e * x).sum(axis=1, keepdims=True) * x
+    e /= np.linalg.norm(e, axis=1, keepdims=True)
+    y = 0.9801 * x + np.sqrt(1 - 0.9801**2) * e
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(np.concatenate([x, y]))]
+    got = lattice.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {g.vec_id: (g.n_links, g.component_id) for g in got} == {i: (1, i % 500) for i in range(1000)}
+
+
 def test_lattice_decoding():
     minimal = lattice.roots()
     assert minimal.shape == (240, 8) and np.allclose((minimal**2).sum(axis=1), 2)
