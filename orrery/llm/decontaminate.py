@@ -66,17 +66,18 @@ class Probe:
 class Windows:
     """A block of benchmark windows: word hashes, lengths, the items of each, and shingles by size."""
 
-    def __init__(self, pairs: list[tuple[str, tuple[int, ...]]]):
+    def __init__(self, pairs: list[tuple[str | None, tuple[int, ...]]]):
         order = sorted(pairs, key=lambda p: p[1])
-        self.names = sorted({item for item, _ in order})
+        self.names = sorted({item for item, _ in order if item is not None})
         code = {name: k for k, name in enumerate(self.names)}
         unique: list[tuple[int, ...]] = []
         self.owner, self.item = [], []
         for item, w in order:
             if not unique or unique[-1] != w:
                 unique.append(w)
-            self.owner.append(len(unique) - 1)
-            self.item.append(code[item])
+            if item is not None:  # a window without an item is looked for all the same
+                self.owner.append(len(unique) - 1)
+                self.item.append(code[item])
         self.owner, self.item = np.array(self.owner, np.int64), np.array(self.item, np.int64)
         self.length = np.array([len(w) for w in unique], np.int64)
         self.words = np.zeros((len(unique), max(map(len, unique), default=0)), U)
@@ -200,15 +201,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     words are hit.
 
     Null, empty and wordless texts have 0 words and are clean; such items have
-    no window.  Items that repeat (same id and text) count once, items of equal
-    text and different ids each.  Rows of ``docs`` that repeat stay separate
+    no window.  Rows of the benchmark without an id count for ``runs``, ``n_hit``
+    and ``contaminated`` like all others, and are in no list of items.  Items that
+    repeat (same id and text) count once, items of equal text and different ids
+    each.  Rows of ``docs`` that repeat stay separate
     rows.  An empty benchmark leaves every document clean, an empty ``docs``
     gives an empty result.  Other columns are not read.  Texts are read whole.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontaminate")
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text"))
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text"))
     pairs = scratch.write(items.mapInArrow(_item_windows(window), "item string, w array<long>").distinct(), "windows")
     blocks = max(1, -(-pairs.count() // block))
     parts = []

@@ -62,6 +62,18 @@ def test_decontamination(spark, odd, odd_rows, empty, block):
     assert not any(r.contaminated for r in decontaminate.contamination(odd, bench.where("false"), block=block).collect())
 
 
+@pytest.mark.parametrize("block", [200_000, 3])
+def test_decontamination_by_items_without_an_id(spark, block):
+    a, b = prose(31, 30), prose(32, 30)
+    docs = spark.createDataFrame([(1, a), (2, f"{a} {b}"), (3, prose(33, 30)), (4, b)], "doc_id long, text string")
+    n = {1: len(alnum(a)), 2: len(alnum(f"{a} {b}")), 3: 0, 4: len(alnum(b))}
+    for items, hit, named in (([(None, a)], {1: n[1], 2: n[1], 4: 0}, ()), ([(None, a), (7, b), (8, a)], n, (1, 2, 4)), ([(None, a), (7, b)], n, (2, 4))):
+        bench = spark.createDataFrame(items, "item_id long, text string")
+        got = {r.doc_id: r for r in decontaminate.contamination(docs, bench, block=block).collect()}
+        for i, r in got.items():
+            assert r.n_hit == hit.get(i, 0) and r.contaminated == (r.n_hit > 0) and (r.n_items > 0) == (i in named)
+
+
 def test_mixing(spark, odd, empty):
     rows = mixing.plan(odd, block=4).collect()
     assert len(rows) == 17 and all(0 <= r.taken <= 3 * r.size for r in rows)
