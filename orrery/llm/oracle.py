@@ -80,8 +80,11 @@ WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
     run AS (SELECT doc_id, k, min(i) AS a, max(i) + 400 AS z FROM grp GROUP BY doc_id, k),
     gap AS (SELECT doc_id, coalesce(lag(z) OVER w, 0) AS a, r.a AS z FROM run r WINDOW w AS (PARTITION BY doc_id ORDER BY a) UNION ALL SELECT doc_id, max(z), 1000000000000 FROM run GROUP BY doc_id),
     kept AS (SELECT g.doc_id, string_agg(hex(d.b[g.a + 1 : least(g.z, octet_length(d.b))]), '' ORDER BY g.a) AS x FROM gap g JOIN d ON d.doc_id = g.doc_id GROUP BY g.doc_id),
-    total AS (SELECT doc_id, sum(z - a) AS removed, count(*) AS spans FROM run GROUP BY doc_id)
-SELECT d.doc_id, octet_length(b) AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans, sha256(CASE WHEN x IS NULL THEN b ELSE unhex(x) END) AS kept_sha256
+    total AS (SELECT doc_id, sum(z - a) AS removed, count(*) AS spans FROM run GROUP BY doc_id),
+    w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    p AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i + 1 : i + 51], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(0, greatest(0, len(w) - 50))) AS i FROM w)),
+    shares AS (SELECT DISTINCT doc_id FROM p WHERE h IN (SELECT h FROM p GROUP BY h HAVING count(*) > 1))
+SELECT d.doc_id, d.doc_id IN (SELECT doc_id FROM shares) AS shares_passage, octet_length(b) AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans, sha256(CASE WHEN x IS NULL THEN b ELSE unhex(x) END) AS kept_sha256
 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id LEFT JOIN total ON total.doc_id = d.doc_id
 """
 

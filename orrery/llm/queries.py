@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import chains, decontaminate, lattice, minhash, mixing, ngram, oracle, quality, suffix, tokens
 
@@ -36,7 +37,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.without_repeats(_table(spark, sf_dir, "documents")).drop("runs")
+    docs = _table(spark, sf_dir, "documents")
+    # A passage of over fifty words may have fewer bytes than a string that the contract removes.
+    shares = suffix.sharing_passages(docs).withColumn("shares_passage", F.lit(True))
+    return suffix.without_repeats(docs).drop("runs").join(shares, "doc_id", "left").withColumn("shares_passage", F.coalesce("shares_passage", F.lit(False)))
 
 
 def op7_chained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

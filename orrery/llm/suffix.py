@@ -1,27 +1,32 @@
-"""Suffix order, longest previous factors, and byte-exact removal of repeats.
-
-Locally.  ``suffix_ranks`` orders the suffixes of a text by their first
-``depth`` bytes (prefix doubling from eight-byte keys); neighbours of equal
-rank have a common prefix of ``depth`` or more.  The longest previous factor
-of a position is the longer of its common prefixes with the previous and the
-next smaller position in suffix order (``previous_factors``).  At a threshold
-only this matters: whether the run of suffixes with a common prefix of
-``depth`` that holds a position also holds a smaller one (its string is a
-later copy) or a larger one (it is copied later).
-
-Across documents.  A string of ``depth`` bytes contains the least of its hashed
-``gram``-byte grams, wherever it stands; these anchors (winnowing) lie some 140
-bytes apart.  Each anchor owns the starts of the strings whose least gram it
-is.  Anchors that occur once own no repeated string.  Anchors whose whole
-segment of text recurs own repeated strings only.  What is left, the segments
-in which a repeat begins or ends, goes to buckets by anchor, with one segment
-for each that recurs, and a bucket is one suffix order.  An anchor with more
-than ``many`` different segments isn't gathered: its strings are counted by
-hash, each string a key of its own.
-
-Scale.  The shuffles carry 40 bytes for each 140 of text, the text of documents
-with repeats once for the segments, and the text once for the removal.  No
-group of unbounded size meets in a task.
+"""Byte-exact removal of repeats by suffix order and longest previous factors.
+
+Method.  The longest previous factor of a place is the longest string that
+starts there and earlier too; in suffix order it is the longer of the common
+prefixes with the previous and the next smaller position.  At a threshold only
+this counts: suffixes that agree in ``depth`` symbols are a run in suffix
+order, and within a run, ordered by place, the previous one is the smaller
+position that gives the earlier match, the next one the later match
+(``factors``).  A place without an earlier match holds a first copy.
+
+Across documents one suffix order is cut into many.  A string of ``depth``
+symbols contains the least of its hashed grams, wherever it stands (winnowing);
+this anchor owns the string.  Anchors that occur once own no repeat.  An anchor
+whose whole segment of text recurs owns repeats only.  What is left, one segment
+for each kind, is cut into blocks of ``STARTS`` starts that are aligned with the
+anchor.  The strings of a block have a core in common; a core that occurs once
+holds no repeat.  Blocks of equal anchor, alignment and core are a bucket: their
+strings differ in the flanks alone, ``STARTS - 1`` symbols on each side, so
+a bucket is put into suffix order from its flanks.  A bucket of more than
+``kinds`` different flanks is dealt anew in halves, whose cores are longer; a
+block of one start is a string of its own and only counted.
+
+Symbols are bytes, or words where passages of so many words are asked for.
+
+Scale.  The shuffles carry 40 bytes for each 140 of text, the flanks of what
+repeats in part, and the text of documents that have a repeat twice.  A bucket
+has a bounded number of rows, equal flanks are one row, and each halving makes two
+rows of one at most.  Equality is judged by symbols within flanks, and by two
+64-bit hashes (of the anchor, and of core or segment) of what flanks enclose.
 """
 
 from __future__ import annotations
@@ -36,111 +41,83 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .words import U, prefix, raw, slices, span_hash
-
-DEPTH, GRAM, MANY = 400, 128, 256
-
-
-def suffix_ranks(data: np.ndarray, depth: int) -> np.ndarray:
-    """Ranks of all suffixes by their first ``depth`` bytes (zeros after the end): equal ranks, equal bytes."""
-    n = len(data)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(U)
-    have = min(8, depth)
-    key = np.zeros(n, U)
-    for j in range(have):
-        key = key << U(8) | padded[j : n + j]
-    rank = np.unique(key, return_inverse=True)[1]
-    while have < depth:
-        step = min(have, depth - have)
-        ahead = np.zeros(n, U)
-        ahead[: max(0, n - step)] = rank[step:].astype(U) + U(1)
-        rank = np.unique(rank.astype(U) << U(32) | ahead, return_inverse=True)[1]
-        have += step
-    return rank
-
-
-def suffix_array(data: np.ndarray) -> np.ndarray:
-    """Starts of all suffixes in order; a suffix that is a prefix of another comes first."""
-    if not len(data):
-        return np.zeros(0, np.int64)
-    rank, have = np.unique(data, return_inverse=True)[1], 1
-    while have < len(data) and rank.max() + 1 < len(data):
-        ahead = np.zeros(len(data), U)
-        ahead[: len(data) - have] = rank[have:].astype(U) + U(1)
-        rank = np.unique(rank.astype(U) << U(32) | ahead, return_inverse=True)[1]
-        have *= 2
-    return np.argsort(rank)
-
-
-def previous_factors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(length, source): for each position the longest string that also starts earlier, and where (-1 for none).
-
-    One pass in suffix order with a stack gives each position's previous and
-    next smaller position and its common prefixes with both.
+from .words import VISIBLE, U, Words, blobs, lists, prefix, prefix_of, raw, slices, span_hash
+
+DEPTH, GRAM = 400, 128
+#: Passages of more than fifty words, and their grams.
+PASSAGE, PASSAGE_GRAM = 51, 16
+#: Starts of a block (a power of two), kinds of a bucket that is put into suffix order at once, rows of a batch of buckets.
+STARTS, KINDS, HELD = 32, 8192, 1 << 17
+
+
+def factors(rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(earlier, later): for each place the nearest place before and after it whose suffix has the same rank, or -1.
+
+    Ranks tell suffixes apart by their first ``depth`` symbols only; ties stand
+    in the order of their places, so that the previous entry of a run is the
+    smaller position with the longest common prefix.
     """
-    order, n = suffix_array(data), len(data)
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    common, h = np.zeros(n + 1, np.int64), 0
-    for i in range(n):  # the common prefix of neighbours shrinks by one at most from a position to the next
-        if place[i]:
-            j = order[place[i] - 1]
-            while i + h < n and j + h < n and data[i + h] == data[j + h]:
-                h += 1
-            common[place[i]] = h
-            h = max(0, h - 1)
-        else:
-            h = 0
-    length, source = np.zeros(n, np.int64), np.full(n, -1, np.int64)
-    stack: list[tuple[int, int]] = []  # positions in suffix order, each smaller than the next, with the common prefix to the one below
-
-    def better(i: int, j: int, own: int) -> None:
-        if own > length[i]:
-            length[i], source[i] = own, j
-
-    for k in range(n):
-        i, own = int(order[k]), int(common[k])
-        while stack and stack[-1][0] > i:
-            j, below = stack.pop()
-            better(j, i, own)
-            own = min(own, below)
-        if stack:
-            better(i, stack[-1][0], own)
-        stack.append((i, own))
-    return length, source
-
-
-def repeated_starts(segments: list[bytes], weights: np.ndarray, depth: int) -> list[np.ndarray]:
-    """For each segment, which of its strings of ``depth`` bytes occur more than once, by one suffix order of all.
-
-    A segment of weight 2 stands for several that are equal, so its own strings count twice.
+    order = np.argsort(rank, kind="stable")
+    same = np.flatnonzero(rank[order[1:]] == rank[order[:-1]])
+    earlier, later = np.full((2, len(rank)), -1)
+    earlier[order[same + 1]] = order[same]
+    later[order[same]] = order[same + 1]
+    return earlier, later
+
+
+def _numbered(*columns: np.ndarray) -> np.ndarray:
+    """Ranks of the rows of integer columns, each below 2 ** 32."""
+    key = columns[0].astype(U)
+    for c in columns[1:]:
+        key = np.unique(key, return_inverse=True)[1].astype(U) << U(32) | c.astype(U)
+    return np.unique(key, return_inverse=True)[1]
+
+
+def ranks(bucket: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """(rows, starts) ranks of the strings left[o:] + core + right[:o] of each row, for every start o.
+
+    As suffixes are sorted from the right: a start's left part is ranked by its
+    first symbol and the rank of the rest, and its right part grows likewise.
     """
-    size = np.array([len(s) for s in segments], np.int64)
-    starts = size - depth + 1
-    data = np.frombuffer(b"".join(segments), np.uint8)
-    base = np.cumsum(size) - size
-    own = np.repeat(np.arange(len(segments)), starts)
-    at = np.repeat(base - np.cumsum(starts) + starts, starts) + np.arange(starts.sum())
-    rank = suffix_ranks(data, depth)[at]
-    # In suffix order the strings of a rank are a run; a run of more than one has for each
-    # member a smaller position (an earlier copy) or a larger one (a later copy).
-    again = np.bincount(rank, weights=weights[own])[rank] > 1
-    return np.split(again, np.cumsum(starts)[:-1])
-
-
-def _anchors(depth: int, gram: int):
+    rows, width = left.shape
+    before, after = np.empty((2, width + 1, rows), np.int64)
+    before[width], after[0] = bucket, 0
+    for o in range(width - 1, -1, -1):
+        before[o] = _numbered(before[o + 1], left[:, o])
+    for o in range(width):
+        after[o + 1] = _numbered(after[o], right[:, o])
+    out = np.empty((width + 1, rows), np.int64)
+    top = 0
+    for o in range(width + 1):
+        out[o] = _numbered(before[o], after[o]) + top
+        top = int(out[o].max()) + 1 if rows else top
+    return out.T
+
+
+def _symbols(column: pa.Array, words: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, offsets, prefix sums) of a batch of texts."""
+    if words:
+        w = Words(column, VISIBLE, lower=False)
+        return w.hash, w.first, prefix_of(w.hash)
+    data, offsets = raw(column)
+    return data, offsets, prefix(data)
+
+
+ANCHORS = "id long, g long, seg long, s long, k int, d int"
+
+
+def _anchors(depth: int, gram: int, words: bool):
     width = depth - gram + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            data, offsets = raw(part.column("text"))
+            data, offsets, sums = _symbols(part.column("text"), words)
             n = len(data) - gram + 1
             if n < width:
                 continue
-            sums = prefix(data)
             at = np.arange(n)
             grams = span_hash(sums, at, at + gram)
-            low = (1 << max(20, int(n).bit_length())) - 1
+            low = (1 << max(24, int(n).bit_length())) - 1
             packed = (grams & U(~low & 0xFFFFFFFFFFFFFFFF)) | at.astype(U)
             # Minima of all runs of ``width`` grams: suffix minima of a block with prefix minima of the next.
             rows = -(-n // width)
@@ -162,160 +139,253 @@ def _anchors(depth: int, gram: int):
             last = np.append(first[1:], len(starts)) - 1
             s1, s2, p, d = starts[first], starts[last], anchor[first], doc[first]
             segment = span_hash(sums, s1, s2 + depth)
-            base = offsets[d]
             yield pa.record_batch(
-                [part.column("id").take(pa.array(d)), pa.array(grams[p].view(np.int64)), pa.array(segment.view(np.int64)), pa.array((s1 - base).astype(np.int64)), pa.array((s2 - s1 + 1).astype(np.int32))],
-                ["id", "g", "seg", "s", "k"],
+                [part.column("id").take(pa.array(d)), pa.array(grams[p].view(np.int64)), pa.array(segment.view(np.int64)), pa.array((s1 - offsets[d]).astype(np.int64)), pa.array((s2 - s1 + 1).astype(np.int32)), pa.array((p - s1).astype(np.int32))],
+                ["id", "g", "seg", "s", "k", "d"],
             )
 
     return run
 
 
-def _cut(depth: int):
-    """Segments of a document that buckets need, or the hashes of their strings where the anchor is too common."""
+BLOCKS = "g long, b long, core long, id long, s long, lo int, hi int, left binary, right binary, many boolean"
+
+
+def _cut(depth: int, starts: int, words: bool):
+    """Blocks of the segments that a text comes with: cores as hashes, flanks as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            data, offsets = raw(part.column("text"))
-            sums = prefix(data)
-            ids = part.column("id").to_pylist()
-            out: dict[str, list] = {c: [] for c in ("g", "id", "s", "w", "bytes")}
-            hashed: list[tuple[np.ndarray, ...]] = []
-            for i, own in enumerate(part.column("own").to_pylist()):
-                for x in own:
-                    a = offsets[i] + x["s"]
-                    b = a + x["k"] - 1 + depth
-                    if b > offsets[i + 1]:
-                        continue  # of another text with this id
-                    if x["hot"]:
-                        at = np.arange(a, a + x["k"])
-                        hashed.append((span_hash(sums, at, at + depth).view(np.int64), np.full(len(at), ids[i]), at - offsets[i], np.full(len(at), x["w"])))
-                    else:
-                        for c, v in (("g", x["g"]), ("id", ids[i]), ("s", x["s"]), ("w", x["w"]), ("bytes", data[a:b].tobytes())):
-                            out[c].append(v)
-            if out["g"]:
-                yield pa.record_batch([pa.array(out["g"], pa.int64()), pa.array(out["id"], pa.int64()), pa.array(out["s"], pa.int64()), pa.array(out["w"], pa.int32()), pa.array(out["bytes"], pa.binary())], list(out))
-            if hashed:
-                h, id_, s, w = (np.concatenate(x) for x in zip(*hashed, strict=True))
-                yield pa.record_batch([pa.array(h), pa.array(id_.astype(np.int64)), pa.array(s.astype(np.int64)), pa.array(w.astype(np.int32)), pa.nulls(len(h), pa.binary())], list(out))
+            data, offsets, sums = _symbols(part.column("text"), words)
+            own = part.column("own")
+            count = own.value_lengths().to_numpy(zero_copy_only=False)
+            flat = own.flatten()
+            g, s, k, d, many = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("g", "s", "k", "d", "many"))
+            doc = np.repeat(np.arange(len(own)), count)
+            # Blocks by how far the anchor lies behind the start: from d - k + 1 to d.
+            b0, b1 = (d - k + 1) // starts, d // starts
+            blocks = b1 - b0 + 1
+            row = np.repeat(np.arange(len(g)), blocks)
+            b = np.repeat(b1, blocks) - (np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks))
+            a = s[row] + d[row] - (b * starts + starts - 1)
+            lo, hi = np.maximum(0, s[row] - a), np.minimum(starts, s[row] + k[row] - a)
+            base, end = offsets[doc[row]], offsets[doc[row] + 1]
+            inside = base + a + hi - 1 + depth <= end  # else of another text with this id
+            row, b, a, lo, hi, base = (x[inside] for x in (row, b, a, lo, hi, base))
+            if not len(row):
+                continue
+            core = span_hash(sums, base + a + starts - 1, base + a + depth)
+            step = np.arange(starts - 1)
+            left = data[np.clip((base + a)[:, None] + step, 0, len(data) - 1)] * (step >= lo[:, None])
+            right = data[np.clip((base + a)[:, None] + depth + step, 0, len(data) - 1)] * (step < hi[:, None] - 1)
+            sides = [blobs(np.full(len(row), x.shape[1] * x.itemsize), np.ascontiguousarray(x.astype(data.dtype)).view(np.uint8).ravel()) for x in (left, right)]
+            yield pa.record_batch(
+                [pa.array(g[row]), pa.array(b.astype(np.int64)), pa.array(core.view(np.int64)), part.column("id").take(pa.array(doc[row])), pa.array(a.astype(np.int64)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), *sides, pa.array(many[row].astype(bool))],
+                ["g", "b", "core", "id", "s", "lo", "hi", "left", "right", "many"],
+            )
 
     return run
 
 
-def _buckets(depth: int, limit: int = 1 << 20):
-    """Repeated runs in segments that come ordered by anchor."""
+def _side(column: pa.Array, width: int, words: bool) -> np.ndarray:
+    data = np.frombuffer(b"".join(column.to_pylist()), U if words else np.uint8).reshape(len(column), width)
+    return np.unique(data, return_inverse=True)[1].reshape(data.shape) if words else data
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
-
-        def work() -> pa.RecordBatch:
-            found = repeated_starts([x[4] for x in held], np.array([x[3] for x in held], np.float64), depth)
-            ids, s, e = [], [], []
-            for x, again in zip(held, found, strict=True):
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], again.astype(np.int8), [0]])))
-                for a, b in edge.reshape(-1, 2).tolist():
-                    ids.append(x[1])
-                    s.append(x[2] + a)
-                    e.append(x[2] + b - 1 + depth)
-            return pa.record_batch([pa.array(ids, pa.int64()), pa.array(s, pa.int64()), pa.array(e, pa.int64())], ["id", "s", "e"])
 
+def _order(depth: int, starts: int, words: bool, kind: str):
+    """Repeated runs of starts in buckets, whose kinds come one after another in the order of their places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def work(t: pa.Table) -> pa.RecordBatch:
+            key = np.stack([t.column(c).to_numpy() for c in ("g", "b", "core")])
+            bucket = np.cumsum(np.concatenate([[False], (key[:, 1:] != key[:, :-1]).any(axis=0)]))
+            left, right = (_side(t.column(c).combine_chunks(), starts - 1, words) for c in ("left", "right"))
+            ids, s, lo, hi = (t.column(c).to_numpy() for c in ("id", "s", "lo", "hi"))
+            many = t.column("many").to_numpy().astype(bool)
+            o = np.arange(starts)
+            own = (o >= lo[:, None]) & (o < hi[:, None])
+            rank = _numbered(ranks(bucket, left, right)[own])
+            row = np.nonzero(own)[0]
+            earlier, later = factors(rank)
+            if kind == "across":
+                first, last = np.full((2, int(rank.max(initial=-1)) + 1), -1)
+                first[rank[earlier < 0]], last[rank[later < 0]] = ids[row[earlier < 0]], ids[row[later < 0]]
+                again = (first != last)[rank] | (np.bincount(rank, weights=many[row]) > 0)[rank]
+            else:
+                again = earlier >= 0
+                if kind == "all":
+                    again |= later >= 0
+            found = np.zeros((len(ids), starts + 2), np.int8)
+            found[:, 1:-1][own] = again
+            step = np.diff(found, axis=1)
+            r, begin = np.nonzero(step == 1)
+            end = np.nonzero(step == -1)[1]
+            return pa.record_batch([pa.array(ids[r]), pa.array(s[r] + begin), pa.array(s[r] + end - 1 + depth)], ["id", "s", "e"])
+
+        held: list[pa.RecordBatch] = []
+        rows = 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("g", "id", "s", "w", "bytes")), strict=True):
-                if size > limit and row[0] != held[-1][0]:
-                    yield work()
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[4])
-        if held:
-            yield work()
+            if rows > HELD and batch.num_rows:
+                table = pa.Table.from_batches(held)
+                # What stands in the last bucket waits for the rest of it.
+                same = np.ones(len(table), bool)
+                for c in ("g", "b", "core"):
+                    x = table.column(c).to_numpy()
+                    same &= x == x[-1]
+                cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+                if cut:
+                    yield work(table.slice(0, cut))
+                held = table.slice(cut).to_batches()
+                rows = len(table) - cut
+            held.append(batch)
+            rows += batch.num_rows
+        if rows:
+            yield work(pa.Table.from_batches(held))
 
     return run
 
 
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches, "text"):
-        data, offsets = raw(part.column("text"))
-        rows = []
-        for i, own in enumerate(part.column("spans").to_pylist()):
-            text = data[offsets[i] : offsets[i + 1]]
-            runs: list[list[int]] = []
-            for x in sorted(own or (), key=lambda x: x["s"]):
-                if runs and x["s"] <= runs[-1][1]:
-                    runs[-1][1] = max(runs[-1][1], x["e"])
-                else:
-                    runs.append([x["s"], x["e"]])
-            runs = [[a, min(b, len(text))] for a, b in runs if a < len(text)]
-            kept, at = hashlib.sha256(), 0
-            for a, b in runs:
-                kept.update(text[at:a].tobytes())
-                at = b
-            kept.update(text[at:].tobytes())
-            rows.append((len(text), sum(b - a for a, b in runs), len(runs), kept.hexdigest(), [{"s": a, "e": b} for a, b in runs]))
-        cols = list(zip(*rows, strict=True))
-        kind = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
-        yield pa.record_batch([part.column("id"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), kind), strict=True))], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "runs"])
-
-
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, gram: int = GRAM, many: int = MANY) -> DataFrame:
-    """(id, s, e) byte ranges, end excluded, whose strings of ``depth`` bytes also start elsewhere; they may overlap."""
+def _halves(rows: DataFrame, starts: int, unit: int) -> DataFrame:
+    """Blocks of ``starts`` starts as blocks of half as many; what a half's strings have in common goes to its core."""
+    half = starts // 2
+    parts = []
+    for h in (0, 1):
+        part = lambda c, a, b: F.substring(F.col(c), a * unit + 1, (b - a) * unit)
+        at = h * half
+        lo, hi = F.greatest(F.lit(0), F.col("lo") - at), F.least(F.lit(half), F.col("hi") - at)
+        parts.append(
+            rows.where((F.col("lo") < at + half) & (F.col("hi") > at)).select(
+                "g", (F.col("b") * 2 + h).alias("b"), F.xxhash64("core", part("left", at + half - 1, starts - 1), part("right", 0, at)).alias("core"), "id", (F.col("s") + at).alias("s"),
+                lo.alias("lo"), hi.alias("hi"), part("left", at, at + half - 1).alias("left"), part("right", at, at + half - 1).alias("right"), "many",
+            )
+        )
+    return parts[0].unionByName(parts[1])
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, gram: int = GRAM, kind: str = "all", words: bool = False, starts: int = STARTS, kinds: int = KINDS) -> DataFrame:
+    """(id, s, e) ranges of symbols, end excluded, of strings of ``depth`` symbols that occur more than once; ranges may overlap.
+
+    ``kind`` "all": of all of them; "later": of those with an earlier match by
+    (id, place), so that first copies stay; "across": some of a document's
+    strings that stand in another document too, for each document that has one.
+    Symbols are bytes, or with ``words`` the words ``[^\\x20\\x09-\\x0D]+`` as
+    written.  Rows of a null id have no range.
+    """
     scratch = Scratch(docs.sparkSession, "suffix")
-    text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    anchors = scratch.write(text.mapInArrow(_anchors(depth, gram), "id long, g long, seg long, s long, k int"), "anchors")
-    often = anchors.groupBy("g").count().where("count > 1").select("g")
+    text = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    anchors = scratch.write(text.mapInArrow(_anchors(depth, gram, words), ANCHORS), "anchors")
+    across, unit = kind == "across", 8 if words else 1
+    # Of a document that holds a string more than once, one place does for what other documents have of it.
+    several = F.min("id") < F.max("id") if across else F.count("*") > 1
+    often = anchors.groupBy("g").agg(several.alias("several")).where("several").select("g")
     shared = scratch.write(anchors.join(often, "g", "left_semi"), "shared")
     scratch.release()
     scratch.drop("anchors")
-    one = F.min(F.struct("id", "s", "k")).alias("one")
-    classes = scratch.write(shared.groupBy("g", "seg").agg(F.count("*").alias("n"), one), "classes")
-    groups = classes.groupBy("g").agg(F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("single")).where("single > 0 and kinds > 1")
-    # Segments to compare: one of each kind, in groups where some segment stands alone.
-    need = classes.join(groups, "g").select("g", "one.*", F.when(F.col("n") > 1, 2).otherwise(1).alias("w"), (F.col("kinds") > many).alias("hot"))
-    per = need.groupBy("id").agg(F.collect_list(F.struct("g", "s", "k", "w", "hot")).alias("own"))
-    cut = scratch.write(text.join(per, "id").mapInArrow(_cut(depth), "g long, id long, s long, w int, bytes binary"), "cut")
-    cold = cut.where("bytes is not null")
-    found = cold.repartition("g").sortWithinPartitions("g").mapInArrow(_buckets(depth), "id long, s long, e long")
-    hot = cut.where("bytes is null")
-    again = hot.groupBy("g").agg(F.sum("w").alias("n")).where("n > 1").select("g")
-    single = hot.join(again, "g", "left_semi").select("id", "s", (F.col("s") + depth).alias("e"))
-    whole = shared.join(classes.where("n > 1").select("g", "seg"), ["g", "seg"], "left_semi").select("id", "s", (F.col("s") + F.col("k") - 1 + depth).alias("e"))
-    out = scratch.write(found.unionByName(single).unionByName(whole), "spans")
+    one = F.min(F.struct("id", "s", "k", "d")).alias("one")
+    classes = scratch.write(shared.groupBy("g", "seg").agg(several.alias("many"), one), "classes")
+    groups = classes.groupBy("g").agg(F.count("*").alias("kinds"), F.count_if(~F.col("many")).alias("single")).where("kinds > 1" if kind == "later" else "kinds > 1 and single > 0")
+    need = classes.join(groups, "g").select("g", "one.*", "many")
+    per = need.groupBy("id").agg(F.collect_list(F.struct("g", "s", "k", "d", "many")).alias("own"))
+    blocks = scratch.write(text.join(per, "id").mapInArrow(_cut(depth, starts, words), BLOCKS), "blocks")
     scratch.release()
-    for name in ("shared", "classes", "cut"):
+    span = (F.col("id"), (F.col("s") + F.col("lo")).alias("s"), (F.col("s") + F.col("hi") - 1 + depth).alias("e"))
+    whole = shared.join(classes.where("many").select("g", "seg", F.col("one.id").alias("id1"), F.col("one.s").alias("s1")), ["g", "seg"])
+    if kind == "later":
+        whole = whole.where("id <> id1 or s <> s1")
+    found = [whole.select("id", "s", (F.col("s") + F.col("k") - 1 + depth).alias("e"))]
+    bucket, level = ["g", "b", "core"], 0
+    while True:
+        # Cores that occur once hold no repeat; equal flanks are one kind.
+        often = blocks.groupBy(*bucket).agg((F.count("*") > 1).alias("several")).where("several").select(*bucket)
+        flanks = [*bucket, "lo", "hi", "left", "right"]
+        alive = blocks.join(often, bucket, "left_semi")
+        kept = alive.groupBy(*flanks).agg(several.alias("equal"), F.max("many").alias("many"), F.min(F.struct("id", "s")).alias("one"))
+        kept = scratch.write(kept.select(*flanks, "equal", F.col("one.id").alias("id"), F.col("one.s").alias("s"), (F.col("many") | F.col("equal")).alias("many")), f"kinds{level}")
+        equal = blocks.join(kept.where("equal").select(*flanks, F.col("id").alias("id1"), F.col("s").alias("s1")), flanks)
+        if kind == "later":
+            equal = equal.where("id <> id1 or s <> s1")
+        found.append(equal.select(*span))
+        if starts == 1:
+            break
+        sizes = kept.groupBy(*bucket).agg(F.count("*").alias("m"), F.count_if(~F.col("many")).alias("single")).where("m > 1" if kind == "later" else "m > 1 and single > 0")
+        sizes = scratch.write(sizes.select(*bucket, "m"), f"sizes{level}")
+        small = kept.join(sizes.where(F.col("m") <= kinds), bucket)
+        found.append(small.repartition(*bucket).sortWithinPartitions(*bucket, "id", "s").select("g", "b", "core", "id", "s", "lo", "hi", "left", "right", "many").mapInArrow(_order(depth, starts, words, kind), "id long, s long, e long"))
+        large = sizes.where(F.col("m") > kinds)
+        if large.isEmpty():
+            break
+        blocks = scratch.write(_halves(kept.join(large.select(*bucket), bucket, "left_semi"), starts, unit), f"blocks{level + 1}")
+        starts, level = starts // 2, level + 1
+        scratch.release()
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    out = scratch.write(out.distinct() if across else out, "spans")
+    scratch.release()
+    for name in ("shared", "classes", "blocks", *(f"{n}{i}" for i in range(level + 1) for n in ("kinds", "sizes", "blocks"))):
         scratch.drop(name)
     return out
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, gram: int = GRAM, many: int = MANY) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256, runs) of every row: what is left without any repeated string.
+def merged(spans: DataFrame) -> DataFrame:
+    """Maximal runs of (id, s, e) ranges that touch or overlap."""
+    order = W.partitionBy("id").orderBy("s", "e")
+    reach = F.max("e").over(order.rowsBetween(W.unboundedPreceding, -1))
+    fresh = F.when(reach.isNull() | (F.col("s") > reach), 1).otherwise(0)
+    runs = spans.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    return runs.groupBy("id", "run").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("run")
+
+
+REMOVED = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, runs array<struct<s: long, e: long>>"
+
+
+def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches, "text"):
+        data, offsets = raw(part.column("text"))
+        spans = part.column("spans")
+        count = np.nan_to_num(spans.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+        flat = spans.flatten()
+        doc = np.repeat(np.arange(len(count)), count)
+        base, end = offsets[doc], offsets[doc + 1]
+        a, b = (np.minimum(base + flat.field(c).to_numpy(zero_copy_only=False), end) for c in ("s", "e"))
+        some = a < b
+        order = np.argsort(a[some], kind="stable")
+        a, b, doc = a[some][order], b[some][order], doc[some][order]
+        edge = np.zeros(len(data) + 1, np.int8)
+        edge[a] += 1
+        np.subtract.at(edge, b, 1)  # a run may begin where that of the text before ends
+        keep = np.cumsum(edge[:-1], dtype=np.int8) == 0
+        left, at = data[keep], np.concatenate([[0], np.cumsum(keep)])[offsets]
+        hashes = [hashlib.sha256(left[i:j].tobytes()).hexdigest() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        size, runs = np.diff(offsets), np.bincount(doc, minlength=len(count))
+        places = pa.StructArray.from_arrays([pa.array(x - offsets[doc]) for x in (a, b)], ["s", "e"])
+        yield pa.record_batch([part.column("id"), pa.array(size), pa.array(size - np.diff(at)), pa.array(runs), pa.array(hashes, pa.string()), lists(runs, places)], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "runs"])
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, gram: int = GRAM, kind: str = "all", starts: int = STARTS, kinds: int = KINDS) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept_sha256, runs) of every row: what is left without repeated strings.
 
     Each byte that a string of ``depth`` bytes covers which also starts anywhere
     else, in the same text or another, is removed; strings are judged on the
-    input.  ``runs`` are the removed (s, e) byte ranges.
+    input.  With ``kind`` "later" the first copy of a string, by (id, place),
+    stays.  ``runs`` are the removed (s, e) byte ranges.
 
     Null texts are empty; texts of fewer bytes than ``depth`` stay whole; very
-    long ones are taken whole.  Copies, ties and repeated rows: every copy is
-    removed, the first too.  Rows that share an id must share the text (their
-    ranges are one set).  A null id keeps its text whole.  An empty table gives
-    an empty result; other columns are not read.
+    long ones are taken whole.  Copies, ties and repeated rows: with "all" every
+    copy is removed, the first too, and rows that repeat an id and text are
+    copies of each other; with "later" they count as one.  Rows that share an id and
+    differ in text have one set of ranges, that of both texts.  A null id keeps
+    its text whole.  An empty table gives an empty result; other columns are not read.
     """
-    spans = repeats(docs, id_col, text_col, depth, gram, many).groupBy("id").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    spans = merged(repeats(docs, id_col, text_col, depth, gram, kind, False, starts, kinds)).groupBy("id").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = text.join(spans, "id", "left").mapInArrow(_remove, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, runs array<struct<s: long, e: long>>")
-    return out.withColumnRenamed("id", id_col)
+    return text.join(spans, "id", "left").mapInArrow(_remove, REMOVED).withColumnRenamed("id", id_col)
 
 
-def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
-    """(id, s, e) of repeated ranges that aren't first: the first copy of a string, by (id, place), stays.
+def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, **options: object) -> DataFrame:
+    """(id, s, e) maximal byte ranges of repeated strings that aren't first: the first copy of a string, by (id, place), stays."""
+    return merged(repeats(docs, id_col, text_col, depth, kind="later", **options))
 
-    Strings are keyed by hash, and the least (id, place) of a key is its first copy.
-    """
-    spans = repeats(docs, id_col, text_col, depth)
-    text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    per = spans.select("id", F.struct(F.lit(0).cast("long").alias("g"), "s", (F.col("e") - F.col("s") - depth + 1).cast("int").alias("k"), F.lit(1).alias("w"), F.lit(True).alias("hot")).alias("x")).groupBy("id").agg(F.collect_set("x").alias("own"))
-    each = text.join(per, "id").mapInArrow(_cut(depth), "g long, id long, s long, w int, bytes binary").select("g", "id", "s").distinct()
-    first = each.groupBy("g").agg(F.min(F.struct("id", "s")).alias("f"))
-    later = each.join(first, "g").where("id <> f.id or s <> f.s")
-    run = W.partitionBy("id").orderBy("s")
-    starts = later.select("id", "s").distinct().withColumn("r", F.col("s") - F.row_number().over(run))
-    return starts.groupBy("id", "r").agg(F.min("s").alias("s"), (F.max("s") + depth).alias("e")).drop("r")
+
+def sharing_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage: int = PASSAGE, gram: int = PASSAGE_GRAM, **options: object) -> DataFrame:
+    """(id), under the name of ``id_col``, of the documents with a string of ``passage`` words, as written, that stands in another document too."""
+    return repeats(docs, id_col, text_col, passage, gram, "across", True, **options).select(F.col("id").alias(id_col)).distinct()

@@ -100,13 +100,18 @@ def spans(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.n
     return start, end, np.searchsorted(start, offsets)
 
 
-def prefix(data: np.ndarray) -> np.ndarray:
-    """Prefix sums of the polynomial hash: one more entry than bytes."""
-    out = np.zeros(len(data) + 1, U)
-    np.cumsum(_LETTER[data] * _power(len(data) + 1)[0][: len(data)], out=out[1:])
+def prefix_of(values: np.ndarray) -> np.ndarray:
+    """Prefix sums of the polynomial hash of 64-bit symbols: one more entry than symbols."""
+    out = np.zeros(len(values) + 1, U)
+    np.cumsum(values * _power(len(values) + 1)[0][: len(values)], out=out[1:])
     return out
 
 
+def prefix(data: np.ndarray) -> np.ndarray:
+    """Prefix sums of the polynomial hash of bytes."""
+    return prefix_of(_LETTER[data])
+
+
 def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of the byte strings [start, end); equal strings have equal hashes wherever they stand."""
     return mix((sums[end] - sums[start]) * _power(len(sums))[1][start] + (end - start).astype(U) * U(0xD6E8FEB86659FD93))

@@ -81,39 +81,83 @@ def removed(rows, depth=400):
     return out
 
 
-@pytest.mark.parametrize("many", [256, 1])
-def test_suffix_odd_rows(odd, odd_rows, empty, many):
-    got = {r.doc_id: tuple(r)[1:5] for r in suffix.without_repeats(odd, many=many).collect()}
-    assert got == removed(odd_rows)
-    assert suffix.without_repeats(empty).count() == 0
-
-
-def test_suffix_common_passage(spark):
-    """One passage in many texts, with different surroundings; segments by suffix order and by hash agree."""
-    passage = prose(9, 150)
-    rows = [(i, f"{prose(100 + i, 60 + i)} {passage[: 700 if i % 2 else None]} {prose(200 + i, 50)}") for i in range(30)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    for many in (256, 4):
-        assert {r.doc_id: tuple(r)[1:5] for r in suffix.without_repeats(df, many=many).collect()} == removed(rows)
-
-
-def test_later_copies_keep_the_first(spark):
-    rows = [(1, prose(1, 200)), (2, "lead " + prose(1, 200)), (3, prose(2, 200))]
-    got = {(r.id, r.s): r.e for r in suffix.later_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {(2, 5): len(rows[1][1])}
-
-
-def test_previous_factors():
-    for text in (b"", b"a", b"aaaaaa", b"abracadabra", b"mississippi", bytes(random.Random(3).choices(b"ab", k=60))):
-        data = np.frombuffer(text, np.uint8)
-        length, source = suffix.previous_factors(data)
-        for i in range(len(text)):
-            best = max((next((k for k in range(len(text) - i) if text[i + k] != text[j + k]), len(text) - i) for j in range(i)), default=0)
-            assert length[i] == best
-            if best:
-                assert 0 <= source[i] < i and text[source[i] : source[i] + best] == text[i : i + best]
-        assert suffix.suffix_array(data).tolist() == sorted(range(len(text)), key=lambda i: text[i:])
-        assert (np.unique(suffix.suffix_ranks(data, 3), return_inverse=True)[1] == np.unique([text[i : i + 3].ljust(3, b"\0") for i in range(len(text))], return_inverse=True)[1]).all()
+def repeated_words(rows, passage=51):
+    """Documents with a string of ``passage`` words that another document has."""
+    words = {i: re.findall(r"[^\x20\x09-\x0d]+", t or "") for i, t in rows}
+    where = {}
+    for i, w in words.items():
+        for k in range(len(w) - passage + 1):
+            where.setdefault(tuple(w[k : k + passage]), set()).add(i)
+    return {i for own in where.values() if len(own) > 1 for i in own}
+
+
+def first_kept(rows, depth=400):
+    """Maximal byte ranges of strings that occurred before, by (id, place)."""
+    seen, out = set(), set()
+    for i, t in sorted(rows):
+        b = (t or "").encode()
+        again = np.zeros(len(b) + 1, int)
+        for k in range(len(b) - depth + 1):
+            if b[k : k + depth] in seen:
+                again[k] += 1
+                again[k + depth] -= 1
+            seen.add(b[k : k + depth])
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(again[:-1]) > 0, [0]])))
+        out |= {(i, a, e) for a, e in edge.reshape(-1, 2).tolist()}
+    return out
+
+
+def check_suffix(df, rows, **options):
+    assert {r.doc_id: tuple(r)[1:5] for r in suffix.without_repeats(df, **options).collect()} == removed(rows)
+    assert {(r.id, r.s, r.e) for r in suffix.later_copies(df, **options).collect()} == first_kept(rows)
+    assert {r.doc_id for r in suffix.sharing_passages(df, **options).collect()} == repeated_words(rows)
+
+
+def test_suffix_odd_rows(odd, odd_rows, empty):
+    check_suffix(odd, odd_rows)
+    assert suffix.without_repeats(empty).count() == 0 and suffix.later_copies(empty).count() == 0 and suffix.sharing_passages(empty).count() == 0
+
+
+def test_suffix_repeated_rows(spark, odd, odd_rows):
+    twice = {r.doc_id: tuple(r)[1:5] for r in suffix.without_repeats(odd.union(odd)).collect()}
+    whole = {i: (len((t or "").encode()),) for i, t in odd_rows}
+    for i, (size,) in whole.items():
+        assert twice[i][:3] == ((size, size, 1) if size >= 400 else (size, 0, 0))
+    assert suffix.without_repeats(odd.union(odd)).count() == 2 * len(odd_rows)
+    rows = [(None, prose(1, 200)), (None, prose(1, 200)), (3, prose(1, 200)), (3, prose(2, 90)), (4, prose(2, 90))]
+    got = suffix.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_removed) for r in got)[:2] == [(0, 0), (0, 0)] and len(got) == 5
+    assert [r.n_removed for r in got if r.doc_id == 4] == [len(prose(2, 90)) if len(prose(2, 90)) >= 400 else 0]
+
+
+@pytest.mark.parametrize("kinds", [8192, 3])
+def test_suffix_common_passage(spark, kinds):
+    """One passage in many texts, with different surroundings, more kinds than a bucket may hold, and strings repeated inside a text."""
+    passage, r = prose(9, 150), random.Random(2)
+    rows = [(i, f"{prose(100 + i, 60 + i)} {passage[r.randrange(40) : r.randrange(600, 800)]} {prose(200 + i, 50)}") for i in range(30)]
+    rows += [(40 + i, f"{prose(300 + i, 20)}{'ab' * (199 + i)}{prose(400 + i, 20)}") for i in range(4)]
+    rows += [(50, f"{prose(9, 90)} x {prose(9, 90)}"), (51, " ".join(["lorem ipsum"] * 90)), (52, " ".join(prose(9, 150).split()[20:71])), (53, " ".join(prose(9, 150).split()[20:70]))]
+    check_suffix(spark.createDataFrame(rows, "doc_id long, text string"), rows, kinds=kinds)
+
+
+def test_factors():
+    """Earlier and later matches against the definition, from ranks of strings of three."""
+    for text in (b"", b"ab", b"aaaaaa", b"abracadabra", b"mississippi", bytes(random.Random(3).choices(b"ab", k=60))):
+        strings = [text[i : i + 3] for i in range(len(text) - 2)]
+        earlier, later = suffix.factors(np.unique(strings, return_inverse=True)[1] if strings else np.zeros(0, np.int64))
+        for i, s in enumerate(strings):
+            assert earlier[i] == max((j for j in range(i) if strings[j] == s), default=-1)
+            assert later[i] == min((j for j in range(i + 1, len(strings)) if strings[j] == s), default=-1)
+
+
+def test_ranks_of_flanks():
+    r = np.random.default_rng(4)
+    bucket, left, right = np.sort(r.integers(0, 3, 40)), r.integers(0, 2, (40, 3)).astype(np.uint8), r.integers(0, 2, (40, 3)).astype(np.uint8)
+    rank = suffix.ranks(bucket, left, right)
+    keys = [(b, o, bytes(x[o:]), bytes(y[:o])) for b, x, y in zip(bucket, left, right, strict=True) for o in range(4)]
+    for i, a in enumerate(keys):
+        for j, b in enumerate(keys):
+            assert (rank.ravel()[i] == rank.ravel()[j]) == (a == b)
 
 
 def test_chains_find_fuzzy_passages(spark):
