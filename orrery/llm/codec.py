@@ -5,14 +5,18 @@ ids.  Each block is coded from a fresh state, so that blocks decode (and fail
 their checksum) independently; numpy codes many blocks in step, one id of each
 block at a time, as lanes of one array program.
 
-Prediction.  Order 2 and order 1 each keep, in hashed slots of the block, the
-id that followed the context last and how sure it is; order 0 is the file's id
-frequencies, which stand in its header.  The candidate of the highest order
-that has one is coded as hit or miss.  Its probability mixes three predictions
-in the logistic domain with weights that adapt after each id: how often
-order-2 slots of this state hit, how often order-1 slots of this state hit, and
-order 0's probability of the candidate.  A missed id is coded by order 0.  All
-of it is integer arithmetic, the same on every machine.
+Prediction.  All three orders adapt within the block.  Order 2 and order 1 keep, in
+hashed slots, the id that followed the context last and how sure it is; order 0
+keeps the last id of each class of ids.  The candidate of the highest order that
+has one is coded as hit or miss; the probability mixes, in the logistic domain and
+with weights that adapt after each id, how often slots of order 2 and of order 1 in
+their present state were right, and order 0's frequency of the candidate.  A
+missed id is coded by order 0: its class, then whether it is the class's last id,
+with an adaptive probability, and else its place in the class.  Classes have about equal shares of the file's ids (the
+header has the frequencies); a frequent id is a class by itself.  All of it is
+integer arithmetic, the same on every machine.
+
+Coder.  A carry range coder with 64-bit ranges that gives out 32-bit words.
 
 File: magic, lengths of the sections, header (JSON with counts and checksums),
 symbols (zlib: distinct ids and frequencies), documents (zlib: document keys
@@ -28,11 +32,12 @@ import zlib
 import numpy as np
 
 U = np.uint64
-MAGIC = b"OCM1"
-BLOCK, LANES = 1024, 4096
+MAGIC = b"OCM2"
+BLOCK, LANES = 1024, 8192
 SLOTS = 1024
-ORDER0 = 20
-_TOP, _BOT = U(1 << 48), U(1 << 32)
+#: Bits of class frequencies and of places in a class.
+CLASSES, INSIDE = 16, 12
+_LEAST, _WORD = U(1 << 32), U(32)
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -50,155 +55,273 @@ class FileError(ValueError):
     """A file that is cut, changed or of another format."""
 
 
-def frequencies(count: np.ndarray) -> np.ndarray:
-    """Counts scaled to integers of at least 1 that sum to 2 ** ORDER0."""
-    total = 1 << ORDER0
-    if len(count) > total // 2:
-        raise ValueError("a file can hold at most %d distinct ids" % (total // 2))
-    f = 1 + (count.astype(np.int64) * (total - len(count))) // int(count.sum())
+def scaled(count: np.ndarray, bits: int) -> np.ndarray:
+    """Counts scaled to integers of at least 1 that sum to 2 ** bits."""
+    total = 1 << bits
+    f = 1 + (count.astype(np.int64) * (total - len(count))) // max(1, int(count.sum()))
     f[np.argmax(f)] += total - int(f.sum())
     return f
 
 
+class Symbols:
+    """Classes of the symbols 0 .. n - 1, in the order of their numbers: frequencies of classes, and of symbols in their class.
+
+    A symbol with 1 / 512 of all ids or more is a class by itself.  The others
+    are cut into runs of about 1 / 512, and of 2 ** INSIDE - 1 symbols at most.
+    """
+
+    def __init__(self, count: np.ndarray):
+        n, total = len(count), int(count.sum())
+        alone = count * 512 >= max(1, total)
+        rest = np.where(alone, 0, count.astype(np.int64))
+        run = np.cumsum(rest) * 512 // max(1, total)
+        place = np.cumsum(~alone) // ((1 << INSIDE) - 1)
+        key = np.where(alone, np.arange(n) + 2, 0) + (np.where(alone, 0, run * (n + 2) + place) * (n + 2))
+        _, first, self.of = np.unique(key, return_index=True, return_inverse=True)
+        self.of = self.of.astype(np.int64)
+        self.n = max(1, len(first))
+        if self.n > 1 << CLASSES - 1:
+            raise ValueError("a file can't have so many distinct ids")
+        mass = np.bincount(self.of, weights=count, minlength=self.n).astype(np.int64)
+        self.freq = scaled(mass, CLASSES)
+        self.cum = np.cumsum(self.freq) - self.freq
+        self.single = np.bincount(self.of, minlength=self.n) == 1
+        # Places in a class: 2 ** INSIDE shared by its symbols.
+        order = np.argsort(self.of, kind="stable")
+        inside = np.empty(n, np.int64)
+        start = np.searchsorted(self.of[order], np.arange(self.n + 1))
+        for a, b in zip(start[:-1].tolist(), start[1:].tolist(), strict=True):
+            if b > a:
+                inside[order[a:b]] = scaled(count[order[a:b]], INSIDE)
+        self.inside, flat = inside, inside[order]
+        before = np.empty(n, np.int64)
+        before[order] = np.cumsum(flat) - flat - (self.of[order] << INSIDE)
+        self.before = before
+        self.ordered = order
+        share = np.clip((count.astype(np.int64) << 12) // max(1, total), 0, 4095)
+        self.stretched = STRETCH[share]
+        self.freq, self.cum, self.inside, self.before = (x.astype(U) for x in (self.freq, self.cum, self.inside, self.before))
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """The class at each of 2 ** CLASSES places, and the symbol at each place of each class."""
+        return np.repeat(np.arange(self.n), self.freq.astype(np.int64)), np.repeat(self.ordered, self.inside[self.ordered].astype(np.int64))
+
+
 class _Lanes:
     """State of blocks that are coded in step."""
 
-    def __init__(self, lanes: int, freq: np.ndarray):
-        self.n = lanes
-        self.freq, self.cum = freq.astype(U), np.concatenate([[0], np.cumsum(freq)]).astype(U)
-        p = np.clip(freq >> (ORDER0 - 12), 0, 4095)
-        self.s0 = STRETCH[p]
-        self.row = np.arange(lanes) * SLOTS
-        self.cand = [np.zeros(lanes * SLOTS, np.int32) for _ in range(2)]
-        self.sure = [np.zeros(lanes * SLOTS, np.int8) for _ in range(2)]
-        self.hits = [np.full(lanes * 16, 1 << 15, np.int32) for _ in range(2)]
-        self.row16 = np.arange(lanes) * 16
-        self.weights = [np.full(lanes, w, np.int32) for w in (26_000, 22_000, 12_000)]
-        self.low, self.range = np.zeros(lanes, U), np.full(lanes, 0xFFFFFFFFFFFFFFFF, U)
-        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    def __init__(self, lanes: int, symbols: Symbols):
+        self.stretched = symbols.stretched
+        self.row, self.row0, self.row16 = (np.arange(lanes) * k for k in (SLOTS, symbols.n, 16))
+        self.slots = [np.zeros(lanes * k, np.int32) for k in (symbols.n, SLOTS, SLOTS)]
+        self.hits = [None, *(np.full(lanes * 16, 1 << 15, np.int32) for _ in range(2))]
+        self.recent = np.full(lanes * 8, 1 << 15, np.int32)
+        self.row8 = np.arange(lanes) * 8
+        self.weights = [np.full(lanes, w, np.int32) for w in (12_000, 22_000, 26_000)]
+        self.range = np.full(lanes, 0xFFFFFFFFFFFFFFFF, U)
+        self.last, self.mixed = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
 
     def predict(self) -> None:
-        a = ((self.last * 0x9E3779B1) >> 12) & (SLOTS - 1)
-        b = ((self.last * 0x85EBCA6B + self.before * 0xC2B2AE35) >> 13) & (SLOTS - 1)
-        self.slot = (self.row + a, self.row + b)
-        c1, c2 = (self.cand[k][self.slot[k]] for k in (0, 1))
-        k1, k2 = (self.sure[k][self.slot[k]] for k in (0, 1))
-        self.guess = np.where(k2 > 0, c2, c1)
-        self.has = (k1 > 0) | (k2 > 0)
-        self.found = ((c1, k1), (c2, k2))
-        self.state = (self.row16 + k1 * 2 + (c1 == self.guess), self.row16 + k2 * 2 + (c1 == c2))
-        self.seen = tuple(self.hits[k][self.state[k]] for k in (0, 1))
-        self.inputs = (STRETCH[self.seen[0] >> 4], STRETCH[self.seen[1] >> 4], self.s0[self.guess])
-        w = self.weights
-        dot = (self.inputs[0] * w[0] + self.inputs[1] * w[1] + self.inputs[2] * w[2]) >> 16
-        self.p = SQUASH[np.clip(dot, -2047, 2047) + 2048]
-
-    def learn(self, symbol: np.ndarray, hit: np.ndarray) -> None:
-        error = np.where(self.has, (hit.astype(np.int32) << 12) - self.p, 0) * 6
+        """``guess`` and ``p``, 12 bits, which is 0 where there is none."""
+        a = self.last * 0x9E3779B1
+        at1, at2 = a >> 12, (a + self.mixed) >> 13
+        self.mixed = self.last * 0xC2B2AE35
+        for x in (at1, at2):
+            x &= SLOTS - 1
+            x += self.row
+        self.at = [None, at1, at2]
+        v1, v2 = self.slots[1].take(at1, mode="clip"), self.slots[2].take(at2, mode="clip")
+        g = np.where(v2, v2, v1)
+        guess = g >> 3
+        self.guess, self.v = guess, [None, v1, v2]
+        self.states, self.seen, self.inputs = [None], [None], [self.stretched.take(guess, mode="clip")]
+        for k, v in ((1, v1), (2, v2)):
+            state = v & 7
+            state <<= 1
+            state += (v ^ g) < 8
+            state = state + self.row16
+            seen = self.hits[k].take(state, mode="clip")
+            self.states.append(state)
+            self.seen.append(seen)
+            self.inputs.append(STRETCH.take(seen >> 4, mode="clip"))
+        w, x = self.weights, self.inputs
+        dot = x[0] * w[0]
+        dot += x[1] * w[1]
+        dot += x[2] * w[2]
+        dot >>= 16
+        dot += 2048
+        p = SQUASH.take(dot, mode="clip")
+        p *= g > 0
+        self.p = p
+
+    def learn(self, symbol: np.ndarray, hit: np.ndarray, at0: np.ndarray, v0: np.ndarray) -> None:
+        """``at0`` and ``v0``: the symbol's slot of order 0, and what stood there."""
+        goal = hit.astype(np.int32)
+        error = ((goal << 12) - self.p) * (self.p > 0)
+        error *= 6
+        goal *= 65535
         for k in range(3):
-            self.weights[k] += (self.inputs[k] * error + 0x8000) >> 16
-        goal = hit.astype(np.int32) * 65535
-        for k in (0, 1):
-            self.hits[k][self.state[k]] = self.seen[k] + np.where(self.has, (goal - self.seen[k]) >> 4, 0)
-            c, s = self.found[k]
-            same = c == symbol
-            keep = same | (s > 1)
-            self.cand[k][self.slot[k]] = np.where(keep, c, symbol)
-            self.sure[k][self.slot[k]] = np.where(same, np.minimum(s + 1, 7), np.where(keep, s >> 1, 1))
-        self.before, self.last = self.last, symbol
-
-    def renew(self) -> np.ndarray | None:
-        """Lanes whose next 16 bits are settled."""
-        settled = (self.low ^ (self.low + self.range)) < _TOP
-        narrow = (self.range < _BOT) & ~settled
-        at = np.flatnonzero(settled | narrow)
-        if not len(at):
-            return None
-        cut = np.flatnonzero(narrow)
-        self.range[cut] = (~self.low[cut] + U(1)) & (_BOT - U(1))
-        return at
-
-
-def _encode_lanes(symbols: np.ndarray, freq: np.ndarray) -> list[bytes]:
+            x = self.inputs[k] * error
+            x += 0x8000
+            x >>= 16
+            self.weights[k] += x
+        for k in (1, 2):
+            seen = goal - self.seen[k]
+            seen >>= 4
+            seen += self.seen[k]
+            self.hits[k][self.states[k]] = seen
+        first = (symbol << 3).astype(np.int32)
+        top = first | 7
+        first |= 1
+        for k, (v, at) in enumerate(((v0, at0), (self.v[1], self.at[1]), (self.v[2], self.at[2]))):
+            sure = v & 7
+            np.minimum(sure, 6, out=sure)
+            sure *= (v ^ top) < 8
+            sure += first
+            self.slots[k][at] = sure
+        self.last = symbol
+
+
+def _encode_lanes(symbols: np.ndarray, of: Symbols) -> list[bytes]:
     """Codes of the rows of ``symbols``."""
     lanes, steps = symbols.shape
-    s = _Lanes(lanes, freq)
-    out, size = np.zeros((lanes, steps * 4 + 8), np.uint16), np.zeros(lanes, np.int64)
-
-    def flush() -> None:
-        while (at := s.renew()) is not None:
-            out[at, size[at]] = (s.low[at] >> U(48)).astype(np.uint16)
-            size[at] += 1
-            s.low[at] <<= U(16)
-            s.range[at] <<= U(16)
-
-    columns = np.ascontiguousarray(symbols.T.astype(np.int64))
-    for t in range(steps):
-        symbol = columns[t]
+    s = _Lanes(lanes, of)
+    low = np.zeros(lanes, U)
+    # Words are kept in 64 bits: carries are added to the last word and carried on at the end.
+    width = 8 + steps // 2
+    out, size, first = np.zeros((lanes, width), U), np.ones(lanes, np.int64), np.arange(lanes)
+
+    def add(at: np.ndarray, by: np.ndarray) -> None:
+        now = low[at] + by
+        low[at] = now
+        over = now < by
+        if over.any():
+            lane = at[over]
+            out[lane, size[lane] - 1] += U(1)
+
+    def flush(at: np.ndarray) -> None:
+        nonlocal out, width
+        if len(at):
+            k = size[at]
+            if int(k.max()) >= width - 4:
+                out, width = np.concatenate([out, np.zeros_like(out)], axis=1), width * 2
+            x = low[at]
+            out[at, k] = x >> _WORD
+            size[at] = k + 1
+            low[at] = x << _WORD
+            s.range[at] <<= _WORD
+
+    for symbol in np.ascontiguousarray(symbols.T.astype(np.int64)):
         s.predict()
-        hit = s.has & (s.guess == symbol)
-        p = s.p.astype(U) << U(4)
-        r = s.range >> U(16)
-        bound = r * p
-        s.low += np.where(s.has & ~hit, bound, U(0))
-        s.range = np.where(hit, bound, np.where(s.has, r * (U(65536) - p), s.range))
-        flush()
+        hit = (s.guess == symbol) & (s.p > 0)
+        bound = (s.range >> U(12)) * s.p.astype(U)
+        s.range -= bound
+        at = np.flatnonzero(hit)
+        add(at, s.range[at])
+        s.range[at] = bound[at]
+        cls = of.of.take(symbol, mode="clip")
+        at0 = cls + s.row0
+        v0 = s.slots[0].take(at0, mode="clip")
         miss = np.flatnonzero(~hit)
         if len(miss):
-            r = s.range[miss] >> U(ORDER0)
-            s.low[miss] += r * s.cum[symbol[miss]]
-            s.range[miss] = r * s.freq[symbol[miss]]
-            flush()
-        s.learn(symbol, hit)
-    for k in range(4):
-        out[np.arange(lanes), size] = (s.low >> U(48)).astype(np.uint16)
+            c = cls[miss]
+            r = s.range[miss] >> U(CLASSES)
+            add(miss, r * of.cum.take(c, mode="clip"))
+            r *= of.freq.take(c, mode="clip")
+            s.range[miss] = r
+            flush(miss[r < _LEAST])
+            miss = miss[~of.single.take(c, mode="clip")]
+            x, v = symbol[miss], v0[miss]
+            state = s.row8[miss] + (v & 7)
+            p = s.recent.take(state, mode="clip")
+            same = ((v >> 3) == x) & (v > 0)
+            have = s.range[miss]
+            bound = (have >> U(16)) * p.astype(U) * (v > 0)
+            add(miss, bound * ~same)
+            s.range[miss] = np.where(same, bound, have - bound)
+            s.recent[state] = p + ((same * 65535 - p + 8) >> 4)
+            far = np.flatnonzero(~same)
+            at, x = miss[far], x[far]
+            r = s.range[at] >> U(INSIDE)
+            add(at, r * of.before.take(x, mode="clip"))
+            s.range[at] = r * of.inside.take(x, mode="clip")
+        flush(np.flatnonzero(s.range < _LEAST))
+        s.learn(symbol, hit, at0, v0)
+    for _ in range(2):
+        out[first, size] = low >> _WORD
         size += 1
-        s.low <<= U(16)
-    return [out[i, :n].astype("<u2").tobytes() for i, n in enumerate(size.tolist())]
+        low <<= _WORD
+    for k in range(int(size.max()) - 1, 0, -1):  # carries
+        out[:, k - 1] += out[:, k] >> _WORD
+    words = out.astype("<u4")
+    return [words[i, 1:n].tobytes() for i, n in enumerate(size.tolist())]
 
 
-def _decode_lanes(codes: list[bytes], steps: int, freq: np.ndarray) -> np.ndarray:
+def _decode_lanes(codes: list[bytes], steps: int, of: Symbols) -> np.ndarray:
     lanes = len(codes)
-    s = _Lanes(lanes, freq)
-    words = np.zeros((lanes, max(map(len, codes)) // 2 + 5), np.uint16)
+    s = _Lanes(lanes, of)
+    words = np.zeros((lanes, max(map(len, codes)) // 4 + 4), np.uint32)
     for i, c in enumerate(codes):
-        words[i, : len(c) // 2] = np.frombuffer(c, "<u2")
-    size, limit = np.full(lanes, 4, np.int64), words.shape[1] - 1
-    code = np.zeros(lanes, U)
-    for k in range(4):
-        code = code << U(16) | words[:, k].astype(U)
-    symbol_at = np.repeat(np.arange(len(freq)), freq)
+        words[i, : len(c) // 4] = np.frombuffer(c, "<u4")
+    limit, base = words.shape[1] - 1, np.arange(lanes) * words.shape[1]
+    words, size = words.ravel(), np.full(lanes, 2, np.int64)
+    code = words[base].astype(U) << _WORD | words[base + 1].astype(U)
+    class_at, symbol_at = of.tables()
     out = np.zeros((steps, lanes), np.int64)
+    top, inside = U((1 << CLASSES) - 1), U((1 << INSIDE) - 1)
 
-    def refill() -> None:
-        nonlocal code
-        while (at := s.renew()) is not None:
-            code[at] = code[at] << U(16) | words[at, np.minimum(size[at], limit)].astype(U)
-            size[at] += 1
-            s.low[at] <<= U(16)
-            s.range[at] <<= U(16)
+    def refill(at: np.ndarray) -> None:
+        if len(at):
+            k = size[at]
+            code[at] = code[at] << _WORD | words.take(base[at] + np.minimum(k, limit))
+            size[at] = k + 1
+            s.range[at] <<= _WORD
 
-    top = U((1 << ORDER0) - 1)
     for t in range(steps):
         s.predict()
-        p = s.p.astype(U) << U(4)
-        r = s.range >> U(16)
-        bound = r * p
-        hit = s.has & (code - s.low < bound)
-        s.low += np.where(s.has & ~hit, bound, U(0))
-        s.range = np.where(hit, bound, np.where(s.has, r * (U(65536) - p), s.range))
-        refill()
+        bound = (s.range >> U(12)) * s.p.astype(U)
+        s.range -= bound
+        hit = code >= s.range
+        at = np.flatnonzero(hit)
+        code[at] -= s.range[at]
+        s.range[at] = bound[at]
         symbol = s.guess.astype(np.int64)
+        at0 = of.of.take(s.guess, mode="clip") + s.row0
+        v0 = s.slots[0].take(at0, mode="clip")
         miss = np.flatnonzero(~hit)
         if len(miss):
-            r = s.range[miss] >> U(ORDER0)
-            found = symbol_at[np.minimum((code[miss] - s.low[miss]) // np.maximum(r, U(1)), top).astype(np.int64)]
-            symbol[miss] = found
-            s.low[miss] += r * s.cum[found]
-            s.range[miss] = r * s.freq[found]
-            refill()
+            r = s.range[miss] >> U(CLASSES)
+            have = code[miss]
+            c = class_at.take(np.minimum(have // np.maximum(r, U(1)), top).astype(np.int64))
+            code[miss] = have - r * of.cum.take(c, mode="clip")
+            r *= of.freq.take(c, mode="clip")
+            s.range[miss] = r
+            refill(miss[r < _LEAST])
+            at0[miss] = here = c + s.row0[miss]
+            v0[miss] = v = s.slots[0].take(here, mode="clip")
+            single = of.single.take(c, mode="clip")
+            symbol[miss] = symbol_at.take(c << INSIDE, mode="clip")  # right for a class of one symbol
+            some = np.flatnonzero(~single)
+            miss, v, c = miss[some], v[some], c[some]
+            state = s.row8[miss] + (v & 7)
+            p = s.recent.take(state, mode="clip")
+            have, left = s.range[miss], code[miss]
+            bound = (have >> U(16)) * p.astype(U) * (v > 0)
+            same = left < bound
+            left -= bound * ~same
+            have = np.where(same, bound, have - bound)
+            s.recent[state] = p + ((same * 65535 - p + 8) >> 4)
+            r = have >> U(INSIDE)
+            x = symbol_at.take((c << INSIDE) + np.minimum(left // np.maximum(r, U(1)), inside).astype(np.int64))
+            far = ~same
+            left -= r * of.before.take(x, mode="clip") * far
+            x = np.where(same, v >> 3, x)
+            symbol[miss] = x
+            code[miss] = left
+            s.range[miss] = np.where(same, have, r * of.inside.take(x, mode="clip"))
+        refill(np.flatnonzero(s.range < _LEAST))
         out[t] = symbol
-        s.learn(symbol, hit)
+        s.learn(symbol, hit, at0, v0)
     return out.T
 
 
@@ -220,22 +343,35 @@ def _unpack(data: bytes, n: int, count: int) -> list[np.ndarray]:
     return out
 
 
+def _turns(blocks: int) -> list[tuple[int, int]]:
+    """Runs of blocks that are coded in step, of about equal length."""
+    n = -(-blocks // LANES)
+    return [(blocks * i // n, blocks * (i + 1) // n) for i in range(n)]
+
+
 def encode(ids: np.ndarray, keys: np.ndarray, lengths: np.ndarray) -> bytes:
     """A file of the documents ``keys`` with ``lengths`` ids each, which stand in ``ids`` one after another."""
     ids = np.ascontiguousarray(ids, "<u4")
     if int(lengths.sum()) != len(ids):
         raise ValueError("the lengths don't add up to the ids")
-    distinct, symbols, count = np.unique(ids, return_inverse=True, return_counts=True)
-    freq = frequencies(count) if len(ids) else np.zeros(0, np.int64)
+    if len(ids) and int(ids.max()) < 1 << 22:  # most vocabularies: counted without sorting
+        count = np.bincount(ids)
+        distinct = np.flatnonzero(count)
+        count, number = count[distinct], np.zeros(len(count), np.int64)
+        number[distinct] = np.arange(len(distinct))
+        symbols = number[ids]
+    else:
+        distinct, symbols, count = np.unique(ids, return_inverse=True, return_counts=True)
+    of = Symbols(count)
     blocks = -(-len(ids) // BLOCK)
     padded = np.full(blocks * BLOCK, int(np.argmax(count)) if len(ids) else 0, np.int64)
     padded[: len(ids)] = symbols
     padded = padded.reshape(blocks, BLOCK)
     codes: list[bytes] = []
-    for a in range(0, blocks, LANES):
-        codes += _encode_lanes(padded[a : a + LANES], freq)
+    for a, b in _turns(blocks):
+        codes += _encode_lanes(padded[a:b], of)
     crcs = [zlib.crc32(ids[a : a + BLOCK].tobytes()) for a in range(0, len(ids), BLOCK)]
-    sections = [_pack(distinct, freq), _pack(keys, lengths), np.array([[len(c), crc] for c, crc in zip(codes, crcs, strict=True)], "<u4").tobytes()]
+    sections = [_pack(distinct, count), _pack(keys, lengths), np.array([[len(c), crc] for c, crc in zip(codes, crcs, strict=True)], "<u4").tobytes()]
     header = {"ids": len(ids), "block": BLOCK, "blocks": blocks, "symbols": len(distinct), "documents": len(keys), "tables": TABLES_CRC, "crc": [zlib.crc32(x) for x in sections]}
     head = json.dumps(header, separators=(",", ":")).encode()
     return MAGIC + struct.pack("<5I", len(head), zlib.crc32(head), *map(len, sections)) + head + b"".join(sections) + b"".join(codes)
@@ -258,16 +394,17 @@ def decode(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at += size
         if zlib.crc32(sections[-1]) != want:
             raise FileError("a section is damaged")
-    distinct, freq = _unpack(sections[0], header["symbols"], 2)
+    distinct, count = _unpack(sections[0], header["symbols"], 2)
+    of = Symbols(count)
     keys, lengths = _unpack(sections[1], header["documents"], 2)
     table = np.frombuffer(sections[2], "<u4").reshape(-1, 2)
     ends = at + np.cumsum(table[:, 0].astype(np.int64))
     if len(table) != header["blocks"] or (len(ends) and ends[-1] != len(data)):
         raise FileError("the file is cut")
     ids = np.empty(header["blocks"] * BLOCK, "<u4")
-    for a in range(0, header["blocks"], LANES):
-        codes = [data[e - n : e] for e, n in zip(ends[a : a + LANES].tolist(), table[a : a + LANES, 0].tolist(), strict=True)]
-        found = _decode_lanes(codes, BLOCK, freq)
+    for a, b in _turns(header["blocks"]):
+        codes = [data[e - n : e] for e, n in zip(ends[a:b].tolist(), table[a:b, 0].tolist(), strict=True)]
+        found = _decode_lanes(codes, BLOCK, of)
         ids[a * BLOCK : a * BLOCK + found.size] = distinct[found.ravel()]
     ids = ids[: header["ids"]]
     for k, want in enumerate(table[:, 1].tolist()):

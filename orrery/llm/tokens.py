@@ -3,9 +3,9 @@
 ``Tokenizer`` gives exactly the ids of the tokenizers library for whole texts,
 but has the library encode each distinct piece once.  Byte-level pre-tokenizers
 of this kind never join what stands before white space with what follows it,
-so a text is cut before each run of ASCII white space that follows other
-bytes, and each piece is encoded by itself.  Texts with other white space or
-control bytes are encoded whole.
+nor letters and digits with punctuation (but for an apostrophe and the letters
+after it), so a text is cut there, and each piece is encoded by itself.  Texts with other
+white space, control bytes or the string of a special token are encoded whole.
 """
 
 from __future__ import annotations
@@ -33,6 +33,13 @@ _ODD = np.zeros(256, bool)
 _ODD[[*range(9), *range(14, 32), 127]] = True
 
 
+#: ASCII punctuation without the apostrophe, and ASCII letters and digits.
+_MARK, _ALNUM = np.zeros((2, 256), bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_MARK[33:127] = ~_ALNUM[33:127]
+_MARK[ord("'")] = False
+
+
 def default_tokenizer() -> str:
     """Path of the 50k byte-level vocabulary of the installed package of public tokenizers."""
     import public_tokenizers
@@ -62,58 +69,144 @@ def _whole(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Tokenizer:
-    """Ids of whole texts, with a cache of pieces that is emptied when it holds ``limit``."""
+    """Ids of whole texts, with a table of known pieces that is emptied when it holds ``limit``.
+
+    A piece has two places in the table, from its hash; the second is taken where
+    the first is, and one that stood there is forgotten, and encoded anew when met again.
+    """
 
-    def __init__(self, path: str, ordinary: bool = False, limit: int = 500_000):
+    def __init__(self, path: str, ordinary: bool = False, limit: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer as Library
 
         self.library, self.limit = Library.from_file(path), limit
         self.library.encode_special_tokens = ordinary
-        self.keys, self.at, self.size = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        added = self.library.get_added_tokens_decoder().values()
+        self.special = [] if ordinary else [t.content.encode() for t in added]
+        # The same model behind a pre-tokenizer that splits at line breaks alone, for pieces of letters.
+        self.model, self.letter = None, np.zeros(256, bool)
+        if type(self.library.pre_tokenizer).__name__ == "ByteLevel" and self.library.normalizer is None and type(self.library.model).__name__ == "BPE":
+            from tokenizers import pre_tokenizers
+
+            self.model = Library.from_file(path)
+            self.model.pre_tokenizer = pre_tokenizers.Split("\n", "removed")
+            vocabulary = self.model.get_vocab(with_added_tokens=True)
+            #: Bytes of each id: a letter of a byte-level token is one.
+            self.length = np.zeros(max(vocabulary.values()) + 1, np.int64)
+            for token, i in vocabulary.items():
+                self.length[i] = len(token)
+            shown = [pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(c)[0][0].encode() for c in map(chr, range(128))]
+            # Characters of the bytes from 0x80 on, in the order of their code points: as they are from U+00A1 on, without U+00AD; the others follow the control characters.
+            taken = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+            shown += [chr(b if b in taken else 256 + sum(c not in taken for c in range(b))).encode() for b in range(128, 256)]
+            self.wide = np.array([len(x) - 1 for x in shown])
+            self.char = np.array([[x[0] for x in shown], [x[-1] for x in shown]], np.uint8)
+            self.letter[[*range(65, 91), *range(97, 123)]] = True
+        self.bits = U(max(10, int(limit * 2).bit_length()))
+        self._empty()
+
+    def _empty(self) -> None:
+        self.keys, self.at = np.zeros(1 << int(self.bits), U), np.zeros(1 << int(self.bits), np.int64)
         self.pool = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-
-    def _add(self, keys: np.ndarray, texts: list[str]) -> None:
-        if len(self.keys) + len(keys) > self.limit:
-            self.keys, self.at, self.size, self.used = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
-        ids = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        size = np.array([len(x) for x in ids], np.int64)
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))
-        while self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.pool[self.used : self.used + len(flat)] = flat
-        at = self.used + np.cumsum(size) - size
-        self.used += len(flat)
-        order = np.argsort(all_keys := np.concatenate([self.keys, keys]), kind="stable")
-        self.keys, self.at, self.size = all_keys[order], np.concatenate([self.at, at])[order], np.concatenate([self.size, size])[order]
+        self.used = self.held = 0
+
+    def _places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mask = (U(1) << self.bits) - U(1)
+        return (keys & mask).astype(np.int64), (keys >> (U(64) - self.bits)).astype(np.int64)
+
+    def _library(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts) of pieces that the pre-tokenizer leaves whole: its work is done here, byte by byte, and the library's model does the rest."""
+        size = end - start
+        flat = data[np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        # Each byte as its character, one or two bytes long, and a line break after each piece.
+        wide, ends = self.wide[flat], np.cumsum(size)
+        at = np.cumsum(1 + wide) - 1 - wide + np.repeat(np.arange(len(size)), size)
+        joined = np.full(len(flat) + int(wide.sum()) + len(size), 10, np.uint8)
+        joined[at] = self.char[0][flat]
+        two = np.flatnonzero(wide)
+        joined[at[two] + 1] = self.char[1][flat[two]]
+        ids = np.array(self.model.encode_batch_fast([joined.tobytes().decode()], add_special_tokens=False)[0].ids, np.uint32)
+        upto = np.searchsorted(np.cumsum(self.length[ids]), ends, "left") + 1
+        return ids, np.diff(upto, prepend=0)
+
+    def _add(self, keys: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Have new pieces encoded; where their ids stand in the pool, and how many, in one number each."""
+        # Letters of one or two bytes after at most one blank are whole for the pre-tokenizer.
+        from_ = start + (data[start] == 32)
+        size = end - from_
+        text = data[np.repeat(from_ - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        # Of each byte: a letter, the first byte of one, the second, one of the two signs.
+        kind = self.letter[text] + (text == 0xC3) * 0x10001 + ((text >= 0x80) & (text < 0xC0)) * (1 - 0x10000) + ((text == 0x97) | (text == 0xB7)) * (1 << 40)
+        first = np.minimum(np.cumsum(size) - size, max(0, len(text) - 1))
+        simple = (size > 0) & (np.add.reduceat(kind, first) == size) if len(text) else np.zeros(len(size), bool)
+        at = np.empty(len(keys), np.int64)
+        for some in (np.flatnonzero(simple), np.flatnonzero(~simple)) if self.model else (np.arange(0), np.arange(len(keys))):
+            for k in range(0, len(some), 20_000):
+                own = some[k : k + 20_000]
+                if self.model and simple[own[0]]:
+                    flat, counts = self._library(data, start[own], end[own])
+                else:
+                    found = [e.ids for e in self.library.encode_batch_fast([data[a:b].tobytes().decode() for a, b in zip(start[own].tolist(), end[own].tolist(), strict=True)], add_special_tokens=False)]
+                    flat, counts = np.fromiter((i for x in found for i in x), np.uint32), np.array([len(x) for x in found], np.int64)
+                while self.used + len(flat) > len(self.pool):
+                    self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+                self.pool[self.used : self.used + len(flat)] = flat
+                at[own] = (self.used + np.cumsum(counts) - counts) << 28 | counts
+                self.used += len(flat)
+        one, two = self._places(keys)
+        free = self.keys[one] == 0
+        place = np.where(free, one, two)
+        self.keys[place], self.at[place] = keys, at
+        self.held += len(keys)
+        return at
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, counts): the ids of all texts one after another, and how many each text has."""
         data, offsets = raw(column)
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
-        space = _SPACE[data]
+        space, mark = _SPACE[data], _MARK[data]
+        letter = _ALNUM[data]
         cut = space.copy()
         cut[1:] &= ~space[:-1]
+        cut[1:] |= (letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])
+        # Letters of two bytes, from U+00C0 on but for the two signs among them, end before punctuation as well.
+        two = np.flatnonzero(data[:-2] == 0xC3) if len(data) > 2 else np.zeros(0, np.int64)
+        two = two[mark[two + 2] & (data[two + 1] != 0x97) & (data[two + 1] != 0xB7)]
+        cut[two + 2] = True
         cut[0] = True
-        for doc in np.flatnonzero(_whole(data, offsets)).tolist():
+        whole = _whole(data, offsets)
+        if self.special:
+            text = data.tobytes()
+            for x in self.special:
+                at = text.find(x)
+                while at >= 0:
+                    whole[np.searchsorted(offsets, at, "right") - 1] = True
+                    at = text.find(x, at + 1)
+        for doc in np.flatnonzero(whole).tolist():
             cut[offsets[doc] : offsets[doc + 1]] = False
         cut[offsets[:-1][np.diff(offsets) > 0]] = True
         start = np.flatnonzero(cut)
         end = np.append(start[1:], len(data))
-        keys, first, which = np.unique(span_hash(prefix(data), start, end), return_index=True, return_inverse=True)
-        near = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
-        new = self.keys[near] != keys if len(self.keys) else np.ones(len(keys), bool)
-        if len(self.keys) + new.sum() > self.limit:
-            new[:] = True
-        if new.any():
-            self._add(keys[new], [data[start[i] : end[i]].tobytes().decode() for i in first[new].tolist()])
-        place = np.searchsorted(self.keys, keys)
-        at, size = self.at[place][which], self.size[place][which]
-        ids = self.pool[np.repeat(at - np.cumsum(size) + size, size) + np.arange(size.sum())]
-        doc = np.searchsorted(offsets, start, "right") - 1
-        return ids, np.bincount(doc, weights=size, minlength=len(offsets) - 1).astype(np.int64)
+        if self.held > self.limit:
+            self._empty()
+        keys = span_hash(prefix(data), start, end) | U(1)
+        one, two = self._places(keys)
+        known = self.keys.take(one, mode="clip") == keys
+        at = self.at.take(one, mode="clip")
+        rest = np.flatnonzero(~known)
+        second = self.keys[two[rest]] == keys[rest]
+        at[rest[second]] = self.at[two[rest[second]]]
+        rest = rest[~second]
+        if len(rest):
+            new, first, which = np.unique(keys[rest], return_index=True, return_inverse=True)
+            at[rest] = self._add(new, data, start[rest[first]], end[rest[first]])[which]
+        size = at & ((1 << 28) - 1)
+        at >>= 28
+        upto = np.concatenate([[0], np.cumsum(size)])
+        at -= upto[:-1]
+        ids = self.pool.take(np.repeat(at, size) + np.arange(upto[-1]), mode="clip")
+        return ids, np.diff(upto[np.searchsorted(start, offsets)])
 
 
 _loaded: dict[tuple[str, bool], Tokenizer] = {}
