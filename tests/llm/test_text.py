@@ -207,57 +207,70 @@ def test_quality(spark, odd, empty):
     assert quality.scored(odd, quality.train(docs, labels.where("false"))).count() == 17
 
 
+def expected_losses(rows, drawn, target):
+    """Losses by counts of the strings themselves; ``drawn`` are the ids of the background."""
+    texts = [(i, re.findall(r"[^\x20\x09-\x0D]+", lower(t))) for i, t in rows]
+    grams = [(Counter(w), Counter(zip(["", *w], w, strict=False))) for _, w in texts]
+    models = [lambda i: i in target, lambda i: i in drawn, lambda i: True]
+    seen = Counter(x for words, _ in grams for x in words)
+    known = {x for x, n in seen.items() if n > 1}
+    known_pairs = {x for x, n in Counter(x for _, pairs in grams for x in pairs).items() if n > 1}
+    out = []
+    for (i, w), (own, own_pairs) in zip(texts, grams, strict=True):
+        losses = []
+        for fits in models:
+            members = [k for k, (j, _) in enumerate(texts) if fits(j)]
+            words, pairs, starts = Counter(), Counter(), sum(1 for k in members if texts[k][1])
+            for k in members:
+                words.update(grams[k][0])
+                pairs.update(grams[k][1])
+            total = sum(n for x, n in words.items() if x in known)
+            mine = 1 if fits(i) else 0
+            loss = 0.0
+            for b, x in zip(["", *w], w, strict=False):
+                base = max(0, (starts - mine) if b == "" else (words[b] - mine * own[b]) * (b in known))
+                pair = max(0, pairs[b, x] - mine * own_pairs[b, x]) * ((b, x) in known_pairs)
+                loss -= np.log(0.7 * min(pair / max(base, 1), 1) + 0.3 * (max(0, words[x] - mine * own[x]) * (x in known) + 1) / (total + len(known) + 1))
+            losses.append(loss / max(1, len(w)))
+        out.append((i, len(w), *losses))
+    return out
+
+
+def check_losses(spark, df, rows, target):
+    named = df.select("doc_id").distinct()
+    size = lambda ids: sum(len((t or "").encode()) for i, t in rows if i in ids)
+    share = min(1.0, size(target) / max(1, size({i for i, _ in rows}) - size(target)))
+    drawn = {r.doc_id for r in named.selectExpr("doc_id", "pmod(xxhash64(doc_id, 17), 1 << 30) as h").collect() if r.h is not None and r.h < int(share * (1 << 30)) and r.doc_id not in target}
+    got = ngram.cross_entropy_difference(df, spark.createDataFrame([(i,) for i in target] + [(None,), *[(i,) for i in target]], "doc_id long")).collect()
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_words, r.target_loss, r.background_loss, r.corpus_loss, r.score) for r in got)
+    want = sorted((i if i is not None else -1, *x) for i, *x in expected_losses(rows, drawn, target))
+    assert len(got) == len(want)
+    for g, w in zip(got, want, strict=True):
+        assert g[:2] == w[:2] and g[2:5] == pytest.approx(w[2:], rel=1e-5) and g[5] == pytest.approx(w[2] - w[3], abs=1e-5)
+    return {g[0]: g for g in got}
+
+
 def test_language_models(spark, odd, odd_rows, empty):
-    got = {r.doc_id: r for r in ngram.cross_entropy_difference(odd, odd.where("doc_id in (0, 11)").select("doc_id")).collect()}
-    assert got[5].score == got[6].score == got[7].score == 0 and got[5].n_words == 0
-    assert got[11].score < 0 < got[13].score and got[0].score < got[4].score
+    check_losses(spark, odd, odd_rows, {0, 11})
+    check_losses(spark, odd, odd_rows, set())
+    rows = [*odd_rows, *odd_rows[:4], (None, prose(1, 80)), (None, prose(1, 80))]
+    got = check_losses(spark, spark.createDataFrame(rows, "doc_id long, text string"), rows, {0, 3})
+    assert got[5][2:] == got[6][2:] == (0, 0, 0, 0)
     assert ngram.cross_entropy_difference(empty, empty.select("doc_id")).count() == 0
-    # Brute force over the same table entries.
-    words = [Words(pa.array([t], pa.string()), VISIBLE) for _, t in odd_rows]
-    counts = [{}, {}]
-    for (i, _), w in zip(odd_rows, words, strict=True):
-        for k in (0, 1) if i in (0, 11) else (0,):
-            for e in ngram.entries(w)[::2]:
-                for x in e.tolist():
-                    counts[k][x] = counts[k].get(x, 0) + 1
-    for (i, _), w in zip(odd_rows, words, strict=True):
-        if i in (3, 9, 11):
-            loss = []
-            for k in (1, 0):
-                total, own = sum(len(v.hash) for (j, _), v in zip(odd_rows, words, strict=True) if k == 0 or j in (0, 11)), 0.0
-                for x, b, p in zip(*(e.tolist() for e in ngram.entries(w)), strict=True):
-                    c = counts[k]
-                    base = c.get(b, 0)
-                    share = 0.7 if base else 0.0
-                    own -= np.log(share * (min(c.get(p, 0) / base, 1) if base else 0) + (1 - share) * (c.get(x, 0) + 1) / (total + 2**18))
-                loss.append(own / len(w.hash))
-            assert got[i].target_loss == pytest.approx(loss[0]) and got[i].background_loss == pytest.approx(loss[1])
-
-
-@pytest.mark.parametrize("head", [1 << 20, 40, 0])
-def test_language_models_count_exact_words(spark, monkeypatch, head):
-    """More words than any table of fixed size keeps apart, against counts of the strings themselves."""
+
+
+@pytest.mark.parametrize("head", [1 << 19, 30, 0])
+def test_language_models_by_every_way(spark, monkeypatch, head):
+    """Heads that hold all, some or none of the words and pairs, many buckets, and target ids that aren't sent."""
     monkeypatch.setattr(ngram, "HEAD", head)
-    rows = [(i, " ".join(f"w{i * 3000 + j}" for j in range(3000))) for i in range(120)]
-    rows += [(200, "a b a c a b w7 w400000 a"), (201, "a b a c b b"), (202, "a b a c b b"), (203, None)]
-    target = {200, *range(60)}
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r for r in ngram.cross_entropy_difference(df, spark.createDataFrame([(i,) for i in target], "doc_id long")).collect()}
-    assert len(got) == len(rows) and got[203].score == 0
-    counts = [Counter(), Counter()]
-    for i, t in rows:
-        w = (t or "").split()
-        for k in (0, 1) if i in target else (0,):
-            counts[k].update(w)
-            counts[k].update(zip(["", *w], w, strict=False))
-    for i, t in rows:
-        if t is not None and (i > 100 or i % 40 == 0):
-            w, loss = t.split(), []
-            for c in counts[::-1]:
-                total = sum(n for x, n in c.items() if isinstance(x, str))
-                own = [(0.7 * min(c[p, x] / c[p], 1) + 0.3 * (c[x] + 1) / (total + 2**18)) if p and c[p] else (c[x] + 1) / (total + 2**18) for p, x in zip(["", *w], w, strict=False)]
-                loss.append(-np.log(own).mean())
-            assert (got[i].target_loss, got[i].background_loss) == pytest.approx(loss)
+    monkeypatch.setattr(ngram, "BUCKET", 4096)
+    monkeypatch.setattr(ngram, "SENT_IDS", 5)
+    r = random.Random(7)
+    rows = [(i, " ".join(f"w{int(r.paretovariate(0.6))}" if r.random() < 0.8 else f"x{r.randrange(3000)}" for _ in range(r.randrange(120)))) for i in range(60)]
+    rows += [(100 + i, rows[i][1]) for i in range(0, 60, 6)] + [(200, None)]
+    got = check_losses(spark, spark.createDataFrame(rows, "doc_id long, text string"), rows, set(range(0, 60, 3)))
+    alone = np.mean([got[i][4] for i in range(1, 60, 6) if got[i][1]])
+    assert all(got[i][4] < alone for i in range(0, 60, 6) if got[i][1] > 20)
 
 
 @pytest.mark.parametrize("name", sorted(oracle.SQL))
