@@ -1,9 +1,9 @@
 """Quality classifier: random-indexing word vectors, pooled, under a two-layer network.
 
-Method.  Every feature of a text (a word, the shape of a word, a word ending,
-whether it repeats the word before it, where it stands in its line) is an
-entry whose random index vector, sparse and ternary, is a function of its
-hash.  A word's context vector sums the index vectors of its neighbours over
+Method.  Every feature of a text (a word; the shape of a word, with the byte it
+ends in; whether it repeats one of the three words before it, or stood in the
+text before) is an entry whose random index vector, sparse and ternary, is a
+function of its hash.  A word's context vector sums the index vectors of its neighbours over
 the training texts; a text is the mean of its features' index vectors beside
 the mean of its words' context vectors.  The pooled vector goes through one
 hidden layer, trained with Adam in numpy; a temperature fitted on a part of
@@ -110,13 +110,14 @@ def _add(sums: np.ndarray, to: np.ndarray, table: np.ndarray, of: np.ndarray) ->
         sums[row] += np.add.reduceat(table[of[order]], first, axis=0)
 
 
-def pooled(words: Words, index: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """(texts, features) vectors: pooled index and context vectors, and how long the text is."""
-    kinds = _features(words)
-    parts = [_means(index, k, words.first) for k in kinds]
-    parts.append(_means(context, kinds[0], words.first))
-    n = words.counts.astype(np.float64)
-    size = np.diff(words.offsets)
+def pooled(kinds: list[np.ndarray], first: np.ndarray, size: np.ndarray, index: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """(texts, features) vectors: pooled index and context vectors, and how long the text is.
+
+    ``kinds`` are the buckets of the texts' words, ``first`` the index of each text's first word, ``size`` the texts' bytes.
+    """
+    parts = [_means(index, k, first) for k in kinds]
+    parts.append(_means(context, kinds[0], first))
+    n = np.diff(first).astype(np.float64)
     parts.append(np.stack([np.log1p(n), np.log1p(size), size / np.maximum(n, 1), n == 0], axis=1).astype(np.float32))
     return np.concatenate(parts, axis=1)
 
@@ -151,11 +152,13 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 30, rate: float = 2e
     """
     index = index_vectors()
     sums, count = np.zeros((BUCKETS, DIM), np.float32), np.zeros(BUCKETS)
-    step = 500
-    parts = [Words(pa.array(texts[a : a + step], pa.string()), VISIBLE, lower=False) for a in range(0, len(texts), step)]
-    for words in parts:
-        bucket = _features(words)[0]
-        doc = np.repeat(np.arange(len(words)), words.counts)
+    step = 100
+    parts = []  # of each run of texts the buckets alone, two bytes a word
+    for a in range(0, len(texts), step):
+        words = Words(pa.array(texts[a : a + step], pa.string()), VISIBLE, lower=False)
+        kinds = _features(words)
+        bucket, doc = kinds[0], np.repeat(np.arange(len(words)), words.counts)
+        parts.append(([k.astype(np.uint16) for k in kinds], words.first, np.diff(words.offsets)))
         for back in (1, 2):
             near = doc[back:] == doc[:-back]
             left, right = bucket[:-back][near], bucket[back:][near]
@@ -165,7 +168,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 30, rate: float = 2e
     context = sums / np.maximum(count, 1)[:, None].astype(np.float32)
     context /= np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-6)
     width = DIM * (len(KINDS) + 1) + 4
-    x = np.concatenate([pooled(w, index, context) for w in parts]) if parts else np.zeros((0, width), np.float32)
+    x = np.concatenate([pooled(*p, index, context) for p in parts]) if parts else np.zeros((0, width), np.float32)
     y = np.asarray(labels, np.float64)
     share = (y.sum() + 0.5) / (len(y) + 1)
     random = np.random.Generator(np.random.PCG64(SEED))
@@ -222,7 +225,8 @@ def _score(model, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, own = index_vectors(), model.value
         for part in slices(batches, "text", 1 << 20):
-            p = own.probability(pooled(Words(part.column("text"), VISIBLE, lower=False), index, own.context))
+            words = Words(part.column("text"), VISIBLE, lower=False)
+            p = own.probability(pooled(_features(words), words.first, np.diff(words.offsets), index, own.context))
             out = (part if keep else part.drop_columns(["text"])).append_column("score", pa.array(p.astype(np.float64)))
             yield out
 
