@@ -77,3 +77,14 @@ def chain_label(effects: Column) -> Column:
 
 def has_effect(condition: Column, effect: str) -> Column:
     return F.array_contains(F.split(condition, r"\+"), effect)
+
+
+def image_group(name: Column) -> Column:
+    """Group of an orbital image tile, from its name; null for a name of no known kind."""
+    tile, strip = F.regexp_extract(name, r"^(M\d+_r\d+)_c\d+", 1), F.regexp_extract(name, r"^(thm_dir_N\d+)", 1)
+    return F.when(tile != "", tile).when(strip != "", strip)
+
+
+def package(text: Column) -> Column:
+    """Struct name, version of a pinned package; the name in its normal form."""
+    return F.struct(F.regexp_replace(F.lower(F.split_part(text, F.lit("=="), F.lit(1))), r"[-_.]+", "-").alias("name"), F.split_part(text, F.lit("=="), F.lit(2)).alias("version"))

@@ -49,6 +49,16 @@ def paired_bootstrap(totals: DataFrame, seed: int = 0, repetitions: int = 1000)
     return totals.groupBy().applyInPandas(run, INTERVAL)
 
 
+def scene_differences(rows: DataFrame, left: str, right: str, scene: str = "scene") -> DataFrame:
+    """(scene, value): mean over a scene's images of left less right."""
+    return rows.where(F.col(left).isNotNull() & F.col(right).isNotNull()).groupBy(scene).agg(F.avg(F.col(left) - F.col(right)).alias("value"))
+
+
+def scene_interval(differences: DataFrame, seed: int = 2026, repetitions: int = 2000) -> DataFrame:
+    """Mean of scenes' mean differences with a percentile interval; a paired comparison of two methods or encoders."""
+    return scene_bootstrap(differences, "value", seed, repetitions)
+
+
 def scene_bootstrap(scenes: DataFrame, value: str = "value", seed: int = 2026, repetitions: int = 2000) -> DataFrame:
     """Mean over scenes (one row each) with a percentile interval."""
 

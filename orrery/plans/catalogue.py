@@ -769,3 +769,6 @@ def window_counts(s, d):
     box = W.partitionBy("vec_id", "x").orderBy("y")
     three = p.withColumn("a", F.sum("m").over(row.rowsBetween(0, 2))).withColumn("n", F.sum("a").over(box.rowsBetween(0, 2)))
     return three.where("x <= 5 and y <= 5").select("vec_id", "y", "x", "n")
+
+
+from . import assembly  # noqa: E402, F401  registers its queries
