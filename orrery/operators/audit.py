@@ -45,8 +45,9 @@ def near_pairs(rows: DataFrame, id_col: str = "id", bits: str = "bits", distance
 
 
 def _near(current: DataFrame, prior: DataFrame, distance: int) -> DataFrame:
-    part = lambda rows, name: rows.select(F.col("id").alias(name), F.col("bits").alias(f"{name}_bits"), F.explode(chunks(F.col("bits"))).alias("c")).select(name, f"{name}_bits", "c.k", F.col("c.bits").alias("part"))
-    return part(current, "id").join(part(prior, "prior_id"), ["k", "part"]).where(hamming(F.col("id_bits"), F.col("prior_id_bits")) <= distance).select("id", "prior_id").distinct()
+    """(x, y) hashes of both tables within the distance; rows of one hash are one row first."""
+    part = lambda rows, name: rows.select(F.col("bits").alias(name)).distinct().select(name, F.explode(chunks(F.col(name))).alias("c")).select(name, "c.k", F.col("c.bits").alias("part"))
+    return part(current, "x").join(part(prior, "y"), ["k", "part"]).where(hamming(F.col("x"), F.col("y")) <= distance).select("x", "y").distinct()
 
 
 def prior_overlap(current: DataFrame, prior: DataFrame, distance: int = 2) -> DataFrame:
@@ -57,7 +58,8 @@ def prior_overlap(current: DataFrame, prior: DataFrame, distance: int = 2) -> Da
     far = prior.select(F.col("id").alias("prior_id"), "stem", "content")
     stem = current.join(far.select("prior_id", "stem"), "stem").select("id", "prior_id", F.lit("source_id_overlap").alias("reason"))
     same = current.join(far.select("prior_id", "content"), "content").select("id", "prior_id", F.lit("decoded_pixels_overlap").alias("reason"))
-    near = _near(current, prior, distance).join(same.select("id", "prior_id"), ["id", "prior_id"], "left_anti").withColumn("reason", F.lit("near_duplicate_review"))
+    pairs = _near(current, prior, distance).join(current.select("id", F.col("bits").alias("x")), "x").join(prior.select(F.col("id").alias("prior_id"), F.col("bits").alias("y")), "y").select("id", "prior_id")
+    near = pairs.join(same.select("id", "prior_id"), ["id", "prior_id"], "left_anti").withColumn("reason", F.lit("near_duplicate_review"))
     every = stem.unionByName(same).unionByName(near)
     return every.groupBy("id", "prior_id").agg(F.concat_ws(",", F.array_sort(F.collect_set("reason"))).alias("reasons"))
 
@@ -67,8 +69,8 @@ def exclusion_reason(rows: DataFrame, excluded: DataFrame, distance: int = 2) ->
     out = rows
     for name, key in (("source_id_overlap", "stem"), ("scene_group_overlap", "group_id"), ("file_hash_overlap", "file"), ("decoded_pixels_overlap", "content")):
         out = out.join(excluded.select(key).distinct().withColumn(f"_{name}", F.lit(name)), key, "left")
-    near = _near(rows, excluded, distance).select("id").distinct().withColumn("_near", F.lit("near_duplicate_dhash"))
-    out = out.join(near, "id", "left")
+    near = _near(rows, excluded, distance).select(F.col("x").alias("bits")).distinct().withColumn("_near", F.lit("near_duplicate_dhash"))
+    out = out.join(near, "bits", "left")
     return out.select("id", F.coalesce("_source_id_overlap", "_scene_group_overlap", "_file_hash_overlap", "_decoded_pixels_overlap", "_near").alias("reason"))
 
 

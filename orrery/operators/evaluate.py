@@ -159,7 +159,10 @@ def experiment_status(conditions: DataFrame) -> DataFrame:
 def change_from_clean(rows: DataFrame, source_of: Column) -> DataFrame:
     """Accuracy of a condition less that of 'clean', null unless both scored the same sources."""
     scored = rows.where(F.col("scoring_status").isin(*SCORED)).withColumn("src", source_of)
-    per = scored.groupBy("condition_id").agg(F.avg(F.col("correct").cast("double")).alias("accuracy"), F.array_sort(F.collect_set("src")).alias("cohort"))
+    # A cohort is known by its size and an order-free fingerprint, so no set of sources meets in a row.
+    finger = F.struct(F.count("*").alias("n"), F.bit_xor(F.xxhash64("src")).alias("x"), F.sum(F.xxhash64(F.lit(1), "src").cast("decimal(38,0)")).alias("s"))
+    cohorts = scored.select("condition_id", "src").distinct().groupBy("condition_id").agg(finger.alias("cohort"))
+    per = scored.groupBy("condition_id").agg(F.avg(F.col("correct").cast("double")).alias("accuracy")).join(cohorts, "condition_id")
     clean = per.where("condition_id = 'clean'").select(F.col("accuracy").alias("base"), F.col("cohort").alias("base_cohort"))
     # One row for each condition of a protocol, against one row.
     both = per.join(F.broadcast(clean), F.lit(True), "left")

@@ -35,7 +35,8 @@ def evenly_spaced(rows: DataFrame, group: str, order: str, k: int) -> DataFrame:
 
 def top_distinct(rows: DataFrame, anchor: str, dedupe: Column, order: list[Column], k: int = 3) -> DataFrame:
     """The best ``k`` candidates of each anchor, of which no two agree on ``dedupe``."""
-    first = rows.withColumn("_d", dedupe).withColumn("_r", F.row_number().over(W.partitionBy(anchor, "_d").orderBy(*order))).where("_r = 1")
+    # Dealt by anchor once, which serves both windows.
+    first = rows.repartition(anchor).withColumn("_d", dedupe).withColumn("_r", F.row_number().over(W.partitionBy(anchor, "_d").orderBy(*order))).where("_r = 1")
     return first.withColumn("rank", F.row_number().over(W.partitionBy(anchor).orderBy(*order))).where(F.col("rank") <= k).drop("_d", "_r")
 
 
@@ -83,18 +84,18 @@ def early_stopping(rows: DataFrame, run: str, step: str, value: str, gain: float
 def proportional_quotas(sizes: DataFrame, key: str, size: str, total: int, cap: int) -> DataFrame:
     """Largest-remainder quotas of ``total`` in proportion to sizes, none above ``cap`` nor its own size.
 
-    One row for each scene; capped scenes are set first, the rest shares what is left.
+    One row for each scene; capped scenes are set first, in closed form, the rest shares what is left.
     """
     every = W.partitionBy(F.lit(1))
+    largest = every.orderBy(F.col(size).desc(), key)
     top = F.least(F.col(size), F.lit(cap))
-    now = sizes.withColumn("q", F.lit(None).cast("long"))
-    for _ in range(8):  # each round fixes at least one capped scene of those that can be
-        free = F.col("q").isNull()
-        left = F.lit(total) - F.coalesce(F.sum(F.when(~free, F.col("q"))).over(every), F.lit(0))
-        share = left * F.col(size) / F.sum(F.when(free, F.col(size))).over(every)
-        now = now.withColumn("q", F.when(free & (share >= top), top).otherwise(F.col("q")))
+    # Larger scenes meet the cap first: one is capped if all before it are and its share of what they leave reaches its top.
+    before = F.coalesce(F.sum(top).over(largest.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rest = F.sum(size).over(largest.rowsBetween(0, W.unboundedFollowing))
+    now = sizes.withColumn("full", F.coalesce((F.lit(total) - before) * F.col(size) / rest >= top, F.lit(True)).cast("int"))
+    now = now.withColumn("q", F.when(F.min("full").over(largest.rowsBetween(W.unboundedPreceding, 0)) == 1, top).cast("long")).drop("full")
     free = F.col("q").isNull()
-    left = F.lit(total) - F.coalesce(F.sum(F.when(~free, F.col("q"))).over(every), F.lit(0))
+    left = F.lit(total) - F.coalesce(F.sum("q").over(every), F.lit(0))
     now = now.withColumn("e", F.when(free, left * F.col(size) / F.sum(F.when(free, F.col(size))).over(every)))
     now = now.withColumn("f", F.floor("e")).withColumn("rest", left - F.sum("f").over(every))
     rank = F.row_number().over(every.orderBy((F.col("e") - F.col("f")).desc_nulls_last(), key))

@@ -106,18 +106,18 @@ def eval_descriptive_slices(s, d):
 
 
 @query(
-    f"""WITH p AS (SELECT 'r' || doc_id AS request_id, doc_id, CASE WHEN doc_id % 7 = 0 THEN -1.0 ELSE 1.0 END AS sec, CASE WHEN doc_id % 11 = 0 THEN 'lost' ELSE 'ok' END AS st FROM documents WHERE doc_id % 3 = 0
-      UNION ALL SELECT 'r' || doc_id, doc_id, 1.0, 'ok' FROM documents WHERE doc_id % 60 = 0 UNION ALL SELECT 'x' || doc_id, doc_id, 1.0, 'ok' FROM documents WHERE doc_id % 90 = 1)
+    f"""WITH p AS (SELECT request_id, elapsed_seconds AS sec, status AS st FROM ({sql('predictions')}) UNION ALL SELECT 'r' || doc_id, 1.0, 'ok' FROM documents WHERE doc_id % 61 = 5 UNION ALL SELECT 'x' || doc_id, 1.0, 'ok' FROM documents WHERE doc_id % 90 = 1
+      UNION ALL SELECT 'r' || doc_id, -1.0, 'ok' FROM documents WHERE doc_id % 70 = 10 UNION ALL SELECT 'r' || doc_id, 1.0, 'lost' FROM documents WHERE doc_id % 110 = 20)
     SELECT 'prediction_twice' AS rule, request_id AS key, 'n=' || count(*) AS detail FROM p GROUP BY request_id HAVING count(*) > 1
     UNION ALL SELECT DISTINCT 'prediction_unknown', request_id, '' FROM p WHERE request_id NOT IN (SELECT request_id FROM ({sql('requests')}))
     UNION ALL SELECT 'seconds_not_finite', request_id, '' FROM p WHERE sec < 0 UNION ALL SELECT 'status_unknown', request_id, '' FROM p WHERE st = 'lost'"""
 )
 def eval_violations(s, d):
+    """All predictions of a run, with faults planted among them."""
+    p = R.predictions(s, d).select("request_id", "elapsed_seconds", "status", "raw_response")
     docs = R.table(s, d, "documents").select("doc_id")
-    rid = lambda p: F.concat(F.lit(p), C("doc_id").cast("string")).alias("request_id")
-    ok, one, text = F.lit("ok").alias("status"), F.lit(1.0).alias("elapsed_seconds"), F.lit("YES").alias("raw_response")
-    p = docs.where("doc_id % 3 = 0").select(rid("r"), F.when(C("doc_id") % 7 == 0, -1.0).otherwise(1.0).alias("elapsed_seconds"), F.when(C("doc_id") % 11 == 0, "lost").otherwise("ok").alias("status"), text)
-    p = p.unionByName(docs.where("doc_id % 60 = 0").select(rid("r"), one, ok, text)).unionByName(docs.where("doc_id % 90 = 1").select(rid("x"), one, ok, text))
+    for fault, lead, seconds, status in (("doc_id % 61 = 5", "r", 1.0, "ok"), ("doc_id % 90 = 1", "x", 1.0, "ok"), ("doc_id % 70 = 10", "r", -1.0, "ok"), ("doc_id % 110 = 20", "r", 1.0, "lost")):
+        p = p.union(docs.where(fault).select(F.concat(F.lit(lead), C("doc_id").cast("string")), F.lit(seconds), F.lit(status), F.lit("YES")))
     found = validate.duplicates(p, "request_id", "prediction_twice").union(validate.unmatched(p, R.requests(s, d), "request_id", "prediction_unknown"))
     return found.union(validate.broken(p, "request_id", validate.prediction_rules()))
 
@@ -689,13 +689,13 @@ REVIEW = f"WITH b AS (SELECT image, instance, size FROM ({sql('boxes0')})), k AS
 
 @query(REVIEW + "SELECT image, instance::BIGINT AS instance, size::DOUBLE AS size, origin FROM k")
 def review_apply(s, d):
+    """Reviewed boxes in one pass: what a review drops, changes or adds beside a box."""
     b = R.boxes(s, d).select("image", C("instance").cast("long").alias("instance"), (F.get("box", 2) - F.get("box", 0)).alias("size"))
-    first = b.where("instance = 1").select("image")
-    dropped = first.where("image % 5 = 0").withColumn("instance", F.lit(1).cast("long"))
-    changed = b.where("image % 9 = 0 and instance = 2").select("image", "instance", F.lit(99.0).alias("new"))
-    added = first.where("image % 100 = 0").select("image", F.lit(1000).cast("long").alias("instance"), F.lit(10.0).alias("size"), F.lit("review").alias("origin"))
-    kept = b.join(dropped, ["image", "instance"], "left_anti").join(changed, ["image", "instance"], "left")
-    return kept.select("image", "instance", F.coalesce("new", "size").alias("size"), F.lit("source").alias("origin")).unionByName(added)
+    row = lambda instance, size, origin: F.struct(instance.alias("instance"), size.alias("size"), F.lit(origin).alias("origin"))
+    image, one = C("image"), C("instance") == 1
+    size = F.when((image % 9 == 0) & (C("instance") == 2), 99.0).otherwise(C("size"))
+    both = F.array(F.when(~((image % 5 == 0) & one), row(C("instance"), size, "source")), F.when((image % 100 == 0) & one, row(F.lit(1000).cast("long"), F.lit(10.0), "review")))
+    return b.select("image", F.explode(F.array_compact(both)).alias("x")).select("image", "x.*")
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'plain' ELSE 'evidence' END AS first_mode, t AS task_id, 'Question ' || t || ' about ' || source || '.' AS prompt FROM documents, (VALUES ('a'), ('b')) v(t)")
@@ -719,11 +719,11 @@ def page_stems(s, d):
     return R.table(s, d, "pages").select("page_id", X.source_stem(url).alias("stem"))
 
 
-@query("SELECT doc_id, '\"' || replace(CASE WHEN regexp_matches(x, '^[=+\\-@\\t\\r]') THEN '''' || x ELSE x END, '\"', '\"\"') || '\"' AS cell FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '=' || source WHEN 1 THEN 'a\"b' || lang WHEN 2 THEN '-1' ELSE left(text, 20) END AS x FROM documents)")
+@query("SELECT doc_id, '\"' || replace(CASE WHEN regexp_matches(x, '^[=+\\-@\\t\\r]') THEN '''' || x ELSE x END, '\"', '\"\"') || '\"' AS cell FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '=' WHEN 1 THEN 'a\"b' WHEN 2 THEN '-' ELSE '' END || text AS x FROM documents)")
 def csv_export_cells(s, d):
     i = C("doc_id")
-    x = F.when(i % 4 == 0, F.concat(F.lit("="), "source")).when(i % 4 == 1, F.concat(F.lit('a"b'), "lang")).when(i % 4 == 2, "-1").otherwise(F.substring("text", 1, 20))
-    return R.table(s, d, "documents").select(i, X.csv_cell(x).alias("cell"))
+    lead = F.when(i % 4 == 0, "=").when(i % 4 == 1, 'a"b').when(i % 4 == 2, "-").otherwise("")
+    return R.table(s, d, "documents").select(i, X.csv_cell(F.concat(lead, "text")).alias("cell"))
 
 
 @query(f"WITH m AS ({sql('manifest')}) SELECT id, CASE WHEN n_chars < 300 THEN 'insufficient_valid_annotation' WHEN group_id = 'src3' THEN 'excluded_group' WHEN split = 'train' THEN 'split_not_evaluated' END AS reason FROM m")

@@ -83,8 +83,8 @@ def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order as an image of 512 x 512, its lines as boxes."""
     li = table(spark, sf_dir, "lineitem")
-    c = [F.col(x) for x in li.columns]
-    n = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", *[x for x in c if str(x) not in ("l_orderkey",)]))
+    order = "l_linenumber l_partkey l_suppkey l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate".split()
+    n = F.row_number().over(W.partitionBy("l_orderkey").orderBy(*order))
     x1, y1, size = (F.col("l_partkey") * 37 % 460).cast("double"), (F.col("l_suppkey") * 53 % 460).cast("double"), 4 + F.col("l_quantity")
     out = li.select(F.col("l_orderkey").alias("image"), n.alias("instance"), F.array(x1, y1, x1 + size, y1 + size).alias("box"), (F.col("l_returnflag") == "R").alias("truncated"), (F.col("l_linestatus") == "F").alias("human"))
     return out.withColumn("g", box_geometry(F.col("box"), F.col("truncated"), F.lit(SIDE), F.lit(SIDE))).select("*", "g.*").drop("g")

@@ -1,5 +1,7 @@
 """Known answers of the evaluator."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,3 +117,27 @@ def test_early_stopping_waits(spark):
 def test_empty_tables(spark):
     rows = triple(spark, ["YES"], ["YES"]).where("false")
     assert evaluate.slices(rows, "task_id").count() == 0 and evaluate.per_class(rows).count() == 0
+
+
+def test_quotas_against_rounds(spark):
+    """More capped scenes than any number of rounds: the closed form against capping one scene after another."""
+    r = random.Random(3)
+    for total, cap in ((200, 12), (90, 5), (1000, 40), (30, 100)):
+        sizes = {f"s{i:02d}": r.randrange(1, 90) for i in range(25)}
+        quota, free, left = {}, dict(sizes), total
+        while True:
+            full = [k for k, n in free.items() if left * n / sum(free.values()) >= min(n, cap)]
+            if not full:
+                break
+            for k in full:
+                quota[k] = min(free[k], cap)
+            free = {k: n for k, n in sizes.items() if k not in quota}
+            left = total - sum(quota.values())
+            if not free:
+                break
+        exact = {k: left * n / sum(free.values()) for k, n in free.items()}
+        rest = left - sum(map(int, exact.values()))
+        for place, k in enumerate(sorted(exact, key=lambda k: (int(exact[k]) - exact[k], k))):
+            quota[k] = int(exact[k]) + (place < rest)
+        df = spark.createDataFrame(list(sizes.items()), "k string, n long")
+        assert {x.k: x.quota for x in select.proportional_quotas(df, "k", "n", total, cap).collect()} == quota

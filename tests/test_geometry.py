@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -90,3 +92,26 @@ def test_raster_arithmetic():
     assert rasters.polygon_fill(4, 4, np.array([[0, 0], [4, 0], [4, 4], [0, 4]])).all()
     assert rasters.restore(rasters.to_unit(np.array([[0, 255]], np.uint8)), np.uint8).tolist() == [[0, 255]]
     assert rasters.image_checks(np.zeros((2, 3)))["constant"]
+
+
+def test_world_invariance_against_all_worlds(spark):
+    """Bounds over worlds give what listing every subset of the uncertain objects gives."""
+    r = random.Random(5)
+    rows = [(image, float(r.choice([10, 10, 19, 20, 21, 40])), r.choice([1, 5, 9]), r.choice(["LEFT", "RIGHT"]), r.random() < 0.5) for image in range(150) for _ in range(r.randrange(1, 6))]
+
+    def answers(own):
+        most = max((o[1] for o in own), default=0)
+        cells = {o[2] for o in own if o[1] >= 0.95 * most}
+        delta = sum(1 if o[3] == "LEFT" else -1 for o in own)
+        return ("YES" if own else "NO", "YES" if 5 in {o[2] for o in own} else "NO", "NONE" if not own else str(min(cells)) if len(cells) == 1 else "TIE", "LEFT" if delta > 0 else "RIGHT" if delta < 0 else "TIE")
+
+    want = {}
+    for image in {o[0] for o in rows}:
+        sure, maybe = ([o for o in rows if o[0] == image and o[4] == k] for k in (False, True))
+        worlds = {answers(sure + [o for k, o in enumerate(maybe) if bits >> k & 1]) for bits in range(1 << len(maybe))}
+        want[image] = tuple(v.pop() if len(v := {w[k] for w in worlds}) == 1 else None for k in range(4))
+    df = spark.createDataFrame(rows, "image long, size_proxy double, cell int, half string, uncertain boolean")
+    assert {x.image: tuple(x)[1:] for x in scenes.world_invariance(df).collect()} == want
+    assert any(w[2] == "TIE" for w in want.values()) and any(w[2] is None for w in want.values())
+    limited = {x.image: tuple(x)[1:] for x in scenes.world_invariance(df, limit=0).collect()}
+    assert all(x[2:] == (None, None) for i, x in limited.items() if any(o[0] == i and o[4] for o in rows))
