@@ -163,7 +163,9 @@ def _probe(table):
             pairs = np.unique(np.repeat(doc, many) * len(block.names) + block.item[index])
             n_items = np.bincount(pairs // len(block.names), minlength=len(words))
             items = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_items)]).astype(np.int32)), names.take(pa.array(pairs % len(block.names))))
-            key = mix(np.add.reduceat(np.append(words.hash, U(0)), words.first[:-1]) * (words.counts > 0) + words.counts.astype(U))
+            # Of a text's words in their order: rows of one id are told apart by it.
+            placed = mix(words.hash + (np.arange(total) - np.repeat(words.first[:-1], words.counts)).astype(U) * U(0xD6E8FEB86659FD93))
+            key = mix(np.add.reduceat(np.append(placed, U(0)), words.first[:-1]) * (words.counts > 0) + words.counts.astype(U))
             yield pa.record_batch(
                 [part.column("id"), pa.array(words.counts), pa.array(key.view(np.int64)), runs, items],
                 ["id", "n_words", "key", "runs", "items"],

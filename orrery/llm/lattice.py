@@ -181,10 +181,11 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     bits = F.struct("label", F.transform("v", lambda x: x + F.lit(0.0)))
     rows = rows.withColumns({"k1": F.when(F.col("usable"), F.xxhash64(bits)), "k2": F.when(F.col("usable"), F.xxhash64(F.lit(7), bits))})
     rows = scratch.write(rows, "rows")
-    classes = scratch.write(rows.where("usable").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
-    reps = rows.where("usable").join(classes.select("k1", "k2", F.col("rep").alias("id")), ["k1", "k2", "id"], "left_semi").dropDuplicates(["k1", "k2", "id"])
-    # The number of a class is its smallest id; where ids repeat in different classes the key tells them apart.
-    reps = scratch.write(reps.select("k1", "k2", F.col("k1").alias("cls"), F.xxhash64("label").alias("label_key"), F.size("v").alias("w"), "v"), "reps")
+    # Classes of equal vectors get numbers of their own, once, as the table is written; ids may repeat in different classes.
+    classes = rows.where("usable").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    classes = scratch.write(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    reps = rows.where("usable").join(classes.select("k1", "k2", F.col("rep").alias("id"), "cls"), ["k1", "k2", "id"]).dropDuplicates(["cls"])
+    reps = scratch.write(reps.select("cls", F.xxhash64("label").alias("label_key"), F.size("v").alias("w"), "v"), "reps")
     largest = reps.groupBy("label_key").count().agg(F.max("count")).first()[0] or 0
     parts = 1
     while parts < len(MORE) and largest > 16 * CHANCE**parts:
@@ -201,13 +202,13 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     two = vec.select(F.col("cls").alias("b"), F.col("w").alias("w2"), F.col("v").alias("y"), F.col("label_key").alias("l2"))
     both = met.join(one, "a").join(two, "b").where("w = w2 and l = l2").select("a", "b", "w", "x", "y")
     links = scratch.write(both.mapInArrow(_verify(least), "a long, b long"), "links")
-    sized = classes.select(F.col("k1").alias("cls"), "rep", "copies")
+    sized = classes.select("k1", "k2", "cls", "rep", "copies")
     each = links.union(links.select("b", "a")).toDF("cls", "other")
-    count = each.join(sized.select(F.col("cls").alias("other"), F.col("copies").alias("n"), F.col("rep").alias("far")), "other").groupBy("cls").agg(F.sum("n").alias("n"))
+    count = each.join(sized.select(F.col("cls").alias("other"), F.col("copies").alias("n")), "other").groupBy("cls").agg(F.sum("n").alias("n"))
     named = links.join(sized.select(F.col("cls").alias("a"), F.col("rep").alias("ra")), "a").join(sized.select(F.col("cls").alias("b"), F.col("rep").alias("rb")), "b")
     comp = components(named.select("ra", "rb"), scratch, "ra", "rb")
     known = sized.join(count, "cls", "left").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
-    known = known.select(F.col("cls").alias("k1"), (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    out = rows.join(known, "k1", "left")
+    known = known.select("k1", "k2", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    out = rows.join(known, ["k1", "k2"], "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))

@@ -179,15 +179,43 @@ def test_chains_odd_rows(odd, empty):
     assert chains.passages(empty).count() == 0
 
 
-def test_chain_prefers_the_collinear_path():
-    matches = [(0, 0), (8, 8), (16, 60), (20, 20), (30, 30), (400, 400), (410, 410)]
-    assert sorted(map(len, chains.chain(matches)))[-2:] == [2, 4]
+def test_chains_against_all_predecessors():
+    """The tree's scores against trying every match before each, and chains that are disjoint and increase."""
+    r = random.Random(12)
+    for n in (1, 2, 5, 30, 80):
+        for _ in range(12):
+            matches = sorted({(x, x + r.choice([0, 0, 0, 3, -4, 60]) if r.random() < 0.7 else r.randrange(120)) for x in (r.randrange(120) for _ in range(n))})
+            best = []
+            for i, (x, y) in enumerate(matches):
+                own = 6.0
+                for j, (px, py) in enumerate(matches[:i]):
+                    if px + 6 <= x and py + 6 <= y:
+                        own = max(own, 6 + best[j] - 0.06 * (x - px - 6 + y - py - 6))
+                    elif 0 < x - px == y - py < 6:
+                        own = max(own, best[j] + x - px)
+                best.append(own)
+            assert chains.scores(matches)[0] == pytest.approx(best)
+            found = chains.chain(matches)
+            assert sorted(m for c in found for m in c) == matches
+            assert all(p[0] < q[0] and p[1] < q[1] for c in found for p, q in zip(c, c[1:], strict=False))
     tree = chains.Fenwick(8)
     for place, value in ((3, 5.0), (1, 7.0), (6, 6.0)):
         tree.raise_to(place, value, place)
     assert tree.prefix(1) == (0.0, -1) and tree.prefix(4) == (7.0, 1) and tree.prefix(8) == (7.0, 1)
 
 
+def test_chains_find_every_exact_passage_of_the_least_length(spark):
+    """Passages of thirty words, that may have one seed alone, each in two documents of its own."""
+    rows = []
+    for i in range(150):
+        passage = prose(1000 + i, 30)
+        rows += [(2 * i, f"{prose(2000 + i, 25)} {passage} {prose(3000 + i, 25)}"), (2 * i + 1, f"{prose(4000 + i, 40)} {passage} {prose(5000 + i, 9)}")]
+    got = chains.passages(spark.createDataFrame(rows + rows[:20], "doc_id long, text string")).collect()
+    assert {frozenset((r.doc_id, r.partner_id)) for r in got} == {frozenset((2 * i, 2 * i + 1)) for i in range(150)}
+    for r in got:
+        assert r.end - r.start >= 30 and r.n_equal >= 30
+
+
 def vectors():
     r = np.random.default_rng(5)
     x = r.standard_normal((60, 64)).astype(np.float32)
@@ -213,6 +241,9 @@ def test_lattice(spark):
     want = {i: (n[i], g, g == i) for i, g in groups([r[0] for r in rows], links).items()}
     assert {r.vec_id: tuple(r)[1:] for r in lattice.near_vectors(df).collect()} == want
     assert lattice.near_vectors(df.where("false")).count() == 0
+    # Ids that repeat, with the same vector and with another one.
+    twice = spark.createDataFrame([(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0)], "vec_id long, embedding array<double>, label int")
+    assert sorted(tuple(r) for r in lattice.near_vectors(twice).collect()) == [(1, 0, 1, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False)]
 
 
 @pytest.mark.parametrize("chance", [20, 5])
