@@ -162,10 +162,20 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """The mix itself, with the columns of ``docs``: a row for each copy of a document, with the words that the copy gives.
 
     A whole copy keeps its text as it is; of a partly taken one the runs of
-    words taken are joined by a line break.  Documents that give no word go.
-    Ids must be unique and not null here; the result repeats the id of a
-    document taken more than once.
+    words taken are joined by a line break.  Documents that give no word (null,
+    empty and blank texts among them) go; the result repeats the id of a document
+    taken more than once.  Where ids repeat or are null, rows are numbered first, as
+    they stand, and mixed by number.  Nulls in other columns stay as they are, and any
+    column names will do; an empty table gives an empty one.
     """
+    ids = docs.groupBy(F.col(id_col).cast("long").alias("i")).count()
+    if not ids.where("i is null or count > 1").isEmpty():
+        scratch = Scratch(docs.sparkSession, "numbered")
+        # Written once, so that a row keeps its number.
+        rows = scratch.write(docs.select(F.struct(*docs.columns).alias("row")).withColumn("number", F.monotonically_increasing_id()), "rows")
+        named = rows.select("number", F.col("row")[text_col].alias("text"), F.col("row")[source_col].alias("source"), "row")
+        out = mixed(named, "number", "text", "source", **options)
+        return out.select(*(F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
     # The text is not shuffled with the plan's windows: the plan's few numbers are joined to it.
     names = ("size", "start", "shard_size", "n", "q", "stride", "shift")
     chosen = plan(docs, id_col, text_col, source_col, **options).where("taken > 0").select(F.col(id_col).cast("long").alias("mix_id"), *names)

@@ -4,7 +4,7 @@
 but has the library encode each distinct piece once.  Byte-level pre-tokenizers
 of this kind never join what stands before white space with what follows it,
 nor letters and digits with punctuation (but for an apostrophe and the letters
-after it), so a text is cut there, and each piece is encoded by itself.  Texts with other
+after it), nor a single line break with what follows it, so a text is cut there, and each piece is encoded by itself.  Texts with other
 white space, control bytes or the string of a special token are encoded whole.
 """
 
@@ -26,6 +26,8 @@ from . import codec
 from .scratch import Scratch
 from .words import U, lists, prefix, raw, slices, span_hash
 
+#: Bytes of text that are encoded at once.
+TEXT = 1 << 19
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes after which a text is encoded whole: control bytes that some white-space classes hold.
@@ -75,7 +77,7 @@ class Tokenizer:
     the first is, and one that stood there is forgotten, and encoded anew when met again.
     """
 
-    def __init__(self, path: str, ordinary: bool = False, limit: int = 600_000):
+    def __init__(self, path: str, ordinary: bool = False, limit: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer as Library
 
@@ -102,7 +104,7 @@ class Tokenizer:
             self.wide = np.array([len(x) - 1 for x in shown])
             self.char = np.array([[x[0] for x in shown], [x[-1] for x in shown]], np.uint8)
             self.letter[[*range(65, 91), *range(97, 123)]] = True
-        self.bits = U(max(10, int(limit * 2).bit_length()))
+        self.bits = U(max(10, int(limit).bit_length() + 1))
         self._empty()
 
     def _empty(self) -> None:
@@ -174,6 +176,10 @@ class Tokenizer:
         two = np.flatnonzero(data[:-2] == 0xC3) if len(data) > 2 else np.zeros(0, np.int64)
         two = two[mark[two + 2] & (data[two + 1] != 0x97) & (data[two + 1] != 0xB7)]
         cut[two + 2] = True
+        # One line break by itself goes with nothing after it.
+        line = np.flatnonzero(data[:-1] == 10)
+        line = line[~space[line + 1] & ((line == 0) | ~space[line - 1])]
+        cut[line + 1] = True
         cut[0] = True
         whole = _whole(data, offsets)
         if self.special:
@@ -252,7 +258,7 @@ def files(docs: DataFrame, folder: str, save: Callable[[np.ndarray, np.ndarray,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, ids, keys, counts = tokenizer(path), [], [], []
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", TEXT):
             flat, count = own.encode(part.column("text"))
             ids.append(np.insert(flat, np.cumsum(count), end_id))
             keys.append(part.column("id").to_numpy())
@@ -389,7 +395,7 @@ def document_tokens(docs: DataFrame, tokenizer_path: str | None = None, end_id:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, ids, keys = tokenizer(path, ordinary=True), [], []
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", TEXT):
             flat, count = own.encode(part.column("text"))
             ids.append(_flat(np.insert(flat, np.cumsum(count), end_id)))
             keys.append(part.column("id").to_numpy())
