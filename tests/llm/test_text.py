@@ -12,6 +12,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from helpers import DATA, same
 from odd import lower, prose
 from orrery.llm import codec, decontaminate, mixing, ngram, oracle, quality, queries, tokens
@@ -211,16 +213,17 @@ def expected_losses(rows, drawn, target):
     """Losses by counts of the strings themselves; ``drawn`` are the ids of the background."""
     texts = [(i, re.findall(r"[^\x20\x09-\x0D]+", lower(t))) for i, t in rows]
     grams = [(Counter(w), Counter(zip(["", *w], w, strict=False))) for _, w in texts]
-    models = [lambda i: i in target, lambda i: i in drawn, lambda i: True]
-    seen = Counter(x for words, _ in grams for x in words)
-    known = {x for x, n in seen.items() if n > 1}
-    known_pairs = {x for x, n in Counter(x for _, pairs in grams for x in pairs).items() if n > 1}
+    models = [lambda i: i in target, lambda i: i in drawn]
+    counted = [g for (i, _), g in zip(texts, grams, strict=True) if i in target or i in drawn]
+    known = {x for x, n in Counter(x for words, _ in counted for x in words).items() if n >= 2}
+    known_pairs = {x for x, n in Counter(x for _, pairs in counted for x in pairs).items() if n >= 3}
     out = []
     for (i, w), (own, own_pairs) in zip(texts, grams, strict=True):
         losses = []
         for fits in models:
             members = [k for k, (j, _) in enumerate(texts) if fits(j)]
             words, pairs, starts = Counter(), Counter(), sum(1 for k in members if texts[k][1])
+            starts *= sum(1 for j, v in texts if v and (j in target or j in drawn)) >= 2
             for k in members:
                 words.update(grams[k][0])
                 pairs.update(grams[k][1])
@@ -242,11 +245,11 @@ def check_losses(spark, df, rows, target):
     share = min(1.0, size(target) / max(1, size({i for i, _ in rows}) - size(target)))
     drawn = {r.doc_id for r in named.selectExpr("doc_id", "pmod(xxhash64(doc_id, 17), 1 << 30) as h").collect() if r.h is not None and r.h < int(share * (1 << 30)) and r.doc_id not in target}
     got = ngram.cross_entropy_difference(df, spark.createDataFrame([(i,) for i in target] + [(None,), *[(i,) for i in target]], "doc_id long")).collect()
-    got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_words, r.target_loss, r.background_loss, r.corpus_loss, r.score) for r in got)
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_words, r.target_loss, r.background_loss, r.score) for r in got)
     want = sorted((i if i is not None else -1, *x) for i, *x in expected_losses(rows, drawn, target))
     assert len(got) == len(want)
     for g, w in zip(got, want, strict=True):
-        assert g[:2] == w[:2] and g[2:5] == pytest.approx(w[2:], rel=1e-5) and g[5] == pytest.approx(w[2] - w[3], abs=1e-5)
+        assert g[:2] == w[:2] and g[2:4] == pytest.approx(w[2:], rel=1e-5) and g[4] == pytest.approx(w[2] - w[3], abs=1e-5)
     return {g[0]: g for g in got}
 
 
@@ -255,7 +258,7 @@ def test_language_models(spark, odd, odd_rows, empty):
     check_losses(spark, odd, odd_rows, set())
     rows = [*odd_rows, *odd_rows[:4], (None, prose(1, 80)), (None, prose(1, 80))]
     got = check_losses(spark, spark.createDataFrame(rows, "doc_id long, text string"), rows, {0, 3})
-    assert got[5][2:] == got[6][2:] == (0, 0, 0, 0)
+    assert got[5][2:] == got[6][2:] == (0, 0, 0)
     assert ngram.cross_entropy_difference(empty, empty.select("doc_id")).count() == 0
 
 
@@ -268,9 +271,7 @@ def test_language_models_by_every_way(spark, monkeypatch, head):
     r = random.Random(7)
     rows = [(i, " ".join(f"w{int(r.paretovariate(0.6))}" if r.random() < 0.8 else f"x{r.randrange(3000)}" for _ in range(r.randrange(120)))) for i in range(60)]
     rows += [(100 + i, rows[i][1]) for i in range(0, 60, 6)] + [(200, None)]
-    got = check_losses(spark, spark.createDataFrame(rows, "doc_id long, text string"), rows, set(range(0, 60, 3)))
-    alone = np.mean([got[i][4] for i in range(1, 60, 6) if got[i][1]])
-    assert all(got[i][4] < alone for i in range(0, 60, 6) if got[i][1] > 20)
+    check_losses(spark, spark.createDataFrame(rows, "doc_id long, text string"), rows, set(range(0, 60, 3)))
 
 
 @pytest.mark.parametrize("name", sorted(oracle.SQL))
@@ -310,3 +311,79 @@ def test_pipeline_stages(spark, library):
     assert len(last) == len(mix) and sum(r.n_tokens for r in last) == sum(len(library.encode(r.text, add_special_tokens=False).ids) + 1 for r in mix)
     starts = sorted((r.start, r.n_tokens) for r in last)
     assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:], strict=False))
+
+
+@pytest.fixture(scope="session")
+def odd_folder(spark, odd, tmp_path_factory):
+    """Labels and a benchmark for the odd rows, and the rows with repeated and null ids among them."""
+    folder = f"file://{tmp_path_factory.mktemp('odd')}"
+    labels = [(i, int(i % 2 == 0), 0) for i in range(17)] + [(3, 1, 0), (None, 1, 0), (4, None, None)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    items = [(1, prose(5, 13)), (None, prose(4, 60)), (2, None), (3, ""), (4, "one two")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    extra = odd.where("doc_id in (0, 6, 11)").unionByName(odd.where("doc_id in (3, 5, 14)").withColumn("doc_id", F.lit(None).cast("long")))
+    return folder, odd.unionByName(extra)
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd, odd_folder, empty):
+    """Nulls, empty texts, ties, repeated rows and ids, clashing names and empty tables, stage by stage."""
+    import corpus_pipeline as P
+
+    folder, rows = odd_folder
+    stages = dict(P.STAGES)
+    for name, stage in P.STAGES:
+        out = stage(spark, empty, folder)
+        assert out.count() == 0 and (name == "token_ids" or (out.columns == empty.columns and out.dtypes == empty.dtypes))
+    kept = stages["quality"](spark, rows, folder).collect()
+    by_text = {}
+    for r in kept:
+        by_text.setdefault(r.text or "", 0)
+        by_text[r.text or ""] += 1
+    assert all(n == rows.where(rows.text.eqNullSafe(t) if t else "coalesce(text, '') = ''").count() for t, n in by_text.items())
+    out = stages["near_dedup"](spark, rows, folder)
+    assert out.columns == rows.columns and sorted(r.doc_id for r in out.collect()) == [0, 4, 5, 6, 7, 8, 10, 11, 13, 14, 15, 16]
+    out = stages["decontamination"](spark, rows, folder).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in out) == sorted([(False, i) for i in [*range(8), 10, 11, 12, 13, 16, 0, 6, 11]] + [(True, 0)] * 3)
+    out = stages["mixing"](spark, rows, folder)
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    total = {}
+    for r in rows.collect():
+        total[r.source] = total.get(r.source, 0) + size(r.text)
+    taken = {}
+    for r in out.collect():
+        assert size(r.text) > 0
+        taken[r.source] = taken.get(r.source, 0) + size(r.text)
+    assert out.columns == rows.columns and all(n <= 3 * total[s] for s, n in taken.items())
+    assert abs(sum(taken.values()) - sum(total.values())) <= 64 * len(total)
+    last = stages["token_ids"](spark, rows, folder).collect()
+    assert len(last) == rows.where("doc_id is not null").count()
+    starts = sorted((r.start, r.n_tokens) for r in last)
+    assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:], strict=False)) and [r.n_tokens for r in last if r.doc_id == 6] == [1, 1]
+
+
+def test_conflicting_and_null_labels(spark, odd, odd_folder):
+    folder, rows = odd_folder
+    model = quality.train(rows, spark.read.parquet(f"{folder}/labels.parquet"))
+    got = quality.scored(rows, model).collect()
+    assert len(got) == rows.count() and not any(r.held_out for r in got if r.doc_id is None)
+
+
+def test_tokens_of_repeated_and_null_ids(spark, odd_folder):
+    _, rows = odd_folder
+    counted = tokens.document_tokens(rows).collect()
+    assert len(counted) == rows.where("doc_id is not null").count() and all(r.n_tokens == 1 for r in counted if r.doc_id in (5, 6))
+
+
+def test_mixing_of_repeated_and_null_ids(spark, odd_folder):
+    _, rows = odd_folder
+    plan = mixing.plan(rows, block=4).collect()
+    assert len(plan) == rows.count() and all(0 <= r.taken <= 3 * r.size for r in plan)
+
+
+def test_decontamination_tells_rows_of_one_id_apart(spark):
+    """In several blocks too, where rows of one id and the same words in another order meet."""
+    words = prose(41, 40).split()
+    docs = spark.createDataFrame([(1, " ".join(words)), (1, " ".join(words[::-1])), (1, " ".join(words[::-1]))], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(words[5:30]))], "item_id long, text string")
+    for block in (200_000, 3):
+        assert sorted(r.n_hit for r in decontaminate.contamination(docs, bench, block=block).collect()) == [0, 0, 25]
