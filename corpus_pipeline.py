@@ -38,14 +38,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     found = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept"))
     kept = docs.join(found, docs["doc_id"] == found["_kept"], "left_semi")
-    twice = docs.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_twice"))
-    twice = Scratch(spark, "twice").write(twice, "ids")
-    if twice.isEmpty():
-        return kept
-    # Only rows of repeated ids are compared with each other.
-    once = kept.join(twice, kept["doc_id"] == twice["_twice"], "left_anti")
-    several = kept.join(twice, kept["doc_id"] == twice["_twice"], "left_semi")
-    return once.unionByName(several.dropDuplicates(["doc_id"]))
+    twice = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null")
+    return kept if twice.isEmpty() else kept.dropDuplicates(["doc_id"])
 
 
 def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
