@@ -211,7 +211,8 @@ def _encode_lanes(symbols: np.ndarray, of: Symbols) -> list[bytes]:
             low[at] = x << _WORD
             s.range[at] <<= _WORD
 
-    for symbol in np.ascontiguousarray(symbols.T.astype(np.int64)):
+    for symbol in np.ascontiguousarray(symbols.T):
+        symbol = symbol.astype(np.int64)
         s.predict()
         hit = (s.guess == symbol) & (s.p > 0)
         bound = (s.range >> U(12)) * s.p.astype(U)
@@ -267,7 +268,7 @@ def _decode_lanes(codes: list[bytes], steps: int, of: Symbols) -> np.ndarray:
     words, size = words.ravel(), np.full(lanes, 2, np.int64)
     code = words[base].astype(U) << _WORD | words[base + 1].astype(U)
     class_at, symbol_at = of.tables()
-    out = np.zeros((steps, lanes), np.int64)
+    out = np.zeros((steps, lanes), np.int32)
     top, inside = U((1 << CLASSES) - 1), U((1 << INSIDE) - 1)
 
     def refill(at: np.ndarray) -> None:
@@ -357,14 +358,14 @@ def encode(ids: np.ndarray, keys: np.ndarray, lengths: np.ndarray) -> bytes:
     if len(ids) and int(ids.max()) < 1 << 22:  # most vocabularies: counted without sorting
         count = np.bincount(ids)
         distinct = np.flatnonzero(count)
-        count, number = count[distinct], np.zeros(len(count), np.int64)
+        count, number = count[distinct], np.zeros(len(count), np.int32)
         number[distinct] = np.arange(len(distinct))
         symbols = number[ids]
     else:
         distinct, symbols, count = np.unique(ids, return_inverse=True, return_counts=True)
     of = Symbols(count)
     blocks = -(-len(ids) // BLOCK)
-    padded = np.full(blocks * BLOCK, int(np.argmax(count)) if len(ids) else 0, np.int64)
+    padded = np.full(blocks * BLOCK, int(np.argmax(count)) if len(ids) else 0, np.int32)
     padded[: len(ids)] = symbols
     padded = padded.reshape(blocks, BLOCK)
     codes: list[bytes] = []

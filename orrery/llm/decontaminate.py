@@ -26,12 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .words import ALNUM, U, Words, lists, mix, slices, windows
+from .words import ALNUM, U, Words, lists, mix, slices, trimmed, windows
 
 WINDOW, SHINGLE, BLOCK = 13, 3, 200_000
 
 
 def _item_windows(size: int):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             words = Words(part.column("text"), ALNUM)
@@ -108,6 +109,7 @@ class Windows:
 
 
 def _count(keys):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = {s: np.zeros(len(p.keys), np.int64) for s, p in keys.value.items()}
         for part in slices(batches, "text"):
@@ -122,6 +124,7 @@ def _count(keys):
 
 
 def _probe(table):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, prefix = table.value
         names = pa.array(block.names, pa.string())
@@ -174,6 +177,7 @@ def _probe(table):
     return run
 
 
+@trimmed
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of several blocks as maximal runs."""
     for batch in batches:

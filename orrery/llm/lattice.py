@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import Scratch
-from .words import U, lists, mix
+from .words import U, lists, mix, trimmed
 
 TABLES, PROBES, SPREAD = 5, 8, 1.0
 #: Vectors of one label from which on a key joins one more rotation: chance meetings per probe are one in this number.
@@ -125,6 +125,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _keys(parts: int, tables: int, probes: int):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
@@ -143,6 +144,7 @@ def _keys(parts: int, tables: int, probes: int):
 
 
 def _verify(least: float):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import Scratch
-from .words import VISIBLE, U, Words, blobs, lists, mix, shingle_sets, slices
+from .words import U, VISIBLE, Words, blobs, lists, mix, shingle_sets, slices, trimmed
 
 GROUPS, BINS, ROWS = 8, 24, 4
 #: Groups whose values make bands; all groups make the signature that screens pairs.
@@ -91,6 +91,7 @@ def bands(signature: np.ndarray) -> np.ndarray:
 
 
 def _sign(size: int):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             sets = list(shingle_sets(Words(part.column("text"), VISIBLE), size))
@@ -114,6 +115,7 @@ def _sign(size: int):
 
 
 def _sets(size: int):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             sets = list(shingle_sets(Words(part.column("text"), VISIBLE), size))
@@ -122,6 +124,7 @@ def _sets(size: int):
     return run
 
 
+@trimmed
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:

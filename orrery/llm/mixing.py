@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .words import VISIBLE, raw, slices, spans
+from .words import VISIBLE, raw, slices, spans, trimmed
 
 BLOCK, CAP, SEED = 64, 3, "mix-1"
 #: Strides of the block draw: primes, so that they and a shard's block count have no common factor but the prime itself.
@@ -140,6 +140,7 @@ def copies(size: int, start: int, shard_size: int, n: int, q: int, stride: int,
     return out
 
 
+@trimmed
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["size", "start", "shard_size", "n", "q", "stride", "shift"]
     for part in slices(batches, "text"):

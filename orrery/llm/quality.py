@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import VISIBLE, U, Words, mix, slices
+from .words import U, VISIBLE, Words, mix, slices, trimmed
 
 DIM, NONZERO, BUCKETS, HIDDEN, SAMPLE, SEED = 64, 4, 1 << 14, 32, 4_000, 5
 THRESHOLD = 0.3
@@ -222,6 +222,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def _score(model, keep: bool):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, own = index_vectors(), model.value
         for part in slices(batches, "text", 1 << 20):

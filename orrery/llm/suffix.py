@@ -41,7 +41,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .words import VISIBLE, U, Words, blobs, lists, prefix, prefix_of, raw, slices, span_hash
+from .words import U, VISIBLE, Words, blobs, lists, prefix, prefix_of, raw, slices, span_hash, trimmed
 
 DEPTH, GRAM = 400, 128
 #: Passages of more than fifty words, and their grams.
@@ -109,6 +109,7 @@ ANCHORS = "id long, g long, seg long, s long, k int, d int"
 def _anchors(depth: int, gram: int, words: bool):
     width = depth - gram + 1
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             data, offsets, sums = _symbols(part.column("text"), words)
@@ -153,6 +154,7 @@ BLOCKS = "g long, b long, core long, id long, s long, lo int, hi int, left binar
 def _cut(depth: int, starts: int, words: bool):
     """Blocks of the segments that a text comes with: cores as hashes, flanks as they are."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             data, offsets, sums = _symbols(part.column("text"), words)
@@ -194,6 +196,7 @@ def _side(column: pa.Array, width: int, words: bool) -> np.ndarray:
 def _order(depth: int, starts: int, words: bool, kind: str):
     """Repeated runs of starts in buckets, whose kinds come one after another in the order of their places."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def work(t: pa.Table) -> pa.RecordBatch:
             key = np.stack([t.column(c).to_numpy() for c in ("g", "b", "core")])
@@ -338,6 +341,7 @@ def merged(spans: DataFrame) -> DataFrame:
 REMOVED = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, runs array<struct<s: long, e: long>>"
 
 
+@trimmed
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, "text"):
         data, offsets = raw(part.column("text"))

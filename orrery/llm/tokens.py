@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import codec
 from .scratch import Scratch
-from .words import U, lists, prefix, raw, slices, span_hash
+from .words import U, lists, prefix, raw, slices, span_hash, trimmed
 
 #: Bytes of text that are encoded at once.
 TEXT = 1 << 19
@@ -256,6 +256,7 @@ def files(docs: DataFrame, folder: str, save: Callable[[np.ndarray, np.ndarray,
     The manifest must be written before it is used twice.
     """
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, ids, keys, counts = tokenizer(path), [], [], []
         for part in slices(batches, "text", TEXT):
@@ -290,6 +291,7 @@ def spread(rows: DataFrame, n: int, key: str) -> DataFrame:
     return rows.repartition(max(1, n), key)
 
 
+@trimmed
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
@@ -337,6 +339,7 @@ def _flat(ids: np.ndarray) -> bytes:
 
 
 def _scan(end_id: int):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
@@ -393,6 +396,7 @@ def document_tokens(docs: DataFrame, tokenizer_path: str | None = None, end_id:
     scratch = Scratch(docs.sparkSession, "flat")
     path, folder = tokenizer_path or default_tokenizer(), f"{scratch.path}/files"
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, ids, keys = tokenizer(path, ordinary=True), [], []
         for part in slices(batches, "text", TEXT):
