@@ -50,6 +50,11 @@ def _near(current: DataFrame, prior: DataFrame, distance: int) -> DataFrame:
     return part(current, "x").join(part(prior, "y"), ["k", "part"]).where(hamming(F.col("x"), F.col("y")) <= distance).select("x", "y").distinct()
 
 
+def near_across(current: DataFrame, prior: DataFrame, distance: int = 2) -> DataFrame:
+    """(id, prior_id) pairs of two tables whose hashes lie within the distance, equal ones too."""
+    return _near(current, prior, distance).join(current.select("id", F.col("bits").alias("x")), "x").join(prior.select(F.col("id").alias("prior_id"), F.col("bits").alias("y")), "y").select("id", "prior_id")
+
+
 def prior_overlap(current: DataFrame, prior: DataFrame, distance: int = 2) -> DataFrame:
     """(id, prior_id, reasons) by stem, by equal content, or else by a near hash; a union of three equi-joins.
 
@@ -58,8 +63,7 @@ def prior_overlap(current: DataFrame, prior: DataFrame, distance: int = 2) -> Da
     far = prior.select(F.col("id").alias("prior_id"), "stem", "content")
     stem = current.join(far.select("prior_id", "stem"), "stem").select("id", "prior_id", F.lit("source_id_overlap").alias("reason"))
     same = current.join(far.select("prior_id", "content"), "content").select("id", "prior_id", F.lit("decoded_pixels_overlap").alias("reason"))
-    pairs = _near(current, prior, distance).join(current.select("id", F.col("bits").alias("x")), "x").join(prior.select(F.col("id").alias("prior_id"), F.col("bits").alias("y")), "y").select("id", "prior_id")
-    near = pairs.join(same.select("id", "prior_id"), ["id", "prior_id"], "left_anti").withColumn("reason", F.lit("near_duplicate_review"))
+    near = near_across(current, prior, distance).join(same.select("id", "prior_id"), ["id", "prior_id"], "left_anti").withColumn("reason", F.lit("near_duplicate_review"))
     every = stem.unionByName(same).unionByName(near)
     return every.groupBy("id", "prior_id").agg(F.concat_ws(",", F.array_sort(F.collect_set("reason"))).alias("reasons"))
 
@@ -114,3 +118,17 @@ def exact_partition(parts: DataFrame, whole: DataFrame, key: str) -> Column | Da
     seen = parts.groupBy(key).agg(F.count("*").alias("n"))
     both = seen.join(whole.select(key).distinct().withColumn("w", F.lit(1)), key, "full")
     return both.agg(F.count_if(F.col("n") > 1).alias("n_twice"), F.count_if(F.col("n").isNull()).alias("n_missing"), F.count_if(F.col("w").isNull()).alias("n_extra"))
+
+
+def verdict(groups: DataFrame, near: DataFrame, statistics: DataFrame, crossing: DataFrame) -> DataFrame:
+    """(n_cross_duplicates, n_near, n_constant, n_cross_groups, verdict) of an audit; any of them asks for a review.
+
+    ``groups`` are duplicate groups, ``near`` pairs of near hashes across splits,
+    ``statistics`` the splits', ``crossing`` groups in several splits.
+    """
+    counts = [groups.agg(F.count_if("cross_split").alias("n_cross_duplicates")), near.agg(F.count("*").alias("n_near")), statistics.agg(F.coalesce(F.sum("n_constant"), F.lit(0)).alias("n_constant")), crossing.agg(F.count("*").alias("n_cross_groups"))]
+    out = counts[0]
+    for more in counts[1:]:
+        out = out.crossJoin(F.broadcast(more))  # one row each
+    clean = (F.col("n_cross_duplicates") == 0) & (F.col("n_near") == 0) & (F.col("n_constant") == 0) & (F.col("n_cross_groups") == 0)
+    return out.withColumn("verdict", F.when(clean, "pass").otherwise("review_required"))

@@ -6,7 +6,7 @@ a function of its seed; zero strength is the identity.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -128,6 +128,13 @@ def compose(image: np.ndarray, strengths: dict[str, float], seeds: dict[str, int
     return image
 
 
+def chain(image: np.ndarray, effects: list[tuple[str, float]], seed_of: Callable[[str], int]) -> np.ndarray:
+    """Effects in the order in which a condition declares them, each with the seed of its own name."""
+    for name, strength in effects:
+        image = EFFECTS[name](image, strength, seed_of(name))
+    return image
+
+
 def window_counts(mask: np.ndarray, size: int) -> np.ndarray:
     """Number of set pixels of each ``size`` x ``size`` window, by two prefix sums."""
     s = np.zeros((mask.shape[0] + 1, mask.shape[1] + 1), np.int64)
@@ -136,15 +143,32 @@ def window_counts(mask: np.ndarray, size: int) -> np.ndarray:
 
 
 def components8(mask: np.ndarray) -> list[dict]:
-    """8-connected components with bounding box and area, in scan order, by label propagation."""
-    label = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
-    while True:
-        padded = np.pad(label, 1)
-        around = np.max([padded[1 + dy : 1 + dy + mask.shape[0], 1 + dx : 1 + dx + mask.shape[1]] for dy in (-1, 0, 1) for dx in (-1, 0, 1)], axis=0)
-        new = np.where(mask, around, 0)
-        if (new == label).all():
-            break
-        label = new
+    """8-connected components with bounding box and area, in scan order."""
+    # Runs of a row are joined to the runs of the row above that they touch (union-find).
+    edge = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    row, first = np.nonzero(edge == 1)
+    last = np.nonzero(edge == -1)[1]
+    parent = list(range(len(row)))
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    start = np.searchsorted(row, np.arange(mask.shape[0] + 1))
+    for y in range(1, mask.shape[0]):
+        i, j = start[y - 1], start[y]
+        while i < start[y] and j < start[y + 1]:
+            if first[i] <= last[j] and first[j] <= last[i]:
+                x, z = find(i), find(j)
+                parent[max(x, z)] = min(x, z)
+            if last[i] < last[j]:
+                i += 1
+            else:
+                j += 1
+    label = np.zeros(mask.shape, np.int64)
+    for i, (y, a, b) in enumerate(zip(row.tolist(), first.tolist(), last.tolist(), strict=True)):
+        label[y, a:b] = find(i) + 1
     out = []
     for k in np.unique(label[label > 0]):
         y, x = np.nonzero(label == k)

@@ -40,6 +40,17 @@ def request_rules() -> dict[str, Column]:
         "labels_ambiguous": labels_distinct(F.col("allowed_answers")),
         "max_new_tokens": F.col("max_new_tokens") >= 1,
         "prompt_blank": F.trim("prompt") != "",
+        "do_sample_null": F.col("do_sample").isNotNull(),
+    }
+
+
+def image_rules() -> dict[str, Column]:
+    """Rules of a request's images: safe paths, and names of modalities that are given and differ."""
+    names = F.transform("modality_paths", lambda m: m["name"])
+    return {
+        "images_missing": F.size("image_paths") > 0,
+        "path_unsafe": F.forall("image_paths", safe_path) & F.forall("modality_paths", lambda m: safe_path(m["path"])),
+        "modality_names": (F.size(F.array_distinct(names)) == F.size(names)) & ~F.exists(names, lambda n: n.isNull() | (F.trim(n) == "")),
     }
 
 
@@ -51,6 +62,27 @@ def prediction_rules() -> dict[str, Column]:
     }
 
 
+def fingerprint_rules(column: str = "request_manifest_sha256") -> dict[str, Column]:
+    """An optional hash has 64 lower-case hexadecimal digits."""
+    return {"fingerprint_format": F.col(column).isNull() | F.col(column).rlike(r"^[0-9a-f]{64}$")}
+
+
+PROVENANCE = ("task_id", "condition_id", "group_id", "answer", "reference_status")
+
+
+def pairing_violations(left: DataFrame, right: DataFrame, key: str = "request_id", columns: tuple[str, ...] = PROVENANCE) -> DataFrame:
+    """What keeps two runs from being compared: keys of one side alone, and provenance that differs, a row for each column."""
+    both = left.select(key, F.lit(True).alias("_l"), *(F.col(c).alias(f"l_{c}") for c in columns)).join(right.select(key, F.lit(True).alias("_r"), *(F.col(c).alias(f"r_{c}") for c in columns)), key, "full")
+    differs = [F.when(F.col("_l") & F.col("_r") & ~F.col(f"l_{c}").eqNullSafe(F.col(f"r_{c}")), f"{c}_differs") for c in columns]
+    rules = F.array_compact(F.array(F.when(F.col("_l").isNull(), "left_missing"), F.when(F.col("_r").isNull(), "right_missing"), *differs))
+    return both.select(F.explode(rules).alias("rule"), F.col(key).cast("string").alias("key"), F.lit("").alias("detail"))
+
+
+def resume_violations(requests: DataFrame, done: DataFrame, key: str = "request_id") -> DataFrame:
+    """Rows of a response log that forbid resuming: requests answered twice, and answers to requests that aren't there."""
+    return duplicates(done, key, "done_twice").unionByName(unmatched(done, requests, key, "done_foreign"))
+
+
 def identifier(name: Column) -> Column:
     return name.rlike(r"^[A-Za-z0-9][A-Za-z0-9_.-]{0,127}$")
 

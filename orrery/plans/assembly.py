@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import pixels as P
 from ..functions import text as X
 from ..operators import assembly as A
-from ..operators import scenes, segment, stats
+from ..operators import audit, scenes, segment, stats, validate
 from . import relations as R
 from .catalogue import C, fact, query, sql
 
@@ -96,6 +96,41 @@ def control_checks(s, d):
     return A.group_sizes(R.table(s, d, "events"), "user_id", 4, "event_type", 2)
 
 
+@query(
+    f"""WITH l AS ({sql('fact')}), r AS (SELECT request_id, task_id, CASE WHEN doc_id % 9 = 4 THEN 'other' ELSE condition_id END AS condition_id, answer FROM ({sql('fact', 1)}) WHERE doc_id % 12 <> 5)
+    SELECT 'right_missing' AS rule, request_id AS key, '' AS detail FROM l WHERE doc_id % 12 = 5 UNION ALL SELECT 'condition_id_differs', l.request_id, '' FROM l JOIN r ON l.request_id = r.request_id WHERE l.condition_id IS DISTINCT FROM r.condition_id"""
+)
+def pairing_rules(s, d):
+    number = F.substring("request_id", 2, 20).cast("long")
+    right = fact(s, d, 1).where(number % 12 != 5).withColumn("condition_id", F.when(number % 9 == 4, "other").otherwise(C("condition_id")))
+    return validate.pairing_violations(fact(s, d), right)
+
+
+@query(
+    f"""WITH p AS (SELECT request_id FROM ({sql('predictions')}) UNION ALL SELECT 'r' || doc_id FROM documents WHERE doc_id % 51 = 5 UNION ALL SELECT 'gone' || doc_id FROM documents WHERE doc_id % 80 = 2)
+    SELECT 'done_twice' AS rule, request_id AS key, 'n=' || count(*) AS detail FROM p GROUP BY request_id HAVING count(*) > 1 UNION ALL SELECT DISTINCT 'done_foreign', request_id, '' FROM p WHERE request_id NOT IN (SELECT request_id FROM ({sql('requests')}))"""
+)
+def resume_rules(s, d):
+    named = lambda lead, some: docs(s, d).where(some).select(F.concat(F.lit(lead), I.cast("string")).alias("request_id"))
+    done = R.predictions(s, d).select("request_id").unionByName(named("r", "doc_id % 51 = 5")).unionByName(named("gone", "doc_id % 80 = 2"))
+    return validate.resume_violations(R.requests(s, d), done)
+
+
+@query(
+    f"""WITH m AS ({sql('manifest')}), h AS (SELECT vec_id, vec_id % 3 = 0 AS tr, ('0x' || substr(md5(label::VARCHAR), 1, 6))::BIGINT + vec_id % 2 AS bits FROM embeddings),
+      g AS (SELECT content FROM m GROUP BY content HAVING count(*) > 1 AND count(DISTINCT split) > 1), near AS (SELECT count(*) AS n FROM h a JOIN h b ON a.tr AND NOT b.tr AND bit_count(xor(a.bits, b.bits)) <= 2)
+    SELECT (SELECT count(*) FROM g) AS n_cross_duplicates, (SELECT n FROM near) AS n_near, (SELECT count(*) FROM m WHERE n_chars % 41 = 0) AS n_constant, (SELECT count(*) FROM (SELECT group_id FROM m GROUP BY group_id HAVING count(DISTINCT split) > 1)) AS n_cross_groups, 'review_required' AS verdict"""
+)
+def audit_verdict_full(s, d):
+    m = R.manifest(s, d)
+    stats_ = audit.split_statistics(m.select("split", "group_id", C("n_chars").alias("foreground"), F.lit(1).alias("background"), (C("n_chars") % 41 == 0).alias("constant")))
+    bits = (F.conv(F.substring(F.md5(C("label").cast("string")), 1, 6), 16, 10).cast("long") + C("vec_id") % 2).alias("bits")
+    h = R.table(s, d, "embeddings").select(C("vec_id").alias("id"), (C("vec_id") % 3 == 0).alias("tr"), bits)
+    near = audit.near_across(h.where("tr"), h.where("not tr"))
+    crossing = m.groupBy("group_id").agg(F.count_distinct("split").alias("n")).where("n > 1")
+    return audit.verdict(audit.duplicate_groups(m, "content"), near, stats_, crossing)
+
+
 # --- masks and intervals ------------------------------------------------------------------------
 
 

@@ -69,11 +69,41 @@ def row_digests(rows: DataFrame) -> DataFrame:
 
 
 def fingerprint(rows: DataFrame) -> DataFrame:
-    """(n, fingerprint) that no order of rows changes: the sorted row digests are summed in two independent ways.
+    """(n, fingerprint) that no order of rows changes: eight sums of the parts of the row digests, and their digest.
 
-    Only sums meet in one row, so a manifest of any size has a fingerprint.
+    Only sums meet in one row, so a table of any size has a fingerprint.  It tells
+    accidental changes, not forged ones; ``records_fingerprint`` is the exact identity.
     """
     own = row_digests(rows)
     part = lambda k: F.conv(F.substring("row_sha", 8 * k + 1, 8), 16, 10).cast("decimal(38,0)")
     sums = own.agg(F.count("*").alias("n"), *(F.sum(part(k)).alias(f"s{k}") for k in range(8)))
     return sums.select("n", F.sha2(F.concat_ws(":", "n", *(F.col(f"s{k}").cast("string") for k in range(8))), 256).alias("fingerprint"))
+
+
+def records_fingerprint(rows: DataFrame, key: str = "request_id") -> str:
+    """SHA-256 of a manifest's canonical JSON: an array of its rows in the order of ``key``, without null fields.
+
+    Rows are sorted in the cluster and hashed as they stream by, partition by
+    partition, so that the driver holds a few at a time.
+    """
+    text = rows.select(F.col(key).alias("_key"), canonical(F.to_json(F.struct(*rows.columns))).alias("_text")).orderBy("_key", "_text").select("_text")
+    digest_, lead = hashlib.sha256(b"["), b""
+    for row in text.toLocalIterator():
+        digest_.update(lead + row[0].encode())
+        lead = b", "
+    digest_.update(b"]")
+    return digest_.hexdigest()
+
+
+def embedded_images(spark: SparkSession, path: str, content: bool = False) -> DataFrame:
+    """Image and mask pairs of Parquet files that hold the bytes; without ``content`` only names and sizes are read."""
+    rows = spark.read.parquet(path)
+    columns = [F.col("image.path").alias("image"), F.col("mask.path").alias("mask"), "width", "height", "class_labels"]
+    if content:
+        columns += [F.col("image.bytes").alias("image_bytes"), F.col("mask.bytes").alias("mask_bytes"), F.sha2("image.bytes", 256).alias("image_sha256"), F.sha2("mask.bytes", 256).alias("mask_sha256")]
+    return rows.select(*columns)
+
+
+def write_sorted(rows: DataFrame, path: str, *keys: str, kind: str = "json") -> None:
+    """Rows in the order of their keys, file by file, for reports that people compare; never overwrites."""
+    rows.orderBy(*keys).write.mode("errorifexists").format(kind).save(path)
