@@ -215,7 +215,7 @@ def expected_losses(rows, drawn, target):
     grams = [(Counter(w), Counter(zip(["", *w], w, strict=False))) for _, w in texts]
     models = [lambda i: i in target, lambda i: i in drawn]
     counted = [g for (i, _), g in zip(texts, grams, strict=True) if i in target or i in drawn]
-    known = {x for x, n in Counter(x for words, _ in counted for x in words).items() if n >= 2}
+    known = {x for x, n in Counter(x for words, _ in counted for x in words).items() if n >= 3}
     known_pairs = {x for x, n in Counter(x for _, pairs in counted for x in pairs).items() if n >= 3}
     out = []
     for (i, w), (own, own_pairs) in zip(texts, grams, strict=True):
@@ -223,7 +223,7 @@ def expected_losses(rows, drawn, target):
         for fits in models:
             members = [k for k, (j, _) in enumerate(texts) if fits(j)]
             words, pairs, starts = Counter(), Counter(), sum(1 for k in members if texts[k][1])
-            starts *= sum(1 for j, v in texts if v and (j in target or j in drawn)) >= 2
+            starts *= sum(1 for j, v in texts if v and (j in target or j in drawn)) >= 3
             for k in members:
                 words.update(grams[k][0])
                 pairs.update(grams[k][1])
@@ -266,6 +266,7 @@ def test_language_models(spark, odd, odd_rows, empty):
 def test_language_models_by_every_way(spark, monkeypatch, head):
     """Heads that hold all, some or none of the words and pairs, many buckets, and target ids that aren't sent."""
     monkeypatch.setattr(ngram, "HEAD", head)
+    monkeypatch.setattr(ngram, "WORDS_HEAD", head)
     monkeypatch.setattr(ngram, "BUCKET", 4096)
     monkeypatch.setattr(ngram, "SENT_IDS", 5)
     r = random.Random(7)
