@@ -12,9 +12,6 @@ from ..operators import audit, scenes, segment, stats, validate
 from . import relations as R
 from .catalogue import C, fact, query, sql
 
-I = C("doc_id")  # noqa: E741
-
-
 def docs(s, d):
     return R.table(s, d, "documents")
 
@@ -34,14 +31,14 @@ def io_split(s, d):
     SELECT rule, k::VARCHAR AS key, na || '/' || nb AS detail FROM (SELECT k, na, nb, unnest([CASE WHEN na = 0 THEN 'left_missing' END, CASE WHEN nb = 0 THEN 'right_missing' END, CASE WHEN na > 1 THEN 'left_repeated' END]) AS rule FROM g) WHERE rule IS NOT NULL"""
 )
 def strict_join_rules(s, d):
-    k = docs(s, d).select(I.alias("k"))
+    k = docs(s, d).select(C("doc_id").alias("k"))
     return A.strict_violations(k.where("k % 9 <> 4").union(k.where("k % 50 = 3")), k.where("k % 11 <> 4"), "k")
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '/new/place/' || lang || '/x.png' ELSE '/other/' || lang END AS path FROM documents")
 def rebase_paths(s, d):
-    path = F.when(I % 3 == 0, F.concat(F.lit("/old/"), "lang", F.lit("/x.png"))).otherwise(F.concat(F.lit("/other/"), "lang"))
-    rows = docs(s, d).select(I, F.array(F.struct(F.lit("rgb").alias("name"), path.alias("path"))).alias("paths"))
+    path = F.when(C("doc_id") % 3 == 0, F.concat(F.lit("/old/"), "lang", F.lit("/x.png"))).otherwise(F.concat(F.lit("/other/"), "lang"))
+    rows = docs(s, d).select(C("doc_id"), F.array(F.struct(F.lit("rgb").alias("name"), path.alias("path"))).alias("paths"))
     return A.rebase(rows, "paths", "/old", "/new/place").select("doc_id", F.col("paths")[0]["path"].alias("path"))
 
 
@@ -56,8 +53,8 @@ def variant_targets(s, d):
     FROM documents a LEFT JOIN (SELECT * FROM documents WHERE doc_id % 6 <> 2) b ON a.doc_id = b.doc_id"""
 )
 def depth_coverage(s, d):
-    rows = docs(s, d).select(I, (C("n_chars") % 5).alias("height"), F.lit(8).alias("width"), "n_chars")
-    depth = rows.where("doc_id % 6 <> 2").select(I, "height", F.when(I % 8 == 1, 7).otherwise(8).alias("width"), (C("n_chars") % 100 / 100).alias("valid_share"))
+    rows = docs(s, d).select(C("doc_id"), (C("n_chars") % 5).alias("height"), F.lit(8).alias("width"), "n_chars")
+    depth = rows.where("doc_id % 6 <> 2").select(C("doc_id"), "height", F.when(C("doc_id") % 8 == 1, 7).otherwise(8).alias("width"), (C("n_chars") % 100 / 100).alias("valid_share"))
     return A.coverage_with_depth(rows.drop("n_chars"), depth, "doc_id")
 
 
@@ -65,10 +62,10 @@ def depth_coverage(s, d):
     """SELECT doc_id AS id, 'c' || doc_id % 4 AS container, doc_id // 4 AS row_index, CASE WHEN doc_id % 10 = 9 THEN 'row_missing' WHEN doc_id % 7 = 3 THEN 'hash_differs' ELSE 'verified' END AS state FROM documents"""
 )
 def locator_join(s, d):
-    at = (F.concat(F.lit("c"), (I % 4).cast("string")).alias("container"), F.floor(I / 4).cast("long").alias("row_index"))
+    at = (F.concat(F.lit("c"), (C("doc_id") % 4).cast("string")).alias("container"), F.floor(C("doc_id") / 4).cast("long").alias("row_index"))
     rows = docs(s, d).where("doc_id % 10 <> 9").select(*at, F.coalesce("text", F.lit("")).alias("content"))
-    sha = F.sha2(F.when(I % 7 == 3, "other").otherwise(F.coalesce("text", F.lit(""))), 256)
-    return A.by_locator(docs(s, d).select(I.alias("id"), *at, sha.alias("sha256")), rows)
+    sha = F.sha2(F.when(C("doc_id") % 7 == 3, "other").otherwise(F.coalesce("text", F.lit(""))), 256)
+    return A.by_locator(docs(s, d).select(C("doc_id").alias("id"), *at, sha.alias("sha256")), rows)
 
 
 BOXES = f"SELECT *, (instance * 13 + image * 7) % 10 AS score10 FROM ({sql('boxes')})"
@@ -111,7 +108,7 @@ def pairing_rules(s, d):
     SELECT 'done_twice' AS rule, request_id AS key, 'n=' || count(*) AS detail FROM p GROUP BY request_id HAVING count(*) > 1 UNION ALL SELECT DISTINCT 'done_foreign', request_id, '' FROM p WHERE request_id NOT IN (SELECT request_id FROM ({sql('requests')}))"""
 )
 def resume_rules(s, d):
-    named = lambda lead, some: docs(s, d).where(some).select(F.concat(F.lit(lead), I.cast("string")).alias("request_id"))
+    named = lambda lead, some: docs(s, d).where(some).select(F.concat(F.lit(lead), C("doc_id").cast("string")).alias("request_id"))
     done = R.predictions(s, d).select("request_id").unionByName(named("r", "doc_id % 51 = 5")).unionByName(named("gone", "doc_id % 80 = 2"))
     return validate.resume_violations(R.requests(s, d), done)
 
@@ -190,7 +187,7 @@ def registration_errors(s, d):
 
 @query("SELECT lang || ':' || CASE doc_id % 4 WHEN 1 THEN 'small' WHEN 2 THEN 'blank' ELSE 'twice' END AS reason, count(*) AS n FROM documents WHERE doc_id % 4 > 0 GROUP BY 1")
 def rejection_counts(s, d):
-    reason = F.when(I % 4 == 1, "small").when(I % 4 == 2, "blank").when(I % 4 == 3, "twice")
+    reason = F.when(C("doc_id") % 4 == 1, "small").when(C("doc_id") % 4 == 2, "blank").when(C("doc_id") % 4 == 3, "twice")
     return A.rejections(docs(s, d).withColumn("reason", reason), "lang")
 
 
@@ -202,25 +199,25 @@ def rejection_counts(s, d):
     SELECT source, pool, place::INT AS place, doc_id FROM r WHERE place <= CASE pool WHEN 'both' THEN 1 WHEN 'positive' THEN 3 ELSE 2 END"""
 )
 def stratified_selection(s, d):
-    pool = F.when(I % 6 == 0, "both").when(I % 2 == 0, "positive").otherwise("negative")
-    return A.stratified(docs(s, d).select("doc_id", "source"), "source", pool, {"both": 1, "positive": 3, "negative": 2}, F.sha2(F.concat(F.lit("7:"), I.cast("string")), 256)).select("source", "pool", "place", "doc_id")
+    pool = F.when(C("doc_id") % 6 == 0, "both").when(C("doc_id") % 2 == 0, "positive").otherwise("negative")
+    return A.stratified(docs(s, d).select("doc_id", "source"), "source", pool, {"both": 1, "positive": 3, "negative": 2}, F.sha2(F.concat(F.lit("7:"), C("doc_id").cast("string")), 256)).select("source", "pool", "place", "doc_id")
 
 
 @query("WITH r AS (SELECT source, abs(n_chars - 1000) AS delta, doc_id % 90 AS angle, doc_id FROM documents), b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY source ORDER BY delta, angle, doc_id) = 1) SELECT * FROM b ORDER BY delta, angle, doc_id LIMIT 6")
 def nearest_of_groups(s, d):
-    rows = docs(s, d).select("source", F.abs(C("n_chars") - 1000).alias("delta"), (I % 90).alias("angle"), "doc_id")
+    rows = docs(s, d).select("source", F.abs(C("n_chars") - 1000).alias("delta"), (C("doc_id") % 90).alias("angle"), "doc_id")
     return A.best_of_groups(rows, "source", ["delta", "angle"], "doc_id", 6)
 
 
 @query("SELECT doc_id, (('0x' || sha256('w' || doc_id)[1:16])::UBIGINT % 37)::BIGINT AS window_index FROM documents")
 def window_pick(s, d):
-    return docs(s, d).select("doc_id", A.hash_pick(F.concat(F.lit("w"), I.cast("string")), F.lit(37)).alias("window_index"))
+    return docs(s, d).select("doc_id", A.hash_pick(F.concat(F.lit("w"), C("doc_id").cast("string")), F.lit(37)).alias("window_index"))
 
 
 @query("WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha256('z' || doc_id)) AS turn FROM documents WHERE source IS NOT NULL) SELECT doc_id, source, turn::INT AS turn FROM r ORDER BY turn, source LIMIT 40")
 def fewest_first(s, d):
     rows = docs(s, d).where("source is not null").select("doc_id", "source")
-    return A.fewest_first(rows, "source", F.sha2(F.concat(F.lit("z"), I.cast("string")), 256), 40)
+    return A.fewest_first(rows, "source", F.sha2(F.concat(F.lit("z"), C("doc_id").cast("string")), 256), 40)
 
 
 # --- values -------------------------------------------------------------------------------------
@@ -230,8 +227,8 @@ def fewest_first(s, d):
     """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'M' || (doc_id + 100) || '_r' || doc_id % 9 WHEN 1 THEN 'thm_dir_N' || doc_id ELSE NULL END AS group_name FROM documents"""
 )
 def image_groups(s, d):
-    n = I.cast("string")
-    name = F.when(I % 4 == 0, F.concat(F.lit("M"), (I + 100).cast("string"), F.lit("_r"), (I % 9).cast("string"), F.lit("_c3"))).when(I % 4 == 1, F.concat(F.lit("thm_dir_N"), n, F.lit("_0012"))).otherwise(F.concat(F.lit("img"), n))
+    n = C("doc_id").cast("string")
+    name = F.when(C("doc_id") % 4 == 0, F.concat(F.lit("M"), (C("doc_id") + 100).cast("string"), F.lit("_r"), (C("doc_id") % 9).cast("string"), F.lit("_c3"))).when(C("doc_id") % 4 == 1, F.concat(F.lit("thm_dir_N"), n, F.lit("_0012"))).otherwise(F.concat(F.lit("img"), n))
     return docs(s, d).select("doc_id", X.image_group(name).alias("group_name"))
 
 
@@ -264,13 +261,13 @@ PALETTE = {(1, 2, 3): 0, (10, 20, 30): 1, (200, 100, 50): 2}
 
 @query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 END AS class FROM documents")
 def palette_classes(s, d):
-    rgb = F.when(I % 4 == 0, F.array(F.lit(1), F.lit(2), F.lit(3))).when(I % 4 == 1, F.array(F.lit(10), F.lit(20), F.lit(30))).when(I % 4 == 2, F.array(F.lit(200), F.lit(100), F.lit(50))).otherwise(F.array(F.lit(9), F.lit(9), F.lit(9)))
+    rgb = F.when(C("doc_id") % 4 == 0, F.array(F.lit(1), F.lit(2), F.lit(3))).when(C("doc_id") % 4 == 1, F.array(F.lit(10), F.lit(20), F.lit(30))).when(C("doc_id") % 4 == 2, F.array(F.lit(200), F.lit(100), F.lit(50))).otherwise(F.array(F.lit(9), F.lit(9), F.lit(9)))
     return docs(s, d).select("doc_id", P.palette_class(rgb, PALETTE).alias("class"))
 
 
 @query("SELECT doc_id, 'some-pack-age-' || doc_id AS name, '1.' || doc_id % 7 AS version FROM documents")
 def package_names(s, d):
-    text = F.concat(F.lit("Some__Pack.-Age_"), I.cast("string"), F.lit("==1."), (I % 7).cast("string"))
+    text = F.concat(F.lit("Some__Pack.-Age_"), C("doc_id").cast("string"), F.lit("==1."), (C("doc_id") % 7).cast("string"))
     return docs(s, d).select("doc_id", X.package(text).alias("p")).select("doc_id", "p.*")
 
 
@@ -286,15 +283,15 @@ def crop_roi(s, d):
 
 @query("SELECT doc_id, 3 AS prefix, doc_id % 3 = 0 AS ended, doc_id % 3 <> 0 AND doc_id % 5 >= 4 AS hit_budget FROM documents")
 def sequence_states(s, d):
-    steps = (I % 5 + 1).cast("int")
-    ids = F.concat(F.array(F.lit(2), F.lit(5), F.lit(6)), F.transform(F.sequence(F.lit(1), steps), lambda k: F.when((k == steps) & (I % 3 == 0), 2).otherwise(7)))
+    steps = (C("doc_id") % 5 + 1).cast("int")
+    ids = F.concat(F.array(F.lit(2), F.lit(5), F.lit(6)), F.transform(F.sequence(F.lit(1), steps), lambda k: F.when((k == steps) & (C("doc_id") % 3 == 0), 2).otherwise(7)))
     return docs(s, d).select("doc_id", A.sequence_state(ids, steps, 2, F.lit(5)).alias("x")).select("doc_id", "x.*")
 
 
 @query("SELECT CASE WHEN doc_id % 21 = 5 THEN 'right_missing' ELSE 'left_missing' END AS rule, lang || '/' || doc_id AS key, CASE WHEN doc_id % 21 = 5 THEN '1/0' ELSE '0/1' END AS detail FROM documents WHERE doc_id % 21 IN (5, 6)")
 def key_bijection(s, d):
-    flat = docs(s, d).where("doc_id % 21 <> 6").select(F.concat(F.lit("encoder."), "lang", F.lit("."), I.cast("string")).alias("name"))
-    nested = docs(s, d).where("doc_id % 21 <> 5").select(F.concat(F.lit("model/encoder/"), "lang", F.lit("/"), I.cast("string")).alias("name"))
+    flat = docs(s, d).where("doc_id % 21 <> 6").select(F.concat(F.lit("encoder."), "lang", F.lit("."), C("doc_id").cast("string")).alias("name"))
+    nested = docs(s, d).where("doc_id % 21 <> 5").select(F.concat(F.lit("model/encoder/"), "lang", F.lit("/"), C("doc_id").cast("string")).alias("name"))
     return A.bijection(flat, F.replace(F.substring("name", 9, 1000), F.lit("."), F.lit("/")), nested, F.substring("name", 15, 1000))
 
 
@@ -306,8 +303,8 @@ TRACKS = "SELECT doc_id AS id, doc_id % 6 AS track, lang AS group_id, CASE WHEN
     UNION ALL SELECT 'group_crosses', group_id, '' FROM t GROUP BY group_id HAVING count(DISTINCT split) > 1 UNION ALL SELECT 'total', 'all', 'n=' || count(*) FROM t HAVING count(*) <> 200"""
 )
 def collection_gates(s, d):
-    split = F.when(I % 5 == 0, "test").otherwise("train")
-    tracks = docs(s, d).select(I.alias("id"), (I % 6).alias("track"), C("lang").alias("group_id"), split.alias("split"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
+    split = F.when(C("doc_id") % 5 == 0, "test").otherwise("train")
+    tracks = docs(s, d).select(C("doc_id").alias("id"), (C("doc_id") % 6).alias("track"), C("lang").alias("group_id"), split.alias("split"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
     return A.collection_gates(tracks, 34, 200)
 
 
@@ -405,10 +402,10 @@ def annotation_counts(s, d):
     """SELECT CASE WHEN doc_id % 14 = 3 THEN 'extra/' ELSE 'd/' END || doc_id AS path, CASE WHEN doc_id % 14 = 3 THEN 'extra' WHEN doc_id % 14 = 4 THEN 'missing' WHEN doc_id % 14 = 5 THEN 'changed' ELSE 'verified' END AS state FROM documents"""
 )
 def bundle_verify(s, d):
-    path = lambda p: F.concat(F.lit(p), I.cast("string")).alias("path")
+    path = lambda p: F.concat(F.lit(p), C("doc_id").cast("string")).alias("path")
     text = F.coalesce("text", F.lit(""))
     sealed = A.hash_manifest(docs(s, d).where("doc_id % 14 <> 3").select(path("d/"), text.alias("content")))
-    now = docs(s, d).where("doc_id % 14 not in (3, 4)").select(path("d/"), F.when(I % 14 == 5, F.concat(text, F.lit("!"))).otherwise(text).alias("content"))
+    now = docs(s, d).where("doc_id % 14 not in (3, 4)").select(path("d/"), F.when(C("doc_id") % 14 == 5, F.concat(text, F.lit("!"))).otherwise(text).alias("content"))
     return A.verify_manifest(sealed, now.unionByName(docs(s, d).where("doc_id % 14 = 3").select(path("extra/"), text.alias("content"))))
 
 
