@@ -98,10 +98,22 @@ SELECT e.vec_id, coalesce(n.n, 0) AS n_links, coalesce(comp.component, e.vec_id)
 FROM embeddings e LEFT JOIN n ON n.x = e.vec_id LEFT JOIN comp ON comp.id = e.vec_id"""
 )
 
+FILL_IN_MIDDLE = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
+    h AS (SELECT *, len(u)::BIGINT AS n, ('0x' || x[1:8])::BIGINT AS h1, ('0x' || x[9:16])::BIGINT AS h2, ('0x' || x[17:24])::BIGINT AS h3, ('0x' || x[25:32])::BIGINT AS h4 FROM d),
+    f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+      CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+    c AS (SELECT *, CASE WHEN form <> 'plain' THEN array_to_string(u[1 : a], '') END AS p, CASE WHEN form <> 'plain' THEN array_to_string(u[a + 1 : b], '') END AS m, CASE WHEN form <> 'plain' THEN array_to_string(u[b + 1 : n], '') END AS s FROM f)
+SELECT doc_id, n, form, length(p)::BIGINT AS prefix_chars, length(m)::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM c
+"""
+
 SQL = {
     "op1_decontamination": DECONTAMINATION,
     "op2_mixing": MIXING,
     "op4_minhash_near_dedup": MINHASH,
     "op6_suffix_dedup": SUFFIX,
     "op8_lattice_near_dedup": LATTICE,
+    "op13_fill_in_middle": FILL_IN_MIDDLE,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chains, decontaminate, lattice, minhash, mixing, ngram, oracle, quality, suffix, tokens
+from . import chains, decontaminate, fim, lattice, minhash, mixing, ngram, oracle, quality, suffix, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,15 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_ids(_table(spark, sf_dir, "documents"))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = fim.arranged(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    f = lambda c: F.col("fim." + c)
+    return docs.select(
+        "doc_id", "fim.n", "fim.form", F.char_length(f("prefix")).cast("long").alias("prefix_chars"), F.char_length(f("middle")).cast("long").alias("middle_chars"),
+        F.sha2(f("output"), 256).alias("output_sha256"), F.sha2(fim.restored(f("output"), f("form")), 256).alias("restored_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
