@@ -98,6 +98,32 @@ SELECT e.vec_id, coalesce(n.n, 0) AS n_links, coalesce(comp.component, e.vec_id)
 FROM embeddings e LEFT JOIN n ON n.x = e.vec_id LEFT JOIN comp ON comp.id = e.vec_id"""
 )
 
+EXACT = f"""
+WITH d AS (SELECT doc_id, sha256({LOWER.format("coalesce(text, '')")}) AS text_sha256 FROM documents),
+    g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)
+"""
+
+#: crc32 has no name in this SQL: bit by bit over the digits of an id, as a fold.
+_CRC = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(x) + 1), lambda i: ascii(substring(x, i, 1))::BIGINT)), lambda a, c:
+      list_reduce(list_prepend(xor(a, c), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda r, z: xor(r >> 1, CASE WHEN r & 1 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END)))"""
+
+TRIE = f"""
+WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+    ids AS (SELECT DISTINCT c, c::VARCHAR AS x FROM t),
+    h AS (SELECT c, c - c % 100 AS base, xor({_CRC}, 4294967295::BIGINT) % 6 AS h FROM ids),
+    r AS (SELECT h.c, t.pos AS k, 0 AS part, role, text FROM h JOIN t ON t.c = h.base AND t.pos < h.h UNION ALL SELECT h.c, t.pos, 1, role, text FROM h JOIN t ON t.c = h.c AND t.pos >= h.h),
+    s AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, k) AS d, sha256(length(role) || ':' || role || text) AS x, length(text) AS chars FROM r),
+    p AS (SELECT c, d, string_agg(x, '') OVER (PARTITION BY c ORDER BY d) AS key, chars FROM s UNION ALL SELECT c, 0, '', 0 FROM h),
+    n AS (SELECT key, d, min(c) AS c, count(*) AS n, max(chars) AS chars FROM p GROUP BY key, d),
+    e AS (SELECT key, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM (SELECT c, arg_max(key, d) AS key FROM p GROUP BY c) GROUP BY key),
+    k AS (SELECT substring(key, 1, 64 * (d - 1)::INT) AS key, count(*) AS kids FROM n WHERE d > 0 GROUP BY ALL),
+    w AS (SELECT n.key, n.d, (n - 1) * chars AS saves, CASE WHEN kids IS NULL THEN 1 ELSE 0 END AS leaf FROM n LEFT JOIN k ON k.key = n.key),
+    a AS (SELECT substring(key, 1, (64 * u)::INT) AS key, sum(saves)::BIGINT AS saved, sum(leaf)::BIGINT AS leaves FROM (SELECT *, unnest(range(0, d + 1)) AS u FROM w) GROUP BY ALL)
+SELECT n.c AS conv_id, n.d::BIGINT AS depth, CASE WHEN n.d > 0 THEN u.c END AS parent_conv_id, n.n AS n_convs, coalesce(kids, 0) AS n_children, leaves AS n_leaves, saved AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM n JOIN a ON a.key = n.key LEFT JOIN k ON k.key = n.key LEFT JOIN e ON e.key = n.key LEFT JOIN n u ON u.key = substring(n.key, 1, (64 * (n.d - 1))::INT) AND u.d = n.d - 1
+"""
+
 FILL_IN_MIDDLE = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
     h AS (SELECT *, len(u)::BIGINT AS n, ('0x' || x[1:8])::BIGINT AS h1, ('0x' || x[9:16])::BIGINT AS h2, ('0x' || x[17:24])::BIGINT AS h3, ('0x' || x[25:32])::BIGINT AS h4 FROM d),
@@ -115,5 +141,7 @@ SQL = {
     "op4_minhash_near_dedup": MINHASH,
     "op6_suffix_dedup": SUFFIX,
     "op8_lattice_near_dedup": LATTICE,
+    "op11_exact_dedup": EXACT,
+    "op12_prefix_trie": TRIE,
     "op13_fill_in_middle": FILL_IN_MIDDLE,
 }

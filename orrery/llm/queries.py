@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chains, decontaminate, fim, lattice, minhash, mixing, ngram, oracle, quality, suffix, tokens
+from . import chains, decontaminate, exact, fim, lattice, minhash, mixing, ngram, oracle, quality, suffix, tokens, trie
+from .scratch import Scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +61,16 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_ids(_table(spark, sf_dir, "documents"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_groups(_table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "trie")
+    turns, convs = trie.rebuilt(_table(spark, sf_dir, "conversations"), scratch)
+    return trie.prefix_trie(turns, convs, scratch)
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = fim.arranged(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     f = lambda c: F.col("fim." + c)
