@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,12 +20,18 @@ def lookup(rows: DataFrame, table: DataFrame, on: list[str], count: str, total:
 
     Rows of hot keys, of which there are at most SHARE, meet them without a
     shuffle; so no task of the shuffle gets more than a share of the rows for a
-    key.  ``rows`` is read twice: it should be a written table.
+    key.  Null keys are equal.  ``rows`` is read twice: it should be a written table.
     """
-    hot = table.where(F.col(count) * SHARE > total)
-    cold = table.where(F.col(count) * SHARE <= total)
-    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti")
-    return rows.join(F.broadcast(hot), on).drop(count).unionByName(rest.join(cold, on).drop(count))
+    keys = {c: f"_k{i}" for i, c in enumerate(on)}
+    table = table.withColumnsRenamed(keys)
+
+    def met(some: DataFrame, others: DataFrame, how: str) -> DataFrame:
+        same = [some[c].eqNullSafe(others[k]) for c, k in keys.items()]
+        return some.join(others, reduce(and_, same), how).drop(*keys.values(), *([] if count in some.columns else [count]))
+
+    hot = F.broadcast(table.where(F.col(count) * SHARE > total))
+    rest = met(rows, F.broadcast(table.where(F.col(count) * SHARE > total).select(*keys.values())), "left_anti")
+    return met(rows, hot, "inner").unionByName(met(rest, table.where(F.col(count) * SHARE <= total), "inner"))
 
 
 def indexed(rows: DataFrame, scratch: Scratch, name: str, at: str = "at") -> DataFrame:

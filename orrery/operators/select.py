@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_order
+from ..sources.shared import Scratch
+from .hot import lookup, ranked
 
 
 def hash_topk(rows: DataFrame, n: int, seed: str, key: str) -> DataFrame:
@@ -17,20 +19,34 @@ def hash_topk(rows: DataFrame, n: int, seed: str, key: str) -> DataFrame:
 def round_robin(rows: DataFrame, group: str, order: list[Column], group_order: Column, taken: int | None = None) -> DataFrame:
     """Rows with ``turn``, their number in their group: by turn, then group, this visits each group once a round.
 
-    With ``taken`` only the first rounds are kept, which Spark cuts before the shuffle.
+    With ``taken`` only the first rounds are kept, which Spark cuts before the
+    shuffle.  Without it turns come from places in the order of the whole table,
+    so a group with most of the rows is no task of its own.
     """
-    out = rows.withColumn("turn", F.row_number().over(W.partitionBy(group).orderBy(*order)))
-    out = out.where(F.col("turn") <= taken) if taken else out
+    if taken:
+        out = rows.withColumn("turn", F.row_number().over(W.partitionBy(group).orderBy(*order))).where(F.col("turn") <= taken)
+    else:
+        scratch = Scratch(rows.sparkSession, "turns")
+        placed, groups = ranked(rows, [group], order, scratch, "placed", "_at")
+        groups = scratch.write(groups.withColumnsRenamed({"first": "_first", "n": "_n"}), "groups")
+        total = groups.agg(F.sum("_n")).first()[0] or 0
+        out = lookup(placed, groups, [group], "_n", total).withColumn("turn", (F.col("_at") - F.col("_first") + 1).cast("int")).drop("_at", "_first")
     return out.withColumn("group_key", group_order)
 
 
+def _at_places(rows: DataFrame, group: str, order: list[str | Column], spots: Column, name: str) -> DataFrame:
+    """The rows of each group at the places ``spots`` (an array, from 0, made of the group's size ``n``), with their place ``i``."""
+    scratch = Scratch(rows.sparkSession, name)
+    placed, groups = ranked(rows, [group], order, scratch, "placed", "_at")
+    wanted = groups.select("first", F.explode(spots).alias("i")).select((F.col("first") + F.col("i")).alias("_at"), "i")
+    return placed.join(wanted, "_at").drop("_at")
+
+
 def evenly_spaced(rows: DataFrame, group: str, order: str, k: int) -> DataFrame:
     """Up to ``k`` rows of each group at round(i (n - 1) / (k - 1)) (half to even); the middle one for k = 1."""
-    w = W.partitionBy(group)
-    placed = rows.withColumns({"n": F.count("*").over(w), "i": F.row_number().over(w.orderBy(order)) - 1})
-    spots = F.when(F.col("n") <= k, F.sequence(F.lit(0), F.col("n").cast("int") - 1))
-    spots = spots.otherwise(F.array((F.col("n") / 2).cast("int")) if k == 1 else F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.bround(i * (F.col("n") - 1) / F.lit(float(k - 1)), 0).cast("int")))
-    return placed.where(F.array_contains(spots, F.col("i"))).drop("n")
+    n = F.col("n")
+    spots = F.when(n <= k, F.sequence(F.lit(0).cast("long"), n - 1))
+    return _at_places(rows, group, [order], spots.otherwise(F.array(F.expr("n div 2")) if k == 1 else F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.bround(i * (n - 1) / F.lit(float(k - 1)), 0).cast("long"))), "spaced")
 
 
 def top_distinct(rows: DataFrame, anchor: str, dedupe: Column, order: list[Column], k: int = 3) -> DataFrame:
@@ -53,9 +69,7 @@ def latest(rows: DataFrame, key: str, by: str) -> DataFrame:
 
 
 def middle(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
-    w = W.partitionBy(group)
-    out = rows.withColumns({"_n": F.count("*").over(w), "_r": F.row_number().over(w.orderBy(*order))})
-    return out.where("_r = _n div 2 + 1").drop("_n", "_r")
+    return _at_places(rows, group, order, F.array(F.expr("n div 2")), "middle").drop("i")
 
 
 def page(rows: DataFrame, order: list[str], limit: int = 100, offset: int = 0) -> DataFrame:
@@ -100,36 +114,3 @@ def proportional_quotas(sizes: DataFrame, key: str, size: str, total: int, cap:
     now = now.withColumn("f", F.floor("e")).withColumn("rest", left - F.sum("f").over(every))
     rank = F.row_number().over(every.orderBy((F.col("e") - F.col("f")).desc_nulls_last(), key))
     return now.withColumn("rank", rank).select(key, size, F.coalesce("q", F.col("f") + F.when(F.col("rank") <= F.col("rest"), 1).otherwise(0)).cast("long").alias("quota"))
-
-
-def greedy_balance(pdf, n: int):
-    """Sequential pick that keeps groups and value bins level: least (group count, bin count, hash) each time.
-
-    For the bounded candidate lists of one track; runs in ``applyInPandas``.
-    """
-    left = sorted(pdf.to_dict("records"), key=lambda r: r["h"])
-    groups: dict = {}
-    bins: dict = {}
-    out = []
-    while left and len(out) < n:
-        best = min(left, key=lambda r: (groups.get(r["group_id"], 0), bins.get(r["bin"], 0), r["h"]))
-        left.remove(best)
-        groups[best["group_id"]] = groups.get(best["group_id"], 0) + 1
-        bins[best["bin"]] = bins.get(best["bin"], 0) + 1
-        out.append(best | {"pick": len(out)})
-    return pdf.iloc[:0].assign(pick=0) if not out else type(pdf)(out)
-
-
-def farthest_points(pdf, n: int):
-    """Max-min selection in the unit square, from the first point in hash order; runs in ``applyInPandas`` on one bounded group."""
-    import numpy as np
-
-    pdf = pdf.sort_values("h", kind="stable").reset_index(drop=True)
-    xy = pdf[["x", "y"]].to_numpy(float)
-    span = xy.max(axis=0) - xy.min(axis=0)
-    xy = (xy - xy.min(axis=0)) / np.where(span > 0, span, 1)
-    chosen, gap = [0], np.linalg.norm(xy - xy[0], axis=1)
-    while len(chosen) < min(n, len(pdf)):
-        chosen.append(int(gap.argmax()))
-        gap = np.minimum(gap, np.linalg.norm(xy - xy[chosen[-1]], axis=1))
-    return pdf.iloc[chosen].assign(pick=range(len(chosen)))

@@ -423,7 +423,7 @@ def zone_round_robin(s, d):
 
 @query(f"WITH m AS (SELECT id, group_id, row_number() OVER (PARTITION BY group_id ORDER BY id) - 1 AS i, count(*) OVER (PARTITION BY group_id) AS n FROM ({sql('manifest')})) SELECT id, group_id, i::INT AS i FROM m WHERE n <= 7 OR list_contains(list_transform(range(0, 7), lambda j: round_even(j * (n - 1) / 6.0::DOUBLE, 0)::BIGINT), i)")
 def evenly_spaced(s, d):
-    return select.evenly_spaced(R.manifest(s, d), "group_id", "id", 7).select("id", "group_id", "i")
+    return select.evenly_spaced(R.manifest(s, d), "group_id", "id", 7).select("id", "group_id", C("i").cast("int").alias("i"))
 
 
 @query("WITH c AS (SELECT l_orderkey AS anchor, l_partkey AS candidate, max(l_quantity) AS score FROM lineitem GROUP BY 1, 2), f AS (SELECT *, row_number() OVER (PARTITION BY anchor, candidate % 50 ORDER BY score DESC, candidate) AS r FROM c), g AS (SELECT anchor, candidate, score, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, candidate)::INT AS rank FROM f WHERE r = 1) SELECT * FROM g WHERE rank <= 3")
@@ -489,18 +489,6 @@ def proportional_quotas(s, d):
     return select.proportional_quotas(sizes, "group_id", "n", 200, 12)
 
 
-@query()
-def greedy_balance(s, d):
-    m = R.manifest(s, d).where("split = 'test'").select("id", "group_id", (C("n_chars") % 5).alias("bin"), H.hash_order("balance", C("id").cast("string")).alias("h"), "planet")
-    return m.groupBy("planet").applyInPandas(lambda pdf: select.greedy_balance(pdf, 12), "id long, group_id string, bin long, h string, planet string, pick long")
-
-
-@query()
-def farthest_points(s, d):
-    m = R.manifest(s, d).where("split = 'test'").select("id", "planet", (C("n_chars") % 101).cast("double").alias("x"), (C("id") % 89).cast("double").alias("y"), H.hash_order("far", C("id").cast("string")).alias("h"))
-    return m.groupBy("planet").applyInPandas(lambda pdf: select.farthest_points(pdf, 8), "id long, planet string, x double, y double, h string, pick long")
-
-
 # --- masks ------------------------------------------------------------------------------------
 
 MASKS = f"""WITH r AS ({sql('rasters')}), z AS (SELECT sample_id, scene, list_zip(target, predicted) AS p FROM r),

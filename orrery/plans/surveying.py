@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import stereo
+from ..operators import picks, stereo
+from ..sources.shared import Scratch
 from . import relations as R
-from .catalogue import C, query
+from .catalogue import C, query, sql
 
 # --- stereo partners ----------------------------------------------------------------------------
 
@@ -84,3 +85,66 @@ def product_hypotheses(s, d):
     short, long = F.concat(head, seq, command, F.lit("000E0"), (i % 5).cast("string"), F.lit("_DXXX")), F.concat(head, F.lit("00"), seq, command, F.lit("12345E01_DXXX"))
     archive = docs.select(F.when(i % 8 == 0, short).otherwise(long).alias("name")).distinct()
     return stereo.name_hypotheses(wanted.select(F.upper("name").alias("name")), archive.select(F.upper("name").alias("name")))
+
+
+# --- bounded picks ------------------------------------------------------------------------------
+
+#: Rounds of a sequential rule: in each, every track takes the row that {order} puts first of those not taken yet.
+ROUNDS = """, p(t, k, ids, gs, bs, xs, ys) AS (SELECT DISTINCT t, 0, []::BIGINT[], []::VARCHAR[], []::BIGINT[], []::DOUBLE[], []::DOUBLE[] FROM m UNION ALL
+      SELECT t, k + 1, list_append(ids, id), list_append(gs, g), list_append(bs, b), list_append(xs, x), list_append(ys, y)
+      FROM (SELECT p.*, m.id, m.g, m.b, m.x, m.y, row_number() OVER (PARTITION BY p.t ORDER BY {order}) AS r FROM p JOIN m ON m.t = p.t WHERE p.k < {k} AND NOT list_contains(p.ids, m.id)) WHERE r = 1),
+    w AS (SELECT DISTINCT t, id, pick FROM (SELECT t, unnest(ids) AS id, unnest(range(0, len(ids))) AS pick FROM p)) """
+
+BALANCE = f"""WITH RECURSIVE v AS (SELECT * FROM ({sql("manifest")}) WHERE split = 'test'), q AS (SELECT quantile_cont(n_chars, 0.25) AS a, quantile_cont(n_chars, 0.5) AS b, quantile_cont(n_chars, 0.75) AS c FROM v),
+    m AS (SELECT planet AS t, id, group_id AS g, ((n_chars >= q.a)::INT + (n_chars >= q.b)::INT + (n_chars >= q.c)::INT)::BIGINT AS b, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, sha256('balance:' || id) AS h FROM v, q)"""
+BALANCE += ROUNDS.format(k=12, order="len(list_filter(p.gs, lambda z: z = m.g)), len(list_filter(p.bs, lambda z: z = m.b)), m.h")
+
+
+@query(BALANCE + "SELECT w.id, m.g AS group_id, m.b AS bin, w.t AS planet, w.pick FROM w JOIN m ON m.t = w.t AND m.id = w.id")
+def greedy_balance(s, d):
+    m = R.manifest(s, d).where("split = 'test'").select("id", "group_id", "n_chars", F.sha2(F.concat(F.lit("balance:"), C("id").cast("string")), 256).alias("h"), "planet")
+    edges = picks.quantile_edges(m, "n_chars", [0.25, 0.5, 0.75], Scratch(s, "balance"))
+    return picks.balanced(picks.with_bins(m, "n_chars", edges).drop("n_chars"), "planet", 12).drop("h")
+
+
+FAR = f"""WITH RECURSIVE v AS (SELECT id, planet AS t, (n_chars % 101)::DOUBLE AS x, (id % 89)::DOUBLE AS y FROM ({sql("manifest")}) WHERE split = 'test'),
+    a AS (SELECT t, min(x) AS ax, greatest(max(x) - min(x), 1e-12) AS bx, min(y) AS ay, greatest(max(y) - min(y), 1e-12) AS by_ FROM v GROUP BY t),
+    m AS (SELECT v.t, id, '' AS g, 0::BIGINT AS b, (x - ax) / bx AS x, (y - ay) / by_ AS y FROM v JOIN a ON a.t = v.t)"""
+FAR += ROUNDS.format(k=8, order="""CASE WHEN p.k = 0 THEN sha256(m.id::VARCHAR) END, list_min(list_transform(range(1, len(p.xs) + 1), lambda j: (m.x - p.xs[j]) * (m.x - p.xs[j]) + (m.y - p.ys[j]) * (m.y - p.ys[j]))) DESC, m.id::VARCHAR DESC""")
+
+
+@query(FAR + "SELECT t AS planet, id::VARCHAR AS id, pick FROM w")
+def farthest_points(s, d):
+    m = R.manifest(s, d).where("split = 'test'").select("id", "planet", (C("n_chars") % 101).alias("x"), (C("id") % 89).alias("y"))
+    return picks.farthest(m, "planet", "id", "x", "y", 8, Scratch(s, "far"))
+
+
+CRATERS = """WITH RECURSIVE e AS (SELECT vec_id AS id, vec_id // 40 AS g, 'set' || (vec_id % 2) AS t, embedding::DOUBLE[] AS v FROM embeddings),
+    c AS (SELECT *, [len(list_filter(v, lambda z: z > 0.1 AND z <= 0.25)), len(list_filter(v, lambda z: z > 0.25)), len(list_filter(v, lambda z: z < -0.1 AND z >= -0.25)), len(list_filter(v, lambda z: z < -0.25))] AS n FROM e),
+    m AS (SELECT t, id, g::VARCHAR AS g, len(list_filter(n, lambda z: z > 0)) AS b, list_min(list_filter(n, lambda z: z > 0))::DOUBLE AS x, 0.0::DOUBLE AS y, n FROM c WHERE list_max(n) > 0)"""
+CRATERS += ROUNDS.format(k=12, order="m.b DESC, len(list_filter(p.gs, lambda z: z = m.g)), m.x DESC, sha256(m.id::VARCHAR)")
+CRATER_LABELS = ["rim", "floor", "ejecta", "shadow"]
+
+
+def crater_masks(s, d):
+    """Masks of four labels: which of them a vector's entries show, and on how many pixels."""
+    e = R.table(s, d, "embeddings")
+    value = F.transform("embedding", lambda v: v.cast("double"))
+    n = lambda rule: F.size(F.filter("v", rule))
+    counts = [n(lambda z: (z > 0.1) & (z <= 0.25)), n(lambda z: z > 0.25), n(lambda z: (z < -0.1) & (z >= -0.25)), n(lambda z: z < -0.25)]
+    rows = e.select("vec_id", value.alias("v")).select("vec_id", *(c.alias(name) for c, name in zip(counts, CRATER_LABELS, strict=True)))
+    labels = F.filter(F.array(*(F.when(C(name) > 0, F.lit(name)) for name in CRATER_LABELS)), lambda x: x.isNotNull())
+    least = F.array_min(F.array(*(F.when(C(name) > 0, C(name)) for name in CRATER_LABELS)))
+    track, scene = F.concat(F.lit("set"), (C("vec_id") % 2).cast("string")), F.expr("vec_id div 40")
+    return rows.select(C("vec_id").alias("id"), track.alias("track"), scene.alias("scene"), labels.alias("labels"), least.alias("least"), F.sha2(C("vec_id").cast("string"), 256).alias("h"))
+
+
+@query(CRATERS + "SELECT w.t AS track, w.id, w.pick, m.g::BIGINT AS scene, m.b AS n_labels, m.x::BIGINT AS least FROM w JOIN m ON m.t = w.t AND m.id = w.id")
+def best_first_masks(s, d):
+    return picks.best_first(crater_masks(s, d), "track").select("track", "id", "pick", "scene", "n_labels", C("least").cast("long").alias("least"))
+
+
+@query(CRATERS + f""", l AS (SELECT w.t, unnest({CRATER_LABELS}) AS label, unnest(m.n) AS px FROM w JOIN m ON m.t = w.t AND m.id = w.id)
+    SELECT t AS track, label, count(*) FILTER (px > 0) AS n, count(*) FILTER (px > 0) >= 10 AS enough FROM l GROUP BY t, label""")
+def best_first_support(s, d):
+    return picks.label_support(picks.best_first(crater_masks(s, d), "track"), "track", CRATER_LABELS)
