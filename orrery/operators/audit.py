@@ -44,6 +44,20 @@ def near_pairs(rows: DataFrame, id_col: str = "id", bits: str = "bits", distance
     return out.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), hamming(F.col("x"), F.col("y")).alias("distance"))
 
 
+def near_classes(rows: DataFrame, id_col: str = "id", bits: str = "bits", distance: int = 2) -> DataFrame:
+    """(a, b, n_a, n_b, distance) of different hashes at most ``distance`` (2 or less) bits apart, each by its smallest id and its number of rows.
+
+    Rows of one hash stay one class, so copies multiply neither the join nor the
+    result: n_a times n_b tells how many pairs of rows a pair of classes stands for.
+    Rows without a hash are like nothing.
+    """
+    classes = rows.where(F.col(bits).isNotNull()).groupBy(F.col(bits).alias("h")).agg(F.min(id_col).alias("i"), F.count("*").alias("n"))
+    left = classes.select("h", "i", "n", F.explode(chunks(F.col("h"))).alias("c")).select("h", "i", "n", "c.k", F.col("c.bits").alias("part"))
+    right = left.withColumnsRenamed({"h": "g", "i": "j", "n": "m"})
+    met = left.join(right, ["k", "part"]).where(F.col("i") < F.col("j")).where(hamming(F.col("h"), F.col("g")) <= distance)
+    return met.select(F.col("i").alias("a"), F.col("j").alias("b"), F.col("n").alias("n_a"), F.col("m").alias("n_b"), hamming(F.col("h"), F.col("g")).alias("distance")).distinct()
+
+
 def _near(current: DataFrame, prior: DataFrame, distance: int) -> DataFrame:
     """(x, y) hashes of both tables within the distance; rows of one hash are one row first."""
     part = lambda rows, name: rows.select(F.col("bits").alias(name)).distinct().select(name, F.explode(chunks(F.col(name))).alias("c")).select(name, "c.k", F.col("c.bits").alias("part"))

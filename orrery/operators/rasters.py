@@ -142,8 +142,8 @@ def window_counts(mask: np.ndarray, size: int) -> np.ndarray:
     return s[size:, size:] - s[:-size, size:] - s[size:, :-size] + s[:-size, :-size]
 
 
-def components8(mask: np.ndarray) -> list[dict]:
-    """8-connected components with bounding box and area, in scan order."""
+def labelled8(mask: np.ndarray) -> tuple[np.ndarray, int]:
+    """8-connected components as numbers from 1, 0 outside, and how many there are."""
     # Runs of a row are joined to the runs of the row above that they touch (union-find).
     edge = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
     row, first = np.nonzero(edge == 1)
@@ -166,11 +166,19 @@ def components8(mask: np.ndarray) -> list[dict]:
                 i += 1
             else:
                 j += 1
-    label = np.zeros(mask.shape, np.int64)
-    for i, (y, a, b) in enumerate(zip(row.tolist(), first.tolist(), last.tolist(), strict=True)):
-        label[y, a:b] = find(i) + 1
+    roots, number = np.unique(np.array([find(i) for i in range(len(row))], np.int64), return_inverse=True)
+    # A run's number goes on at its start and off behind its end.
+    step = np.zeros((mask.shape[0], mask.shape[1] + 1), np.int64)
+    np.add.at(step, (row, first), number + 1)
+    np.add.at(step, (row, last), -(number + 1))
+    return step.cumsum(axis=1)[:, :-1], len(roots)
+
+
+def components8(mask: np.ndarray) -> list[dict]:
+    """8-connected components with bounding box and area, in scan order."""
+    label, n = labelled8(mask)
     out = []
-    for k in np.unique(label[label > 0]):
+    for k in range(1, n + 1):
         y, x = np.nonzero(label == k)
         out.append({"x1": int(x.min()), "y1": int(y.min()), "x2": int(x.max()) + 1, "y2": int(y.max()) + 1, "area": len(x)})
     return sorted(out, key=lambda c: (c["y1"], c["x1"]))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import picks, stereo
+from ..operators import audit, images, picks, stereo
 from ..sources.shared import Scratch
 from . import relations as R
 from .catalogue import C, query, sql
@@ -148,3 +148,98 @@ def best_first_masks(s, d):
     SELECT t AS track, label, count(*) FILTER (px > 0) AS n, count(*) FILTER (px > 0) >= 10 AS enough FROM l GROUP BY t, label""")
 def best_first_support(s, d):
     return picks.label_support(picks.best_first(crater_masks(s, d), "track"), "track", CRATER_LABELS)
+
+
+# --- images -------------------------------------------------------------------------------------
+
+_WEIGHTS = [[int(v) for v in row] for row in images.reduction(8, 9)]
+PICTURES = f"""WITH c AS (SELECT vec_id AS id, vec_id, embedding::DOUBLE[] AS e, false AS copy FROM embeddings UNION ALL SELECT vec_id + 1000000000, vec_id, embedding::DOUBLE[], true FROM embeddings),
+    v AS (SELECT id, list_transform(range(0, 192), lambda k: CASE WHEN copy AND (k // 3) % 8 = 3 AND k // 24 < vec_id % 4 THEN 0 ELSE greatest(0, least(255, floor(128 + 256 * e[((k // 3 + [0, 7, 13][k % 3 + 1]) % 64) + 1])))::BIGINT END) AS p FROM c),
+    l AS (SELECT id, p, list_transform(range(0, 64), lambda i: (19595 * p[3 * i + 1] + 38470 * p[3 * i + 2] + 7471 * p[3 * i + 3] + 32768) >> 16) AS g FROM v),
+    s AS (SELECT id, p, list_transform(range(0, 72), lambda k: (list_sum(list_transform(range(0, 8), lambda x: {_WEIGHTS}[k % 9 + 1][x + 1] * g[k // 9 * 8 + x + 1]))::BIGINT + 2097152) >> 22) AS r FROM l),
+    b AS (SELECT id, p, list_transform(range(0, 64), lambda i: CASE WHEN r[i // 8 * 9 + i % 8 + 2] > r[i // 8 * 9 + i % 8 + 1] THEN 1 ELSE 0 END) AS bits FROM s) """
+
+
+def pictures(s, d):
+    """8 x 8 pictures of vectors, and copies with up to three pixels made black."""
+    e = R.table(s, d, "embeddings")
+    both = e.select(C("vec_id").alias("id"), "vec_id", "embedding", F.lit(False).alias("copy")).unionByName(e.select((C("vec_id") + 1_000_000_000).alias("id"), "vec_id", "embedding", F.lit(True).alias("copy")))
+    byte = lambda i, shift: F.lpad(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), F.floor(128 + 256 * F.get("embedding", (i + shift) % 64).cast("double"))))), 2, "0")
+    pixel = lambda i: F.when(C("copy") & (i % 8 == 3) & (F.floor(i / 8) < C("vec_id") % 4), "000000").otherwise(F.concat(byte(i, 0), byte(i, 7), byte(i, 13)))
+    return both.select("id", F.lit(8).alias("height"), F.lit(8).alias("width"), F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), pixel), "")).alias("pixels"))
+
+
+@query(PICTURES + """SELECT id, sha256(unhex('28382C203829' || array_to_string(list_transform(p, lambda z: lpad(hex(z), 2, '0')), ''))) AS pixels_sha256,
+    array_to_string(list_transform(range(0, 16), lambda k: substring('0123456789abcdef', (8 * bits[64 - 4 * k] + 4 * bits[63 - 4 * k] + 2 * bits[62 - 4 * k] + bits[61 - 4 * k])::INT + 1, 1)), '') AS dhash FROM b""")
+def image_signatures(s, d):
+    return images.signatures(pictures(s, d)).select("id", "pixels_sha256", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("dhash"))
+
+
+@query(PICTURES + """, k AS (SELECT list_sum(list_transform(range(0, 64), lambda i: bits[i + 1]::HUGEINT << i))::UBIGINT AS h, id FROM b), q AS (SELECT h, min(id) AS i, count(*) AS n FROM k GROUP BY h)
+    SELECT x.i AS a, y.i AS b, x.n AS n_a, y.n AS n_b, bit_count(xor(x.h, y.h))::INT AS distance FROM q x JOIN q y ON x.i < y.i WHERE bit_count(xor(x.h, y.h)) <= 2""")
+def image_near_duplicates(s, d):
+    return audit.near_classes(images.signatures(pictures(s, d)))
+
+
+CANDIDATES = """WITH m AS (SELECT vec_id AS id, vec_id // 4 AS image, list_transform(embedding::DOUBLE[], lambda v: CASE WHEN v > 0.02 THEN 1 ELSE 0 END) AS m FROM embeddings),
+    w AS (SELECT *, list_filter(range(0, 64), lambda i: m[i + 1] = 1) AS px FROM m),
+    s AS (SELECT id, image, m, len(px) AS area, list_max(list_transform(px, lambda i: i // 8)) - list_min(list_transform(px, lambda i: i // 8)) + 1 AS bh, list_max(list_transform(px, lambda i: i % 8)) - list_min(list_transform(px, lambda i: i % 8)) + 1 AS bw,
+      list_sum(list_transform(px, lambda i: CASE WHEN i >= 8 AND m[greatest(i - 7, 1)] = 1 THEN 0 ELSE 1 END + CASE WHEN i < 56 AND m[least(i + 9, 64)] = 1 THEN 0 ELSE 1 END + CASE WHEN i % 8 > 0 AND m[greatest(i, 1)] = 1 THEN 0 ELSE 1 END + CASE WHEN i % 8 < 7 AND m[least(i + 2, 64)] = 1 THEN 0 ELSE 1 END))::BIGINT AS sides FROM w),
+    f AS (SELECT *, least(bh, bw) / greatest(bh, bw)::DOUBLE AS ratio, 4 * pi() * area / (sides * sides)::DOUBLE AS circ FROM s),
+    g AS (SELECT *, coalesce(area >= 24 AND area <= 64 * 0.6 AND ratio >= 0.9 AND circ >= 0.06, false) AS accepted FROM f) """
+
+
+def candidates(s, d):
+    mask = F.transform("embedding", lambda v: F.when(v.cast("double") > 0.02, 1).otherwise(0))
+    rows = R.table(s, d, "embeddings").select(C("vec_id").alias("id"), F.expr("vec_id div 4").alias("image"), F.lit(8).alias("height"), F.lit(8).alias("width"), mask.alias("mask"))
+    return images.filtered_candidates(rows, 24, 0.6, 0.9, 0.06)
+
+
+@query(CANDIDATES + "SELECT id, area, bh AS box_height, bw AS box_width, sides, round(circ, 6) AS circularity, accepted FROM g")
+def candidate_filter(s, d):
+    return candidates(s, d).select("id", "area", "box_height", "box_width", "sides", F.round("circularity", 6).alias("circularity"), "accepted")
+
+
+@query(CANDIDATES + """, u AS (SELECT image, i, max(m[i + 1]) FILTER (accepted) AS x FROM (SELECT *, unnest(range(0, 64)) AS i FROM g) GROUP BY image, i)
+    SELECT g.image, n AS n_candidates, k AS n_accepted, coalesce(x, 0)::BIGINT AS union_pixels FROM (SELECT image, count(*) AS n, count(*) FILTER (accepted) AS k FROM g GROUP BY image) g JOIN (SELECT image, sum(x) AS x FROM u GROUP BY image) u ON u.image = g.image""")
+def candidate_union(s, d):
+    return images.united(candidates(s, d), "image")
+
+
+@query()
+def class_regions(s, d):
+    classes = F.transform("embedding", lambda v: F.when(v > 0.1, 1).when(v < -0.1, 2).otherwise(0))
+    rows = R.table(s, d, "embeddings").select("vec_id", F.lit(8).alias("height"), F.lit(8).alias("width"), classes.alias("classes"))
+    return images.class_regions(rows, "vec_id", 1, size_fraction=0.2)
+
+
+@query(
+    """WITH m AS (SELECT vec_id AS id, embedding::DOUBLE[] AS g, 0.7 + (vec_id % 5) / 20.0::DOUBLE AS a, (vec_id % 7) / 20.0::DOUBLE AS b, 1 + (vec_id % 3) / 2.0::DOUBLE AS tx, 0.8::DOUBLE + (vec_id % 4) / 4.0::DOUBLE AS ty FROM embeddings),
+    c AS (SELECT *, list_transform([[0, 0], [3, 0], [0, 3], [3, 3]], lambda p: a * p[1] - b * p[2] + tx) AS cx, list_transform([[0, 0], [3, 0], [0, 3], [3, 3]], lambda p: b * p[1] + a * p[2] + ty) AS cy FROM m),
+    s AS (SELECT *, list_min(cx) >= 1 AND list_min(cy) >= 1 AND list_max(cx) <= 6 AND list_max(cy) <= 6 AS ok FROM c),
+    p AS (SELECT id, g, i, a * (i % 4) - b * (i // 4) + tx AS x, b * (i % 4) + a * (i // 4) + ty AS y FROM (SELECT *, unnest(range(0, 16)) AS i FROM s WHERE ok)),
+    q AS (SELECT *, floor(x)::BIGINT AS u, floor(y)::BIGINT AS v FROM p)
+    SELECT id, i::INT AS i, round((u + 1 - x) * (v + 1 - y) * g[v * 8 + u + 1] + (x - u) * (v + 1 - y) * g[v * 8 + u + 2] + (u + 1 - x) * (y - v) * g[v * 8 + u + 9] + (x - u) * (y - v) * g[v * 8 + u + 10], 6) AS value FROM q
+    UNION ALL SELECT id, NULL, NULL FROM s WHERE NOT ok"""
+)
+def affine_resample(s, d):
+    i = C("vec_id")
+    a, b, tx, ty = 0.7 + i % 5 / 20, i % 7 / 20, 1 + i % 3 / 2, 0.8 + i % 4 / 4
+    rows = R.table(s, d, "embeddings").select(i.alias("id"), F.transform("embedding", lambda v: v.cast("double")).alias("grid"), F.array(a, -b, tx, b, a, ty).alias("matrix"))
+    return images.affine_resampled(rows, "id", (8, 8), (4, 4)).select("id", F.posexplode_outer("pixels").alias("i", "value")).withColumn("value", F.round("value", 6))
+
+
+@query(
+    """WITH m AS (SELECT vec_id AS id, list_transform(embedding::DOUBLE[], lambda v: CASE WHEN v > 0.12 THEN NULL ELSE v END) AS g, unnest([0, 1, 2, 3]) AS i, unnest([vec_id % 7 + 0.25, 3.5, -0.5, 6.75])::DOUBLE AS x, unnest([1.5, vec_id % 5 + 0.5, 2.25, 7.2])::DOUBLE AS y FROM embeddings),
+    c AS (SELECT *, floor(x)::BIGINT + unnest([0, 1, 0, 1]) AS u, floor(y)::BIGINT + unnest([0, 0, 1, 1]) AS v FROM m),
+    w AS (SELECT *, CASE WHEN u BETWEEN 0 AND 7 AND v BETWEEN 0 AND 7 THEN g[v * 8 + u + 1] END AS z, (1 - abs(x - u)) * (1 - abs(y - v)) AS part FROM c)
+    SELECT id, i::INT AS i, round(sum(z * part) / nullif(sum(part) FILTER (z IS NOT NULL), 0), 6) AS value, coalesce(sum(part) FILTER (z IS NOT NULL), 0) > 0 AS valid FROM w GROUP BY id, i"""
+)
+def points_resample(s, d):
+    """Heights with holes, at points inside, between holes and beyond the border."""
+    i = C("vec_id")
+    grid = F.transform("embedding", lambda v: F.when(v.cast("double") > 0.12, float("nan")).otherwise(v.cast("double")))
+    number = lambda *v: F.array(*(x if not isinstance(x, float) else F.lit(x) for x in v))
+    rows = R.table(s, d, "embeddings").select(i.alias("id"), grid.alias("grid"), number(i % 7 + 0.25, 3.5, -0.5, 6.75).alias("xs"), number(1.5, i % 5 + 0.5, 2.25, 7.2).alias("ys"))
+    out = images.points_sampled(rows, "id", (8, 8)).select("id", F.posexplode(F.arrays_zip("values", "valid")).alias("i", "p"))
+    return out.select("id", "i", F.round("p.values", 6).alias("value"), F.col("p.valid").alias("valid"))

@@ -99,8 +99,15 @@ def test_ranks_of_one_group_with_all_rows(spark):
     assert [r.v for r in select.middle(df, "g", ["v", "id"]).collect()] == [values[10_000]]
     spots = select.evenly_spaced(df, "g", "v", 5).collect()
     assert sorted((r.i, r.v) for r in spots) == [(i, values[i]) for i in (0, 5000, 10_000, 14_999, 19_999)]
-    placed = hot.ordered(df, ["g", "v"], Scratch(spark, "o"), "o")
-    assert max(r["count"] for r in placed.groupBy(F.spark_partition_id()).count().collect()) < 20_000
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        scratch = Scratch(spark, "o")
+        placed = hot.ordered(df, ["g", "v"], scratch, "o")
+        assert [r.v for r in placed.orderBy("at").collect()] == values
+        written = spark.read.parquet(f"{scratch.path}/o")
+        assert max(r["count"] for r in written.groupBy(F.shiftright("_m", 33)).count().collect()) < 10_000  # dealt to four tasks
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_ranks_keep_null_groups_and_ties(spark):
