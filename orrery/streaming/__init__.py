@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+
+from .log import append_once, ledger, read_log, refused_rows
+
+__all__ = ["append_once", "ledger", "read_log", "refused_rows", "response_log", "runtime_windows"]
 
 
 def response_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -21,17 +24,3 @@ def runtime_windows(events: DataFrame, minutes: int = 60, late: str = "1 hour")
         .agg(F.count("*").alias("n"), F.count_if(ok).alias("n_ok"), F.avg(F.when(ok, F.col("elapsed_seconds"))).alias("mean_seconds"))
         .select(F.col("w.start").alias("start"), "n", "n_ok", "mean_seconds")
     )
-
-
-def append_once(stream: DataFrame, key: str, path: str, checkpoint: str) -> StreamingQuery:
-    """Append rows whose key the log doesn't hold yet, batch by batch; a repeated batch adds nothing."""
-
-    def put(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        new = batch.dropDuplicates([key])
-        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-            new = new.join(spark.read.parquet(path).select(key), key, "left_anti")
-        new.write.mode("append").parquet(path)
-
-    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
