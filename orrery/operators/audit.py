@@ -69,6 +69,30 @@ def near_across(current: DataFrame, prior: DataFrame, distance: int = 2) -> Data
     return _near(current, prior, distance).join(current.select("id", F.col("bits").alias("x")), "x").join(prior.select(F.col("id").alias("prior_id"), F.col("bits").alias("y")), "y").select("id", "prior_id")
 
 
+def near_count(current: DataFrame, prior: DataFrame, distance: int = 2) -> DataFrame:
+    """One row ``n_near``: how many pairs of the two tables' rows ``near_across`` would give, from the sizes of their hashes' classes."""
+    size = lambda rows, h, n: rows.groupBy(F.col("bits").alias(h)).agg(F.count("*").alias(n))
+    met = _near(current, prior, distance).join(size(current, "x", "n"), "x").join(size(prior, "y", "m"), "y")
+    return met.agg(F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0)).alias("n_near"))
+
+
+def overlap_counts(current: DataFrame, prior: DataFrame, distance: int = 2) -> DataFrame:
+    """(id, n_stem, n_content, n_near) of each current row: prior rows of its stem, of its content, and of near hashes with other content.
+
+    Rows of a key are counted before they are joined, so neither a hot stem nor
+    copies of one image multiply; null keys agree with nothing.
+    """
+    count = lambda name, *by: prior.groupBy(*by).agg(F.count("*").alias(name))
+    out = current.select("id", "stem", "content", "bits").join(count("n_stem", "stem"), "stem", "left").join(count("n_content", "content"), "content", "left")
+    close = _near(current, prior, distance).join(count("n", F.col("bits").alias("y")), "y").groupBy(F.col("x").alias("bits")).agg(F.sum("n").alias("every"))
+    # Of those, the ones of the same content: content classes meet by an equi-join.
+    far = prior.groupBy("content", F.col("bits").alias("y")).agg(F.count("*").alias("n"))
+    same = current.select("content", "bits").distinct().join(far, "content").where(hamming(F.col("bits"), F.col("y")) <= distance).groupBy("content", "bits").agg(F.sum("n").alias("own"))
+    out = out.join(close, "bits", "left").join(same, ["content", "bits"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return out.select("id", zero("n_stem").alias("n_stem"), zero("n_content").alias("n_content"), (zero("every") - zero("own")).alias("n_near"))
+
+
 def prior_overlap(current: DataFrame, prior: DataFrame, distance: int = 2) -> DataFrame:
     """(id, prior_id, reasons) by stem, by equal content, or else by a near hash; a union of three equi-joins.
 
@@ -137,10 +161,10 @@ def exact_partition(parts: DataFrame, whole: DataFrame, key: str) -> Column | Da
 def verdict(groups: DataFrame, near: DataFrame, statistics: DataFrame, crossing: DataFrame) -> DataFrame:
     """(n_cross_duplicates, n_near, n_constant, n_cross_groups, verdict) of an audit; any of them asks for a review.
 
-    ``groups`` are duplicate groups, ``near`` pairs of near hashes across splits,
-    ``statistics`` the splits', ``crossing`` groups in several splits.
+    ``groups`` are duplicate groups, ``near`` one row with the number of near pairs across
+    splits (``near_count``), ``statistics`` the splits', ``crossing`` groups in several splits.
     """
-    counts = [groups.agg(F.count_if("cross_split").alias("n_cross_duplicates")), near.agg(F.count("*").alias("n_near")), statistics.agg(F.coalesce(F.sum("n_constant"), F.lit(0)).alias("n_constant")), crossing.agg(F.count("*").alias("n_cross_groups"))]
+    counts = [groups.agg(F.count_if("cross_split").alias("n_cross_duplicates")), near.select("n_near"), statistics.agg(F.coalesce(F.sum("n_constant"), F.lit(0)).alias("n_constant")), crossing.agg(F.count("*").alias("n_cross_groups"))]
     out = counts[0]
     for more in counts[1:]:
         out = out.crossJoin(F.broadcast(more))  # one row each

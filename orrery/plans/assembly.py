@@ -42,9 +42,9 @@ def rebase_paths(s, d):
     return A.rebase(rows, "paths", "/old", "/new/place").select("doc_id", F.col("paths")[0]["path"].alias("path"))
 
 
-@query("SELECT o_orderkey AS parent, l_linenumber AS variant, o_orderpriority AS answer FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F'")
+@query("SELECT o_orderkey AS parent, l_linenumber AS variant, o_orderpriority AS answer FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
 def variant_targets(s, d):
-    targets = R.table(s, d, "orders").where("o_orderstatus = 'F'").select(C("o_orderkey").alias("parent"), C("o_orderpriority").alias("answer"))
+    targets = R.table(s, d, "orders").select(C("o_orderkey").alias("parent"), C("o_orderpriority").alias("answer"))
     return R.table(s, d, "lineitem").select(C("l_orderkey").alias("parent"), C("l_linenumber").alias("variant")).join(targets, "parent")
 
 
@@ -123,7 +123,7 @@ def audit_verdict_full(s, d):
     stats_ = audit.split_statistics(m.select("split", "group_id", C("n_chars").alias("foreground"), F.lit(1).alias("background"), (C("n_chars") % 41 == 0).alias("constant")))
     bits = (F.conv(F.substring(F.md5(C("label").cast("string")), 1, 6), 16, 10).cast("long") + C("vec_id") % 2).alias("bits")
     h = R.table(s, d, "embeddings").select(C("vec_id").alias("id"), (C("vec_id") % 3 == 0).alias("tr"), bits)
-    near = audit.near_across(h.where("tr"), h.where("not tr"))
+    near = audit.near_count(h.where("tr"), h.where("not tr"))
     crossing = m.groupBy("group_id").agg(F.count_distinct("split").alias("n")).where("n > 1")
     return audit.verdict(audit.duplicate_groups(m, "content"), near, stats_, crossing)
 
@@ -292,7 +292,7 @@ def sequence_states(s, d):
 def key_bijection(s, d):
     flat = docs(s, d).where("doc_id % 21 <> 6").select(F.concat(F.lit("encoder."), "lang", F.lit("."), C("doc_id").cast("string")).alias("name"))
     nested = docs(s, d).where("doc_id % 21 <> 5").select(F.concat(F.lit("model/encoder/"), "lang", F.lit("/"), C("doc_id").cast("string")).alias("name"))
-    return A.bijection(flat, F.replace(F.substring("name", 9, 1000), F.lit("."), F.lit("/")), nested, F.substring("name", 15, 1000))
+    return A.bijection(flat, F.replace(F.expr("substring(name, 9)"), F.lit("."), F.lit("/")), nested, F.expr("substring(name, 15)"))
 
 
 TRACKS = "SELECT doc_id AS id, doc_id % 6 AS track, lang AS group_id, CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS split, sha256(coalesce(text, '')) AS sha FROM documents"
@@ -389,13 +389,13 @@ def cached_metrics(s, d):
     return A.recomputed(stored, fresh, ["task_id"], ["n_total", "n_correct"])
 
 
-@query("SELECT o.o_orderkey AS image, count(l.l_orderkey) AS n_objects, count(l.l_orderkey) = 0 AS empty FROM orders o LEFT JOIN (SELECT * FROM lineitem WHERE l_quantity > 45) l ON l.l_orderkey = o.o_orderkey GROUP BY o.o_orderkey")
+@query("SELECT c.c_custkey AS image, count(o.o_orderkey) AS n_objects, count(o.o_orderkey) = 0 AS empty FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY c.c_custkey")
 def annotation_counts(s, d):
     """Annotations of each image of a source, images without any included."""
-    n = R.table(s, d, "lineitem").where("l_quantity > 45").groupBy("l_orderkey").agg(F.count("*").alias("n"))
-    images = R.table(s, d, "orders").select(C("o_orderkey").alias("image"))
+    n = R.table(s, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
+    images = R.table(s, d, "customer").select(C("c_custkey").alias("image"))
     k = F.coalesce("n", F.lit(0))
-    return images.join(n, images["image"] == n["l_orderkey"], "left").select("image", k.alias("n_objects"), (k == 0).alias("empty"))
+    return images.join(n, images["image"] == n["o_custkey"], "left").select("image", k.alias("n_objects"), (k == 0).alias("empty"))
 
 
 @query(

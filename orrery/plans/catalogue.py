@@ -327,11 +327,11 @@ PRIOR = "SELECT *, 's' || (id % 1000000000 % 300) AS stem, whole AS content FROM
 
 
 def hashed_cohorts(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    h = R.hashes(s, d).select("id", "split", C("label").cast("string").alias("group_id"), "bits", F.concat(F.lit("s"), (C("id") % 1_000_000_000 % 300 + F.when(C("split") == "train", 0).otherwise(50)).cast("string")).alias("stem"), C("bits").alias("content"), (C("id") % 1_000_000_000 % 400).alias("file"))
+    h = R.hashes(s, d).select("id", "split", C("label").cast("string").alias("group_id"), "bits", F.concat(F.lit("s"), (F.expr("id % 1000000000 div 2") + F.when(C("split") == "train", 0).otherwise(50)).cast("string")).alias("stem"), C("bits").alias("content"), (C("id") % 1_000_000_000 % 400).alias("file"))
     return h.where("split = 'test'"), h.where("split = 'train'")
 
 
-COHORTS = BITS + ", c AS (SELECT id, split, label::VARCHAR AS group_id, whole, n, part, 's' || (id % 1000000000 % 300 + CASE split WHEN 'train' THEN 0 ELSE 50 END) AS stem, id % 1000000000 % 400 AS file FROM k), cur AS (SELECT * FROM c WHERE split = 'test'), old AS (SELECT * FROM c WHERE split = 'train')"
+COHORTS = BITS + ", c AS (SELECT id, split, label::VARCHAR AS group_id, whole, n, part, 's' || (id % 1000000000 // 2 + CASE split WHEN 'train' THEN 0 ELSE 50 END) AS stem, id % 1000000000 % 400 AS file FROM k), cur AS (SELECT * FROM c WHERE split = 'test'), old AS (SELECT * FROM c WHERE split = 'train')"
 
 
 @query(
@@ -344,6 +344,14 @@ def prior_overlap(s, d):
     return audit.prior_overlap(current, prior)
 
 
+@query(
+    COHORTS + """, x AS (SELECT DISTINCT a.id, b.id AS prior, a.stem = b.stem AS st, a.whole = b.whole AS co, hamming(a.whole, b.whole) <= 2 AND a.whole <> b.whole AS ne FROM cur a JOIN old b ON a.n = b.n AND (a.stem = b.stem OR a.part = b.part))
+    SELECT c.id, count(*) FILTER (st) AS n_stem, count(*) FILTER (co) AS n_content, count(*) FILTER (ne) AS n_near FROM (SELECT DISTINCT id FROM cur) c LEFT JOIN x ON x.id = c.id GROUP BY c.id"""
+)
+def prior_overlap_counts(s, d):
+    return audit.overlap_counts(*hashed_cohorts(s, d))
+
+
 @query(
     COHORTS + """, e AS (SELECT * FROM old WHERE id % 3 = 0) SELECT DISTINCT a.id, CASE WHEN a.stem IN (SELECT stem FROM e) THEN 'source_id_overlap' WHEN a.group_id IN (SELECT group_id FROM e WHERE id % 400 = 0) THEN 'scene_group_overlap' WHEN a.file IN (SELECT file FROM e) THEN 'file_hash_overlap' WHEN a.whole IN (SELECT whole FROM e) THEN 'decoded_pixels_overlap'
       WHEN a.id IN (SELECT x.id FROM cur x JOIN e y ON x.n = y.n AND x.part = y.part WHERE hamming(x.whole, y.whole) <= 2) THEN 'near_duplicate_dhash' END AS reason FROM cur a"""

@@ -181,3 +181,14 @@ def test_points_sampled(spark):
         want = [bilinear(grid, x, y) for x, y in zip(xs, ys, strict=True)]
         assert got[i].valid == [v is not None for v in want]
         assert [v for v in got[i]["values"] if v is not None] == pytest.approx([v for v in want if v is not None])
+
+
+def test_copies_multiply_no_counts(spark):
+    # 10,000 copies of one hash, stem and content on either side: 10^8 pairs, which nothing makes.
+    one = lambda shift, bit: spark.range(10_000).select((F.col("id") + shift).alias("id"), F.lit("s").alias("stem"), F.lit(bit).cast("string").alias("content"), F.lit(bit).cast("long").alias("bits"))
+    current, prior = one(0, 0), one(100_000, 0).unionByName(one(200_000, 1)).unionByName(one(300_000, 7))
+    assert audit.near_count(current, prior).first().n_near == 2 * 10**8
+    got = audit.overlap_counts(current, prior)
+    assert [tuple(r) for r in got.groupBy("n_stem", "n_content", "n_near").count().collect()] == [(30_000, 10_000, 10_000, 10_000)]
+    nulls = spark.createDataFrame([(1, None, None, None)], "id long, stem string, content string, bits long")
+    assert tuple(audit.overlap_counts(nulls, nulls).first()) == (1, 0, 0, 0) and audit.near_count(nulls, nulls).first().n_near == 0
