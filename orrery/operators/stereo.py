@@ -89,6 +89,25 @@ def frame_pairs(frames: DataFrame, pairs: DataFrame, placed: DataFrame) -> DataF
     )
 
 
+def eye_pairs(frames: DataFrame) -> DataFrame:
+    """(sol, sequence, left, right, time_delta_seconds, same_frame, baseline_m, optical_axis_separation_deg) of sequences that both eyes took.
+
+    Of an eye's frames in a sequence the one of the greatest id stands; one
+    aggregate finds both eyes.  Without one coordinate frame there is no baseline and no angle.
+    """
+    own = ["id", "start", "frame", "C", "A"]
+    eye = lambda e, name: F.max_by(F.struct(*own), F.when(F.col("eye") == e, F.col("id"))).alias(name)
+    pairs = frames.where(F.col("eye").isin("L", "R")).groupBy("sol", "sequence").agg(eye("L", "l"), eye("R", "r")).where("l.id is not null and r.id is not null")
+    same = F.col("l.frame").eqNullSafe(F.col("r.frame"))
+    dot = lambda a, b: sum((F.get(a, F.lit(i)) * F.get(b, F.lit(i)) for i in range(1, 3)), F.get(a, F.lit(0)) * F.get(b, F.lit(0)))
+    gap = F.zip_with("l.C", "r.C", lambda x, y: x - y)
+    cosine = dot("l.A", "r.A") / (F.sqrt(dot("l.A", "l.A")) * F.sqrt(dot("r.A", "r.A")))
+    return pairs.select(
+        "sol", "sequence", F.col("l.id").alias("left"), F.col("r.id").alias("right"), (F.abs(F.unix_micros("l.start") - F.unix_micros("r.start")) / 1e6).alias("time_delta_seconds"), same.alias("same_frame"),
+        F.when(same, F.sqrt(dot(gap, gap))).alias("baseline_m"), F.when(same, F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))))).alias("optical_axis_separation_deg"),
+    )
+
+
 # --- predicted coverage -----------------------------------------------------------------------
 
 

@@ -636,12 +636,6 @@ def dominant_class(s, d):
 # --- joins and shapes -------------------------------------------------------------------------
 
 
-@query("SELECT o_orderkey AS annotation_id, c_name AS file_name, n_name AS category FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
-def coco_join(s, d):
-    o, c, n = (R.table(s, d, t) for t in ("orders", "customer", "nation"))
-    return o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).select(C("o_orderkey").alias("annotation_id"), C("c_name").alias("file_name"), C("n_name").alias("category"))
-
-
 @query("SELECT l_orderkey AS stem, count(*) FILTER (l_returnflag = 'A') AS rgb, count(*) FILTER (l_returnflag = 'N') AS depth FROM lineitem GROUP BY 1 HAVING count(*) FILTER (l_returnflag = 'A') > 0 AND count(*) FILTER (l_returnflag = 'N') > 0")
 def modality_match(s, d):
     li = R.table(s, d, "lineitem").select(C("l_orderkey").alias("stem"), "l_returnflag")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import audit, images, picks, stereo
+from ..sources import annotations
 from ..sources.shared import Scratch
 from . import relations as R
 from .catalogue import C, query, sql
@@ -62,6 +63,13 @@ def stereo_gate_counts(s, d):
     return stereo.pair_counts(places, stereo.station_pairs(places))
 
 
+@query(FRAMES + """, e AS (SELECT sol, q, max(id) FILTER (l) AS a, max(id) FILTER (NOT l) AS b FROM f GROUP BY sol, q HAVING count(*) FILTER (l) > 0 AND count(*) FILTER (NOT l) > 0)
+    SELECT e.sol, e.q::VARCHAR AS sequence, e.a AS "left", e.b AS "right", abs(x.t - y.t)::DOUBLE AS time_delta_seconds, x.frame = y.frame AS same_frame, CASE WHEN x.frame = y.frame THEN round(far, 6) END AS baseline_m,
+      CASE WHEN x.frame = y.frame THEN round(degrees(acos(greatest(-1, least(1, c)))), 4) END AS optical_axis_separation_deg FROM e JOIN f x ON x.id = e.a JOIN f y ON y.id = e.b JOIN p ON p.a = e.a AND p.b = e.b""")
+def eye_pairs(s, d):
+    return stereo.eye_pairs(frames(s, d)).withColumns({"baseline_m": F.round("baseline_m", 6), "optical_axis_separation_deg": F.round("optical_axis_separation_deg", 4)})
+
+
 @query()
 def stereo_partners(s, d):
     rows = frames(s, d)
@@ -243,3 +251,40 @@ def points_resample(s, d):
     rows = R.table(s, d, "embeddings").select(i.alias("id"), grid.alias("grid"), number(i % 7 + 0.25, 3.5, -0.5, 6.75).alias("xs"), number(1.5, i % 5 + 0.5, 2.25, 7.2).alias("ys"))
     out = images.points_sampled(rows, "id", (8, 8)).select("id", F.posexplode(F.arrays_zip("values", "valid")).alias("i", "p"))
     return out.select("id", "i", F.round("p.values", 6).alias("value"), F.col("p.valid").alias("valid"))
+
+
+# --- COCO ---------------------------------------------------------------------------------------
+
+
+def coco_documents(s, d, faulty):
+    """COCO documents (path, text) of forty customers each: customers as images, orders as annotations, nations as categories."""
+    c, o, n = (R.table(s, d, t) for t in ("customer", "orders", "nation"))
+    path = F.concat(F.lit("part-"), F.expr("c_custkey div 40").cast("string"))
+    image = F.struct(C("c_custkey").alias("id"), C("c_name").alias("file_name"), F.lit(512).alias("width"), F.lit(512).alias("height"))
+    images_ = c.groupBy(path.alias("path")).agg(F.collect_list(image).alias("images"), F.array_sort(F.collect_set("c_nationkey")).alias("nations"))
+    k = C("o_orderkey")
+    shape = F.when(faulty & (k % 17 == 3), "{}").when(faulty & (k % 17 == 4), "[[1,2,3,4,5]]").otherwise("[[1,1,9,1,9,9]]")
+    box = F.array(F.lit(1.0), F.lit(1.0), F.when(faulty & (k % 19 == 2), 600.0).otherwise(8.0), F.lit(8.0))
+    note = F.struct(k.alias("id"), F.when(faulty & (k % 23 == 1), -1).otherwise(C("o_custkey")).alias("image_id"), F.when(faulty & (k % 29 == 1), 99).otherwise(C("c_nationkey")).alias("category_id"), box.alias("bbox"), F.when(faulty & (k % 31 == 1), 1).otherwise(0).alias("iscrowd"), F.parse_json(shape).alias("segmentation"))
+    copies = F.when(faulty & (k % 37 == 1), F.array(note, note)).otherwise(F.array(note))
+    notes = o.join(c, C("o_custkey") == C("c_custkey")).select(path.alias("path"), F.explode(copies).alias("x")).groupBy("path").agg(F.collect_list("x").alias("annotations"))
+    names = n.groupBy().agg(F.collect_list(F.struct(C("n_nationkey").alias("id"), C("n_name").alias("name"))).alias("categories"))  # 25 rows
+    whole = images_.join(notes, "path", "left").crossJoin(F.broadcast(names)).withColumn("annotations", F.coalesce("annotations", F.expr("array()")))
+    return whole.select("path", F.to_json(F.struct("images", "annotations", "categories")).alias("text"))
+
+
+@query("SELECT o_orderkey AS annotation_id, c_name AS file_name, n_name AS category FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
+def coco_join(s, d):
+    """Annotations with their images and categories, read from COCO documents."""
+    return annotations.coco_instances(annotations.coco_tables(coco_documents(s, d, F.lit(False)))).select("annotation_id", "file_name", C("category_name").alias("category"))
+
+
+@query(
+    """WITH a AS (SELECT o_orderkey AS k, 'part-' || (c_custkey // 40) || '#' || o_orderkey AS key, lower(n_name) AS name, unnest(range(0, CASE WHEN o_orderkey % 37 = 1 THEN 2 ELSE 1 END)) AS i FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
+    SELECT rule, key, n, count(*) AS times FROM (SELECT 'image_id_unknown' AS rule, key, '-1' AS n FROM a WHERE k % 23 = 1 UNION ALL SELECT 'category_id_unknown', key, '99' FROM a WHERE k % 29 = 1 UNION ALL SELECT 'box_outside', key, '[1.0,1.0,600.0,8.0]' FROM a WHERE k % 19 = 2 AND k % 23 <> 1
+      UNION ALL SELECT 'crowd_refused', key, '' FROM a WHERE k % 31 = 1 UNION ALL SELECT 'segmentation_refused', key, '' FROM a WHERE k % 17 = 3 UNION ALL SELECT 'polygon_malformed', key, '' FROM a WHERE k % 17 = 4
+      UNION ALL SELECT 'category_refused', key, name FROM a WHERE name <> 'nation_7' AND k % 29 <> 1 UNION ALL SELECT 'annotations_id_twice', key, '2' FROM a WHERE i = 1) GROUP BY ALL"""
+)
+def coco_violations(s, d):
+    found = annotations.coco_violations(annotations.coco_tables(coco_documents(s, d, F.lit(True))), only="Nation_7")
+    return found.groupBy("rule", "key", C("detail").alias("n")).agg(F.count("*").alias("times"))
