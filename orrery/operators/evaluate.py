@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import label_evidence, normalize_label, parse_answer
+from ..sources.shared import Scratch
+from .hot import ranked
 
 READY, CANDIDATE, UNKNOWN = "REFERENCE_READY", "CANDIDATE_REFERENCE", "UNKNOWN_REFERENCE"
 SCORED = ("valid", "invalid", "failure")
@@ -132,14 +137,31 @@ def binary(rows: DataFrame, *keys: str) -> DataFrame:
     return n.withColumns({"fpr": ratio(c("fp"), c("fp") + c("tn")), "fnr": ratio(c("fn"), c("fn") + c("tp")), "positive_coverage": ratio(c("n_positive_valid"), c("n_positive")), "miss_rate_with_failures": ratio(c("n_positive") - c("tp"), c("n_positive"))})
 
 
+def medians(rows: DataFrame, keys: list[str], value: str, into: str = "median") -> DataFrame:
+    """(keys, median) of the values that aren't null, the mean of the middle two for an even number.
+
+    Values are put in order over the whole table, in ranges, so a key with most of
+    the rows is dealt to many tasks; only the rows at the middle places are joined.
+    """
+    scratch = Scratch(rows.sparkSession, "medians")
+    placed, groups = ranked(rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")), keys, ["_v"], scratch, "placed", "_at")
+    spots = F.array_distinct(F.array(F.expr("(n - 1) div 2"), F.expr("n div 2")))
+    wanted = groups.select("first", F.explode(spots).alias("i")).select((F.col("first") + F.col("i")).alias("_at"))
+    return placed.join(wanted, "_at").groupBy(*keys).agg(F.avg("_v").alias(into))
+
+
 def runtime_stats(results: DataFrame, *keys: str) -> DataFrame:
     """Response counts and mean and median seconds of successful rows."""
     ok = F.col("status") == "ok"
     seconds = F.when(ok, F.col("elapsed_seconds"))
-    return results.groupBy(*keys).agg(
+    out = results.groupBy(*keys).agg(
         F.count("*").alias("n_responses"), F.count_if(ok).alias("n_ok"), F.count_if(F.col("status") == "error").alias("n_error"), F.count_if(F.col("status") == "unsupported").alias("n_unsupported"),
-        F.round(F.count_if(ok) / F.count("*"), 6).alias("success_rate"), F.round(F.avg(seconds), 6).alias("mean_seconds"), F.round(F.median(seconds), 6).alias("median_seconds"),
+        F.round(F.count_if(ok) / F.count("*"), 6).alias("success_rate"), F.round(F.avg(seconds), 6).alias("mean_seconds"),
     )
+    own = {k: f"_k{i}" for i, k in enumerate(keys)}
+    middle = medians(results.where(ok), list(keys), "elapsed_seconds", "_m").withColumnsRenamed(own)
+    same = [out[k].eqNullSafe(middle[o]) for k, o in own.items()]
+    return out.join(middle, reduce(and_, same), "left").withColumn("median_seconds", F.round("_m", 6)).drop("_m", *own.values())
 
 
 def reference_counts(rows: DataFrame, *keys: str) -> DataFrame:
@@ -149,11 +171,30 @@ def reference_counts(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n_expected"), ready.alias("n_reference_ready"), (F.count("*") - ready).alias("n_unscored_reference"), status.alias("quality_status"))
 
 
-def experiment_status(conditions: DataFrame) -> DataFrame:
-    """Roll-up of condition states: E1 the clean condition, E2 all others."""
+def experiment_status(conditions: DataFrame, experiments: tuple[str, ...] = ()) -> DataFrame:
+    """Roll-up of condition states: E1 the clean condition, E2 all others; of ``experiments`` those without a condition are not_selected."""
     groups = conditions.withColumn("experiment", F.when(F.col("condition_id") == "clean", "E1").otherwise("E2")).groupBy("experiment")
     state = F.when(F.bool_and(F.col("quality_status") == "available"), "available").when(F.bool_or(F.col("quality_status").isin("available", "partial")), "partial").otherwise("unavailable")
-    return groups.agg(state.alias("status"), F.count("*").alias("n_conditions"))
+    out = groups.agg(state.alias("status"), F.count("*").alias("n_conditions"))
+    if not experiments:
+        return out
+    wanted = conditions.sparkSession.createDataFrame([(e,) for e in experiments], "experiment string")  # a protocol's few names
+    return F.broadcast(wanted).join(out, "experiment", "left").select("experiment", F.coalesce("status", F.lit("not_selected")).alias("status"), F.coalesce("n_conditions", F.lit(0)).alias("n_conditions"))
+
+
+def format_tallies(responses: DataFrame, mode: str, pair: str) -> DataFrame:
+    """By mode: completed, errors, valid labels, valid formats, budget hits, and pairs whose label differs between modes.
+
+    Rows have status, label and format_valid, and hit_budget.  A pair counts as
+    changed, in each mode, if all its responses are ok and have a label and the labels differ.
+    """
+    ok = F.col("status") == "ok"
+    good = ok & F.col("label").isNotNull()
+    changed = responses.groupBy(pair).agg(F.bool_and(F.coalesce(good, F.lit(False))).alias("_all"), (F.min("label") != F.max("label")).alias("_differ")).where("_all and _differ").select(pair, F.lit(True).alias("_changed"))
+    return responses.join(changed, pair, "left").groupBy(mode).agg(
+        F.count("*").alias("completed"), F.count_if(~ok).alias("errors"), F.count_if(good).alias("valid_labels"), F.count_if(ok & F.col("format_valid")).alias("valid_formats"),
+        F.count_if(ok & F.col("hit_budget")).alias("budget_hits"), F.count_distinct(F.when(F.col("_changed"), F.col(pair))).alias("changed_pairs"),
+    )
 
 
 def change_from_clean(rows: DataFrame, source_of: Column) -> DataFrame:

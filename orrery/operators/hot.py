@@ -22,7 +22,7 @@ def lookup(rows: DataFrame, table: DataFrame, on: list[str], count: str, total:
     shuffle; so no task of the shuffle gets more than a share of the rows for a
     key.  Null keys are equal.  ``rows`` is read twice: it should be a written table.
     """
-    keys = {c: f"_k{i}" for i, c in enumerate(on)}
+    keys = {c: f"_hot_key{i}" for i, c in enumerate(on)}
     table = table.withColumnsRenamed(keys)
 
     def met(some: DataFrame, others: DataFrame, how: str) -> DataFrame:
@@ -40,12 +40,12 @@ def indexed(rows: DataFrame, scratch: Scratch, name: str, at: str = "at") -> Dat
     Each partition numbers its rows; a prefix scan over the partitions' counts,
     a row for each, turns that into one numbering.
     """
-    kept = scratch.write(rows.withColumn("_m", F.monotonically_increasing_id()), name)
-    part = F.shiftright("_m", 33).alias("_p")
-    counts = kept.groupBy(part).agg(F.count("*").alias("_c"))
-    before = counts.select("_p", (F.sum("_c").over(W.partitionBy(F.lit(1)).orderBy("_p")) - F.col("_c")).alias("_o"))
-    out = kept.withColumn("_p", part).join(F.broadcast(before), "_p")
-    return out.withColumn(at, F.col("_o") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_p", "_o", "_m")
+    kept = scratch.write(rows.withColumn("_hot_row", F.monotonically_increasing_id()), name)
+    part = F.shiftright("_hot_row", 33).alias("_hot_part")
+    counts = kept.groupBy(part).agg(F.count("*").alias("_hot_count"))
+    before = counts.select("_hot_part", (F.sum("_hot_count").over(W.partitionBy(F.lit(1)).orderBy("_hot_part")) - F.col("_hot_count")).alias("_hot_before"))
+    out = kept.withColumn("_hot_part", part).join(F.broadcast(before), "_hot_part")
+    return out.withColumn(at, F.col("_hot_before") + F.col("_hot_row").bitwiseAND(F.lit((1 << 33) - 1))).drop("_hot_part", "_hot_before", "_hot_row")
 
 
 def ordered(rows: DataFrame, by: list[str | Column], scratch: Scratch, name: str, at: str = "at") -> DataFrame:
@@ -55,7 +55,7 @@ def ordered(rows: DataFrame, by: list[str | Column], scratch: Scratch, name: str
     spread over many.  Rows that agree in all of ``by`` follow one another, in any order.
     """
     tie = F.monotonically_increasing_id()
-    dealt = rows.withColumn("_t", tie).repartitionByRange(*by, "_t").sortWithinPartitions(*by, "_t").drop("_t")
+    dealt = rows.withColumn("_hot_tie", tie).repartitionByRange(*by, "_hot_tie").sortWithinPartitions(*by, "_hot_tie").drop("_hot_tie")
     return indexed(dealt, scratch, name, at)
 
 

@@ -26,10 +26,18 @@ def import_rows(incoming: DataFrame, store: DataFrame, key: str, columns: list[s
     return both.select(key, F.when(F.col("_there").isNull(), "insert").when(same, "skip").otherwise("mismatch").alias("action"))
 
 
-def compare_runs(a: DataFrame, b: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Null-safe equality of each column for the keys of both runs."""
-    far = b.select(key, *(F.col(c).alias(f"_{c}") for c in columns))
-    return a.join(far, key).select(key, *(F.col(c).eqNullSafe(F.col(f"_{c}")).alias(f"same_{c}") for c in columns))
+def compare_runs(a: DataFrame, b: DataFrame, key: str, columns: list[str], ok: str | None = None) -> DataFrame:
+    """Null-safe equality of each column for the keys of both runs.
+
+    With ``ok``, a condition of a row, ``both_ok`` tells whether both runs meet it,
+    and where they don't equality is null: what failed is neither same nor different.
+    """
+    far = b.select(key, *(F.col(c).alias(f"_{c}") for c in columns), *([F.expr(ok).alias("_ok_b")] if ok else []))
+    near = a.withColumn("_ok_a", F.expr(ok)) if ok else a
+    both = near.join(far, key)
+    good = F.coalesce(F.col("_ok_a") & F.col("_ok_b"), F.lit(False)) if ok else F.lit(True)
+    same = [F.when(good, F.col(c).eqNullSafe(F.col(f"_{c}"))).alias(f"same_{c}") if ok else F.col(c).eqNullSafe(F.col(f"_{c}")).alias(f"same_{c}") for c in columns]
+    return both.select(key, *([good.alias("both_ok")] if ok else []), *same)
 
 
 def structural_diff(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

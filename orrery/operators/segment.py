@@ -114,6 +114,27 @@ def train_normalisation(rows: DataFrame, values: str, cap: float = 20.0) -> Data
     )
 
 
+def channel_statistics(rows: DataFrame, features: str, channels: int, group: str, foreground: str, background: str, cap: float = 20.0) -> tuple[DataFrame, DataFrame]:
+    """((channel, n, mean, std), one row positive_weight) of training images.
+
+    ``features`` are channel after channel, an array; an image's sums are taken in
+    place, so ``channels`` numbers travel and not its pixels.  Images of a group share one
+    weight between them: background to foreground of the groups' means, ``cap`` at most,
+    and null if either is nowhere.  Images whose features don't divide into channels go.
+    """
+    good = rows.where((F.size(features) > 0) & (F.size(features) % channels == 0))
+    n = (F.size(features) / channels).cast("int")
+    part = lambda c: F.slice(features, c * n + 1, n)
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
+    each = F.transform(F.sequence(F.lit(0), F.lit(channels - 1)), lambda c: F.struct(n.cast("long").alias("n"), total(part(c)).alias("s"), total(F.transform(part(c), lambda x: x * x)).alias("q")))
+    sums = good.select(F.posexplode(each).alias("channel", "x")).groupBy("channel").agg(F.sum("x.n").alias("n"), F.sum("x.s").alias("s"), F.sum("x.q").alias("q"))
+    mean = F.col("s") / F.col("n")
+    per = sums.select("channel", "n", mean.alias("mean"), F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(1e-12))).alias("std"))
+    share = rows.groupBy(group).agg((F.sum(foreground) / F.count("*")).alias("f"), (F.sum(background) / F.count("*")).alias("b"))
+    ratio = F.when((F.sum("f") > 0) & (F.sum("b") > 0), F.least(F.lit(cap), F.sum("b") / F.sum("f")))
+    return per, share.agg(ratio.alias("positive_weight"))
+
+
 def group_weights(rows: DataFrame, group: str) -> DataFrame:
     """N / (G n_g) for each group: a grouped count, then two totals over the groups."""
     per = rows.groupBy(group).agg(F.count("*").alias("n"))

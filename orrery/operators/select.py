@@ -34,6 +34,16 @@ def round_robin(rows: DataFrame, group: str, order: list[Column], group_order: C
     return out.withColumn("group_key", group_order)
 
 
+def latest_valid(rows: DataFrame, key: str, by: str, signature: str, current: DataFrame) -> DataFrame:
+    """Of each key in ``current`` (key, signature) the row of the greatest ``by``, with ``valid``: whether its signature is still the current one.
+
+    An older row that would fit doesn't stand in for a newest one that doesn't.
+    """
+    newest = latest(rows, key, by).withColumnRenamed(signature, "_s")
+    out = current.select(key, F.col(signature).alias("_now")).join(newest, key, "left")
+    return out.withColumn("valid", F.coalesce(F.col("_s") == F.col("_now"), F.lit(False))).drop("_s", "_now")
+
+
 def _at_places(rows: DataFrame, group: str, order: list[str | Column], spots: Column, name: str) -> DataFrame:
     """The rows of each group at the places ``spots`` (an array, from 0, made of the group's size ``n``), with their place ``i``."""
     scratch = Scratch(rows.sparkSession, name)

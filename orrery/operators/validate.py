@@ -27,6 +27,16 @@ def unmatched(a: DataFrame, b: DataFrame, key: str, rule: str) -> DataFrame:
     return out.select(F.lit(rule).alias("rule"), F.col(key).cast("string").alias("key"), F.lit("").alias("detail"))
 
 
+def one_to_one(a: DataFrame, b: DataFrame, key: str, missing: str, unknown: str) -> DataFrame:
+    """Keys of ``a`` that ``b`` lacks and keys of ``b`` that ``a`` lacks, by one full join of the distinct keys; null keys are a violation of either side."""
+    own = a.select(F.col(key).alias("_a")).distinct().join(b.select(F.col(key).alias("_b")).distinct(), F.col("_a") == F.col("_b"), "full")
+    lacking = own.where("_a is null or _b is null")
+    side = F.when(F.col("_b").isNull() & F.col("_a").isNotNull(), F.array(F.lit(missing))).when(F.col("_a").isNull() & F.col("_b").isNotNull(), F.array(F.lit(unknown)))
+    named = lacking.select(F.explode(side).alias("rule"), F.coalesce("_a", "_b").cast("string").alias("key"))
+    nulls = [rows.where(F.col(key).isNull()).limit(1).select(F.lit(rule).alias("rule"), F.lit(None).cast("string").alias("key")) for rows, rule in ((a, missing), (b, unknown))]
+    return named.unionByName(nulls[0]).unionByName(nulls[1]).withColumn("detail", F.lit(""))
+
+
 def single_valued(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Metadata columns with more than one value."""
     n = rows.agg(*(F.count_distinct(F.coalesce(F.col(c).cast("string"), F.lit("\0null"))).alias(c) for c in columns))

@@ -761,4 +761,4 @@ def window_counts(s, d):
     return three.where("x <= 5 and y <= 5").select("vec_id", "y", "x", "n")
 
 
-from . import assembly, surveying  # noqa: E402, F401  register their queries
+from . import assembly, rules, surveying  # noqa: E402, F401  register their queries

@@ -105,7 +105,7 @@ def test_ranks_of_one_group_with_all_rows(spark):
         placed = hot.ordered(df, ["g", "v"], scratch, "o")
         assert [r.v for r in placed.orderBy("at").collect()] == values
         written = spark.read.parquet(f"{scratch.path}/o")
-        assert max(r["count"] for r in written.groupBy(F.shiftright("_m", 33)).count().collect()) < 10_000  # dealt to four tasks
+        assert max(r["count"] for r in written.groupBy(F.shiftright("_hot_row", 33)).count().collect()) < 10_000  # dealt to four tasks
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
