@@ -173,6 +173,62 @@ def test_chains_find_fuzzy_passages(spark):
         assert r.end - r.start >= 75 and r.n_equal >= 75
 
 
+def edited(r: random.Random, words: list[str], rate: float, other: list[str]) -> list[str]:
+    out = words.copy()
+    for k in r.sample(range(len(out)), round(rate * len(out))):
+        out[k] = r.choice(other)
+    return out
+
+
+@pytest.mark.parametrize(("sharers", "size", "rate", "recall"), [(2, 40, 0.1, 0.9), (2, 60, 0.1, 0.98), (2, 40, 0.05, 0.98), (10, 40, 0.1, 0.98), (60, 40, 0.1, 0.95)])
+def test_chains_find_edited_passages(spark, sharers, size, rate, recall):
+    """Of documents with a partner whose passage agrees in the operator's own identity, nearly all stand in a row."""
+    r, rows, real = random.Random(31), [], set()
+    other = prose(77, 400).split()
+    for g in range(240 // sharers):
+        passage = prose(100 + g, size).split()
+        copies = [edited(r, passage, rate, other) for _ in range(sharers)]
+        for k, own in enumerate(copies):
+            i = g * sharers + k
+            rows.append((i, " ".join([prose(1000 + i, 50), *own, prose(5000 + i, 40)])))
+            if any(sum(a == b for a, b in zip(own, c, strict=True)) >= chains.IDENTITY * size for j, c in enumerate(copies) if j != k):
+                real.add(i)
+    got = chains.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {i for x in got for i in (x.doc_id, x.partner_id)}
+    assert len(real & found) >= recall * len(real) > 100
+    assert all(min(x.end - x.start, x.p_end - x.p_start) >= chains.LEAST and x.n_equal >= chains.IDENTITY * max(x.end - x.start, x.p_end - x.p_start) for x in got)
+
+
+def test_chains_of_two_passages_with_a_stretch_of_their_own_between(spark):
+    first, second = prose(21, 40), prose(22, 40)
+    rows = [(i, f"{prose(30 + i, 20)} {first} {prose(40 + i, 60)} {second} {prose(50 + i, 20)}") for i in range(2)]
+    got = chains.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 2 and sorted(x.start // 50 for x in got) == [0, 2]
+
+
+def test_screen_of_single_seeds_keeps_what_can_be_a_passage():
+    """Pairs of passages with the changes that are allowed, one word more or less among them, all pass; other words seldom do."""
+    r = np.random.default_rng(8)
+    word = lambda n: r.integers(0, 1 << 62, n).astype(np.uint64)
+    bits = lambda w, at: chains.around(w, np.array([at]), np.zeros(1, np.int64), np.array([len(w)]))
+    passed = 0
+    for _ in range(600):
+        passage, at = word(30), int(r.integers(0, 30 - chains.SEED + 1))
+        free = [k for k in range(30) if not at <= k < at + chains.SEED]
+        x = passage.copy()
+        x[r.choice(free, 6, replace=False)] = word(6)
+        a, b = ([word(20), p, word(20)] for p in (passage, x))
+        one, two = np.concatenate(a), np.concatenate(b)
+        assert chains.hopeful(bits(one, 20 + at), bits(two, 20 + at))[0]
+        cut = int(r.choice([k for k in free if abs(k - at) > 5]))
+        less = np.concatenate([word(20), np.delete(passage, cut), word(20)])
+        assert chains.hopeful(bits(one, 20 + at), bits(less, 20 + at - (cut < at)))[0]
+        passed += chains.hopeful(bits(one, 20 + at), bits(np.concatenate([word(20 + at), passage[at : at + chains.SEED], word(40)]), 20 + at))[0]
+    assert passed < 150
+    ids = np.array([0, 1, -1, 2**63 - 1, -(2**63), 12345])
+    assert (chains._ids(chains._ranks(ids)) == ids).all()
+
+
 def test_chains_odd_rows(odd, empty):
     got = chains.passages(odd).collect()
     assert {i for r in got for i in (r.doc_id, r.partner_id)} == {0, 1, 2, 3, 4, 11, 12}
@@ -181,17 +237,17 @@ def test_chains_odd_rows(odd, empty):
 
 def test_chains_against_all_predecessors():
     """The tree's scores against trying every match before each, and chains that are disjoint and increase."""
-    r = random.Random(12)
+    r, k = random.Random(12), chains.SEED
     for n in (1, 2, 5, 30, 80):
         for _ in range(12):
             matches = sorted({(x, x + r.choice([0, 0, 0, 3, -4, 60]) if r.random() < 0.7 else r.randrange(120)) for x in (r.randrange(120) for _ in range(n))})
             best = []
             for i, (x, y) in enumerate(matches):
-                own = 6.0
+                own = float(k)
                 for j, (px, py) in enumerate(matches[:i]):
-                    if px + 6 <= x and py + 6 <= y:
-                        own = max(own, 6 + best[j] - 0.06 * (x - px - 6 + y - py - 6))
-                    elif 0 < x - px == y - py < 6:
+                    if px + k <= x and py + k <= y:
+                        own = max(own, k + best[j] - 0.06 * (x - px - k + y - py - k))
+                    elif 0 < x - px == y - py < k:
                         own = max(own, best[j] + x - px)
                 best.append(own)
             assert chains.scores(matches)[0] == pytest.approx(best)
