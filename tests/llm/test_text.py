@@ -209,21 +209,21 @@ def test_quality(spark, odd, empty):
     assert quality.scored(odd, quality.train(docs, labels.where("false"))).count() == 17
 
 
-def expected_losses(rows, drawn, target):
+def expected_losses(rows, drawn, target, texts_of_a_key):
     """Losses by counts of the strings themselves; ``drawn`` are the ids of the background."""
     texts = [(i, re.findall(r"[^\x20\x09-\x0D]+", lower(t))) for i, t in rows]
     grams = [(Counter(w), Counter(zip(["", *w], w, strict=False))) for _, w in texts]
     models = [lambda i: i in target, lambda i: i in drawn]
     counted = [g for (i, _), g in zip(texts, grams, strict=True) if i in target or i in drawn]
-    known = {x for x, n in Counter(x for words, _ in counted for x in words).items() if n >= 3}
-    known_pairs = {x for x, n in Counter(x for _, pairs in counted for x in pairs).items() if n >= 3}
+    known = {x for x, n in Counter(x for words, _ in counted for x in words).items() if n >= texts_of_a_key}
+    known_pairs = {x for x, n in Counter(x for _, pairs in counted for x in pairs).items() if n >= texts_of_a_key}
     out = []
     for (i, w), (own, own_pairs) in zip(texts, grams, strict=True):
         losses = []
         for fits in models:
             members = [k for k, (j, _) in enumerate(texts) if fits(j)]
             words, pairs, starts = Counter(), Counter(), sum(1 for k in members if texts[k][1])
-            starts *= sum(1 for j, v in texts if v and (j in target or j in drawn)) >= 3
+            starts *= sum(1 for j, v in texts if v and (j in target or j in drawn)) >= texts_of_a_key
             for k in members:
                 words.update(grams[k][0])
                 pairs.update(grams[k][1])
@@ -239,14 +239,14 @@ def expected_losses(rows, drawn, target):
     return out
 
 
-def check_losses(spark, df, rows, target):
+def check_losses(spark, df, rows, target, **texts):
     named = df.select("doc_id").distinct()
     size = lambda ids: sum(len((t or "").encode()) for i, t in rows if i in ids)
     share = min(1.0, size(target) / max(1, size({i for i, _ in rows}) - size(target)))
     drawn = {r.doc_id for r in named.selectExpr("doc_id", "pmod(xxhash64(doc_id, 17), 1 << 30) as h").collect() if r.h is not None and r.h < int(share * (1 << 30)) and r.doc_id not in target}
-    got = ngram.cross_entropy_difference(df, spark.createDataFrame([(i,) for i in target] + [(None,), *[(i,) for i in target]], "doc_id long")).collect()
+    got = ngram.cross_entropy_difference(df, spark.createDataFrame([(i,) for i in target] + [(None,), *[(i,) for i in target]], "doc_id long"), **texts).collect()
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_words, r.target_loss, r.background_loss, r.score) for r in got)
-    want = sorted((i if i is not None else -1, *x) for i, *x in expected_losses(rows, drawn, target))
+    want = sorted((i if i is not None else -1, *x) for i, *x in expected_losses(rows, drawn, target, texts.get("texts", 1)))
     assert len(got) == len(want)
     for g, w in zip(got, want, strict=True):
         assert g[:2] == w[:2] and g[2:4] == pytest.approx(w[2:], rel=1e-5) and g[4] == pytest.approx(w[2] - w[3], abs=1e-5)
@@ -262,8 +262,8 @@ def test_language_models(spark, odd, odd_rows, empty):
     assert ngram.cross_entropy_difference(empty, empty.select("doc_id")).count() == 0
 
 
-@pytest.mark.parametrize("head", [1 << 19, 30, 0])
-def test_language_models_by_every_way(spark, monkeypatch, head):
+@pytest.mark.parametrize(("head", "texts"), [(1 << 19, 1), (30, 1), (0, 1), (30, 3)])
+def test_language_models_by_every_way(spark, monkeypatch, head, texts):
     """Heads that hold all, some or none of the words and pairs, many buckets, and target ids that aren't sent."""
     monkeypatch.setattr(ngram, "HEAD", head)
     monkeypatch.setattr(ngram, "WORDS_HEAD", head)
@@ -272,7 +272,7 @@ def test_language_models_by_every_way(spark, monkeypatch, head):
     r = random.Random(7)
     rows = [(i, " ".join(f"w{int(r.paretovariate(0.6))}" if r.random() < 0.8 else f"x{r.randrange(3000)}" for _ in range(r.randrange(120)))) for i in range(60)]
     rows += [(100 + i, rows[i][1]) for i in range(0, 60, 6)] + [(200, None)]
-    check_losses(spark, spark.createDataFrame(rows, "doc_id long, text string"), rows, set(range(0, 60, 3)))
+    check_losses(spark, spark.createDataFrame(rows, "doc_id long, text string"), rows, set(range(0, 60, 3)), texts=texts)
 
 
 @pytest.mark.parametrize("name", sorted(oracle.SQL))
