@@ -291,10 +291,11 @@ RASTER_ROWS = f"SELECT sample_id, scene, CASE sample_id % 5 WHEN 3 THEN 'val' WH
 
 
 def raster_rows(s: SparkSession, d: str) -> DataFrame:
+    """Pixels of masks by sample; an image is constant if its own pixels are, whatever its mask is."""
     r = R.rasters(s, d)
     n = lambda k: F.size(F.filter("target", lambda x: x == k)).cast("long")
     i = C("sample_id")
-    return r.select(i, C("scene").alias("group_id"), F.when(i % 5 == 3, "val").when(i % 5 == 4, "test").otherwise("train").alias("split"), n(1).alias("foreground"), n(0).alias("background"), (F.size(F.array_distinct("target")) == 1).alias("constant"))
+    return r.select(i, C("scene").alias("group_id"), F.when(i % 5 == 3, "val").when(i % 5 == 4, "test").otherwise("train").alias("split"), n(1).alias("foreground"), n(0).alias("background"), (F.array_min("height") == F.array_max("height")).alias("constant"))
 
 
 @query(f"SELECT split, count(*) AS n_images, sum(foreground)::BIGINT AS foreground, sum(background)::BIGINT AS background, round(sum(foreground) / nullif(sum(foreground) + sum(background), 0)::DOUBLE, 6) AS foreground_fraction, count(*) FILTER (foreground = 0) AS n_empty, 0::BIGINT AS n_constant, count(DISTINCT scene) AS n_groups FROM ({RASTER_ROWS}) GROUP BY split")
