@@ -96,14 +96,18 @@ def overlap_counts(current: DataFrame, prior: DataFrame, distance: int = 2) -> D
 def prior_overlap(current: DataFrame, prior: DataFrame, distance: int = 2) -> DataFrame:
     """(id, prior_id, reasons) by stem, by equal content, or else by a near hash; a union of three equi-joins.
 
-    Both tables have id, stem, content and bits.
+    Both tables have id, stem, content and bits.  A pair's reasons are three
+    flags, so pairs are grouped in rows of fixed size, which spill, and no lists are held.
     """
+    names = ["decoded_pixels_overlap", "near_duplicate_review", "source_id_overlap"]
+    flags = lambda name: [F.lit(n == name).alias(n) for n in names]
     far = prior.select(F.col("id").alias("prior_id"), "stem", "content")
-    stem = current.join(far.select("prior_id", "stem"), "stem").select("id", "prior_id", F.lit("source_id_overlap").alias("reason"))
-    same = current.join(far.select("prior_id", "content"), "content").select("id", "prior_id", F.lit("decoded_pixels_overlap").alias("reason"))
-    near = near_across(current, prior, distance).join(same.select("id", "prior_id"), ["id", "prior_id"], "left_anti").withColumn("reason", F.lit("near_duplicate_review"))
-    every = stem.unionByName(same).unionByName(near)
-    return every.groupBy("id", "prior_id").agg(F.concat_ws(",", F.array_sort(F.collect_set("reason"))).alias("reasons"))
+    stem = current.select("id", "stem").join(far.select("prior_id", "stem"), "stem").select("id", "prior_id", *flags("source_id_overlap"))
+    same = current.select("id", "content").join(far.select("prior_id", "content"), "content").select("id", "prior_id", *flags("decoded_pixels_overlap"))
+    near = near_across(current, prior, distance).select("id", "prior_id", *flags("near_duplicate_review"))
+    every = stem.unionByName(same).unionByName(near).groupBy("id", "prior_id").agg(*(F.max(n).alias(n) for n in names))
+    why = every.withColumn(names[1], F.col(names[1]) & ~F.col(names[0]))
+    return why.select("id", "prior_id", F.concat_ws(",", *(F.when(F.col(n), n) for n in names)).alias("reasons"))
 
 
 def exclusion_reason(rows: DataFrame, excluded: DataFrame, distance: int = 2) -> DataFrame:

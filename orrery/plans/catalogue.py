@@ -327,8 +327,9 @@ def near_duplicates(s, d):
 PRIOR = "SELECT *, 's' || (id % 1000000000 % 300) AS stem, whole AS content FROM t"
 
 
-def hashed_cohorts(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    h = R.hashes(s, d).select("id", "split", C("label").cast("string").alias("group_id"), "bits", F.concat(F.lit("s"), (F.expr("id % 1000000000 div 2") + F.when(C("split") == "train", 0).otherwise(50)).cast("string")).alias("stem"), C("bits").alias("content"), (C("id") % 1_000_000_000 % 400).alias("file"))
+def hashed_cohorts(s: SparkSession, d: str, number: str = "id % 1000000000 div 2") -> tuple[DataFrame, DataFrame]:
+    """Current and prior rows; stems have the ``number`` of a row, moved by fifty for current ones."""
+    h = R.hashes(s, d).select("id", "split", C("label").cast("string").alias("group_id"), "bits", F.concat(F.lit("s"), (F.expr(number) + F.when(C("split") == "train", 0).otherwise(50)).cast("string")).alias("stem"), C("bits").alias("content"), (C("id") % 1_000_000_000 % 400).alias("file"))
     return h.where("split = 'test'"), h.where("split = 'train'")
 
 
@@ -336,12 +337,12 @@ COHORTS = BITS + ", c AS (SELECT id, split, label::VARCHAR AS group_id, whole, n
 
 
 @query(
-    COHORTS + """, j AS (SELECT DISTINCT a.id, b.id AS prior_id, 'source_id_overlap' AS reason FROM cur a JOIN old b ON a.stem = b.stem AND a.n = b.n UNION SELECT DISTINCT a.id, b.id, 'decoded_pixels_overlap' FROM cur a JOIN old b ON a.whole = b.whole AND a.n = b.n
+    COHORTS.replace("// 2 +", "% 300 +") + """, j AS (SELECT DISTINCT a.id, b.id AS prior_id, 'source_id_overlap' AS reason FROM cur a JOIN old b ON a.stem = b.stem AND a.n = b.n UNION SELECT DISTINCT a.id, b.id, 'decoded_pixels_overlap' FROM cur a JOIN old b ON a.whole = b.whole AND a.n = b.n
       UNION SELECT DISTINCT a.id, b.id, 'near_duplicate_review' FROM cur a JOIN old b ON a.n = b.n AND a.part = b.part WHERE a.whole <> b.whole AND hamming(a.whole, b.whole) <= 2)
     SELECT id, prior_id, string_agg(reason, ',' ORDER BY reason) AS reasons FROM j GROUP BY id, prior_id"""
 )
 def prior_overlap(s, d):
-    current, prior = hashed_cohorts(s, d)
+    current, prior = hashed_cohorts(s, d, "id % 1000000000 % 300")  # three hundred stems, however many rows
     return audit.prior_overlap(current, prior)
 
 
