@@ -256,27 +256,45 @@ def points_resample(s, d):
 # --- COCO ---------------------------------------------------------------------------------------
 
 
+#: Customers whose documents one task writes, and annotations that one task judges: larger tables have more tasks, not larger ones.
+CUSTOMERS, NOTES = 4_000, 100_000
+
+
 def coco_documents(s, d, faulty):
-    """COCO documents (path, text) of forty customers each: customers as images, orders as annotations, nations as categories."""
+    """COCO documents (path, text) of forty customers each: customers as images, orders as annotations, nations as categories.
+
+    Narrow rows go to their document's task before lists are made: a small file may hold millions of orders.
+    """
     c, o, n = (R.table(s, d, t) for t in ("customer", "orders", "nation"))
-    path = F.concat(F.lit("part-"), F.expr("c_custkey div 40").cast("string"))
+    tasks = c.count() // CUSTOMERS + 1
+    path = F.concat(F.lit("part-"), F.expr("c_custkey div 40").cast("string")).alias("path")
     image = F.struct(C("c_custkey").alias("id"), C("c_name").alias("file_name"), F.lit(512).alias("width"), F.lit(512).alias("height"))
-    images_ = c.groupBy(path.alias("path")).agg(F.collect_list(image).alias("images"), F.array_sort(F.collect_set("c_nationkey")).alias("nations"))
-    k = C("o_orderkey")
-    shape = F.when(faulty & (k % 17 == 3), "{}").when(faulty & (k % 17 == 4), "[[1,2,3,4,5]]").otherwise("[[1,1,9,1,9,9]]")
-    box = F.array(F.lit(1.0), F.lit(1.0), F.when(faulty & (k % 19 == 2), 600.0).otherwise(8.0), F.lit(8.0))
-    note = F.struct(k.alias("id"), F.when(faulty & (k % 23 == 1), -1).otherwise(C("o_custkey")).alias("image_id"), F.when(faulty & (k % 29 == 1), 99).otherwise(C("c_nationkey")).alias("category_id"), box.alias("bbox"), F.when(faulty & (k % 31 == 1), 1).otherwise(0).alias("iscrowd"), F.parse_json(shape).alias("segmentation"))
-    copies = F.when(faulty & (k % 37 == 1), F.array(note, note)).otherwise(F.array(note))
-    notes = o.join(c, C("o_custkey") == C("c_custkey")).select(path.alias("path"), F.explode(copies).alias("x")).groupBy("path").agg(F.collect_list("x").alias("annotations"))
+    images_ = c.select(path, "c_custkey", "c_name").repartition(tasks, "path").groupBy("path").agg(F.collect_list(image).alias("images"))
+
+    def notes(x):
+        k = x["o_orderkey"]
+        shape = F.when(faulty & (k % 17 == 3), "{}").when(faulty & (k % 17 == 4), "[[1,2,3,4,5]]").otherwise("[[1,1,9,1,9,9]]")
+        box = F.array(F.lit(1.0), F.lit(1.0), F.when(faulty & (k % 19 == 2), 600.0).otherwise(8.0), F.lit(8.0))
+        note = F.struct(k.alias("id"), F.when(faulty & (k % 23 == 1), -1).otherwise(x["o_custkey"]).alias("image_id"), F.when(faulty & (k % 29 == 1), 99).otherwise(x["c_nationkey"]).alias("category_id"), box.alias("bbox"), F.when(faulty & (k % 31 == 1), 1).otherwise(0).alias("iscrowd"), F.parse_json(shape).alias("segmentation"))
+        return F.when(faulty & (k % 37 == 1), F.array(note, note)).otherwise(F.array(note))
+
+    rows = o.select("o_orderkey", "o_custkey").join(c.select("c_custkey", "c_nationkey"), C("o_custkey") == C("c_custkey")).select(path, "o_orderkey", "o_custkey", "c_nationkey")
+    lists = rows.repartition(tasks, "path").groupBy("path").agg(F.collect_list(F.struct("o_orderkey", "o_custkey", "c_nationkey")).alias("rows"))
     names = n.groupBy().agg(F.collect_list(F.struct(C("n_nationkey").alias("id"), C("n_name").alias("name"))).alias("categories"))  # 25 rows
-    whole = images_.join(notes, "path", "left").crossJoin(F.broadcast(names)).withColumn("annotations", F.coalesce("annotations", F.expr("array()")))
+    whole = images_.join(lists, "path", "left").crossJoin(F.broadcast(names))
+    whole = whole.withColumn("annotations", F.coalesce(F.flatten(F.transform("rows", notes)), F.expr("array()")))
     return whole.select("path", F.to_json(F.struct("images", "annotations", "categories")).alias("text"))
 
 
+def coco_read(s, d, faulty):
+    """The tables of those documents, parsed once, and how many tasks its annotations are for."""
+    return annotations.coco_tables(coco_documents(s, d, F.lit(faulty)), Scratch(s, "coco")), R.table(s, d, "orders").count() // NOTES + 1
+
+
 @query("SELECT o_orderkey AS annotation_id, c_name AS file_name, n_name AS category FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
 def coco_join(s, d):
     """Annotations with their images and categories, read from COCO documents."""
-    return annotations.coco_instances(annotations.coco_tables(coco_documents(s, d, F.lit(False)))).select("annotation_id", "file_name", C("category_name").alias("category"))
+    return annotations.coco_instances(*coco_read(s, d, False)).select("annotation_id", "file_name", C("category_name").alias("category"))
 
 
 @query(
@@ -286,5 +304,7 @@ def coco_join(s, d):
       UNION ALL SELECT 'category_refused', key, name FROM a WHERE name <> 'nation_7' AND k % 29 <> 1 UNION ALL SELECT 'annotations_id_twice', key, '2' FROM a WHERE i = 1) GROUP BY ALL"""
 )
 def coco_violations(s, d):
-    found = annotations.coco_violations(annotations.coco_tables(coco_documents(s, d, F.lit(True))), only="Nation_7")
-    return found.groupBy("rule", "key", C("detail").alias("n")).agg(F.count("*").alias("times"))
+    tables, tasks = coco_read(s, d, True)
+    found = annotations.coco_violations(tables, only="Nation_7", tasks=tasks)
+    # All rows of a key are dealt before they are counted.
+    return found.repartition(tasks, "rule", "key", "detail").groupBy("rule", "key", C("detail").alias("n")).agg(F.count("*").alias("times"))

@@ -156,3 +156,15 @@ def test_labels_feed_the_partner_search_and_their_images(spark):
     assert np.array_equal(A.band(got[left].pixels, 3, 2, 4), np.arange(24, dtype=np.uint8).reshape(3, 2, 4).transpose(1, 2, 0))
     assert [got[left.replace("0001M", f"000{k}M")].problem for k in (1, 2, 3)] == [None, "file_size", "image_missing"]
     assert A.product_labels(df.where("false")).count() == 0
+
+
+def test_larger_tables_have_more_tasks_not_larger_ones(spark, monkeypatch):
+    """Documents are parsed once, and annotations are dealt over tasks by their number."""
+    from helpers import DATA
+
+    from orrery.plans import catalogue, surveying
+
+    monkeypatch.setattr(surveying, "NOTES", 100, raising=False)
+    tasks = spark.read.parquet(f"{DATA}/sf0.001/orders.parquet").count() // 100 + 1
+    plan = catalogue.QUERIES["coco_violations"](spark, f"{DATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "orders.parquet" not in plan and plan.count(f", {tasks}), REPARTITION_BY_NUM") >= 5
