@@ -13,6 +13,10 @@ from .catalogue import C, query, sql
 # --- stereo partners ----------------------------------------------------------------------------
 
 
+#: Pairs of frames whose coverage one task finds.
+PAIRS = 1000
+
+
 def frames(s, d):
     """A camera frame for each vector: places on a grid of 25 cm, axes about one direction."""
     e = lambda i: F.get("embedding", F.lit(i - 1)).cast("double")
@@ -72,8 +76,10 @@ def eye_pairs(s, d):
 
 @query()
 def stereo_partners(s, d):
-    rows = frames(s, d)
-    return stereo.best_partners(rows, stereo.coverage(judged(s, d), rows))
+    rows, scratch = frames(s, d), Scratch(s, "partners")
+    pairs = scratch.write(judged(s, d), "pairs")
+    covered = stereo.coverage(pairs, rows, pairs.count() // PAIRS + 1).drop("left_by_distance", "right_by_distance")
+    return stereo.best_partners(rows, scratch.write(covered, "covered"))  # read by each part of the ranking
 
 
 PRODUCTS = """WITH n AS (SELECT doc_id AS i, lpad((doc_id % 40)::VARCHAR, 4, '0') || CASE doc_id % 2 WHEN 0 THEN 'ML' ELSE 'MR' END AS h, lpad((doc_id // 3 % 50)::VARCHAR, 4, '0') AS s, lpad((doc_id % 7)::VARCHAR, 3, '0') AS c FROM documents),
