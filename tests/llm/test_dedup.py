@@ -362,3 +362,34 @@ def test_open_buckets_are_compared_by_all_pairs(spark, monkeypatch, unit):
     met = {frozenset((a, b)) for (_, i, j), own in sides.items() for a, p in own for b, q in own if p == i and q == j}
     want = {frozenset((a, b)) for k, a, _, c in rows for m, b, _, d in rows if k == m and c != d}
     assert want <= met
+
+
+def test_chains_of_documents_whose_first_hub_has_only_pieces(spark):
+    """Two documents share a passage, and a third one, first in order, has each of its stretches of seven words among others: it takes no passage away."""
+    r = np.random.default_rng(5)
+    word = lambda n: ["w" + str(k) for k in r.integers(0, 1 << 40, n)]
+    rows, groups = [], 40
+    for g in range(groups):
+        passage = word(30)
+        pieces = [w for k in range(0, 27) for w in (*word(9), *passage[k : k + 4])]
+        ids = sorted(range(3 * g, 3 * g + 3), key=lambda i: chains._ranks(np.array([i]))[0])
+        rows += [(ids[0], " ".join(pieces)), *((i, " ".join([*word(25), *passage, *word(20)])) for i in ids[1:])]
+    got = {frozenset((x.doc_id, x.partner_id)) for x in chains.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {frozenset(i for i, text in rows[k : k + 3][1:]) for k in range(0, len(rows), 3)}
+    assert got == want
+
+
+def test_hubs_go_on_over_batches():
+    """Matches are the same however a seed's rows are cut into batches."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(6)
+    seed = np.sort(r.integers(0, 12, 400))
+    bits = r.integers(0, 1 << 62, 5)[r.integers(0, 5, 400)]
+    whole = pa.record_batch([pa.array(seed), pa.array(np.arange(400) // 2), pa.array(np.arange(400, dtype=np.int32)), pa.array(bits)], ["seed", "rank", "pos", "bits"])
+    run = chains._meet(chains.LEAST, chains.IDENTITY)
+    flat = lambda out: sorted(tuple(row.values()) for b in out for row in b.to_pylist())
+    want = flat(run(iter([whole])))
+    assert want and sum(x[4] for x in want) > 50
+    for n in (1, 7, 64):
+        assert flat(run(iter([whole.slice(k, n) for k in range(0, 400, n)]))) == want
