@@ -365,7 +365,7 @@ def test_open_buckets_are_compared_by_all_pairs(spark, monkeypatch, unit):
 
 
 def test_chains_of_documents_whose_first_hub_has_only_pieces(spark):
-    """Two documents share a passage, and a third one, first in order, has each of its stretches of seven words among others: it takes no passage away."""
+    """Two documents share a passage, and a third one, first in order, has each of its stretches of four words among others: it takes no passage away."""
     r = np.random.default_rng(5)
     word = lambda n: ["w" + str(k) for k in r.integers(0, 1 << 40, n)]
     rows, groups = [], 40
