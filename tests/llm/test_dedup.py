@@ -393,3 +393,14 @@ def test_hubs_go_on_over_batches():
     assert want and sum(x[4] for x in want) > 50
     for n in (1, 7, 64):
         assert flat(run(iter([whole.slice(k, n) for k in range(0, 400, n)]))) == want
+
+
+def test_chains_send_stretches_once(spark):
+    """One join holds the words of both sides, and a document's own stretches are not in any other."""
+    words = [f"v{i}" for i in range(60)]
+    rows = [(i, " ".join([f"a{i}_{k}" for k in range(50)] + words + [f"b{i}_{k}" for k in range(50)])) for i in range(5)]
+    out = chains.passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(x.lstrip(" +-:").startswith("Join ") for x in plan.splitlines()) == 1
+    got = out.collect()
+    assert {x.n_equal for x in got} == {60} and {k for x in got for k in (x.doc_id, x.partner_id)} == set(range(5))
