@@ -1,6 +1,7 @@
 """Decontamination, mixing, tokens, codec, quality and language models, and the pipeline."""
 
 import hashlib
+import pickle
 import random
 import re
 import zlib
@@ -275,6 +276,32 @@ def test_language_models_by_every_way(spark, monkeypatch, head, texts):
     check_losses(spark, spark.createDataFrame(rows, "doc_id long, text string"), rows, set(range(0, 60, 3)), texts=texts)
 
 
+def test_language_models_ask_for_what_may_be_counted_alone(spark, monkeypatch):
+    """Words that no other text has are not asked for, by texts of the models or not; pairs are asked for in their block."""
+    asked, write = [], ngram.Scratch.write
+    monkeypatch.setattr(ngram.Scratch, "write", lambda self, df, name: (out := write(self, df, name), name == "asked" and asked.append(out))[0])
+    monkeypatch.setattr(ngram, "HEAD", 0)
+    monkeypatch.setattr(ngram, "WORDS_HEAD", 0)
+    rows = [(i, " ".join(f"u{i}_{k}" for k in range(60))) for i in range(30)]
+    check_losses(spark, spark.createDataFrame(rows, "doc_id long, text string"), rows, set(range(10)))
+    assert asked[0].selectExpr("sum(size(rare))").first()[0] < 180  # the 30 first words follow the start mark, which is asked for
+    shift = 65 - ngram.BLOCKS.bit_length()
+    for k in range(ngram.BLOCKS):
+        assert asked[0].selectExpr(f"explode(pair{k}) as p").where(f"shiftrightunsigned(p, {shift}) != {k}").isEmpty()
+
+
+def test_tables_sent_to_tasks_are_small_and_whole():
+    r = np.random.default_rng(3)
+    keys = np.sort(r.integers(-(1 << 63), 1 << 63, 50_000))
+    bits = np.zeros((2, 1 << 20), np.uint8)
+    bits[:, r.integers(0, 1 << 20, 5_000)] = 1
+    for one in (ngram.Known(keys, r.integers(0, 9, (2, 50_000)).astype(np.uint32), bits), ngram.Known(keys[:0], np.zeros((2, 0), np.uint32), None)):
+        data = pickle.dumps(one)
+        two = pickle.loads(data)
+        assert (one.keys == two.keys).all() and (one.counts == two.counts).all() and (one.bits is None and two.bits is None or (one.bits == two.bits).all())
+        assert len(data) < 1000 + 0.6 * (one.keys.nbytes + one.counts.nbytes)
+
+
 @pytest.mark.parametrize("name", sorted(oracle.SQL))
 def test_queries_equal_their_sql(spark, duck, name):
     same(queries.queries()[name](spark, f"{DATA}/sf0.001"), duck.sql(oracle.SQL[name]))
