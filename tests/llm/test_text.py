@@ -290,6 +290,18 @@ def test_language_models_ask_for_what_may_be_counted_alone(spark, monkeypatch):
         assert asked[0].selectExpr(f"explode(pair{k}) as p").where(f"shiftrightunsigned(p, {shift}) != {k}").isEmpty()
 
 
+def test_language_models_ask_once_for_each_pair_of_a_slice(spark, monkeypatch):
+    """However many texts of a slice have a pair, it is one entry, so that what is shuffled doesn't grow faster than the texts."""
+    asked, write = [], ngram.Scratch.write
+    monkeypatch.setattr(ngram.Scratch, "write", lambda self, df, name: (out := write(self, df, name), name == "asked" and asked.append(out))[0])
+    monkeypatch.setattr(ngram, "HEAD", 0)
+    r = random.Random(3)
+    rows = [(i, " ".join(f"w{r.randrange(12)}" for _ in range(80))) for i in range(40)]
+    check_losses(spark, spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), rows, set(range(0, 40, 2)))
+    pairs = {x for _, t in rows for x in zip(["", *t.split()], t.split(), strict=False)}
+    assert sum(asked[0].selectExpr(*(f"sum(size(pair{k}))" for k in range(ngram.BLOCKS))).first()) == len(pairs)
+
+
 def test_tables_sent_to_tasks_are_small_and_whole():
     r = np.random.default_rng(3)
     keys = np.sort(r.integers(-(1 << 63), 1 << 63, 50_000))
