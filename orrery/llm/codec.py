@@ -6,7 +6,8 @@ their checksum) independently; numpy codes many blocks in step, one id of each
 block at a time, as lanes of one array program.
 
 Prediction.  All three orders adapt within the block.  Order 2 and order 1 keep, in
-hashed slots, the id that followed the context last and how sure it is; order 0
+hashed slots (the last id has a group of them, the one before it the place of order 2
+in it), the id that followed the context last and how sure it is; order 0
 keeps the last id of each class of ids.  The candidate of the highest order that
 has one is coded as hit or miss; the probability mixes, in the logistic domain and
 with weights that adapt after each id, how often slots of order 2 and of order 1 in
@@ -16,7 +17,7 @@ with an adaptive probability, and else its place in the class.  Classes have abo
 header has the frequencies); a frequent id is a class by itself.  All of it is
 integer arithmetic, the same on every machine.
 
-Coder.  A carry range coder with 64-bit ranges that gives out 32-bit words.
+Coder.  A carry range coder with 62-bit ranges that gives out 32-bit words.
 
 File: magic, lengths of the sections, header (JSON with counts and checksums),
 symbols (zlib: distinct ids and frequencies), documents (zlib: document keys
@@ -32,12 +33,16 @@ import zlib
 import numpy as np
 
 U = np.uint64
-MAGIC = b"OCM2"
+MAGIC = b"OCM3"
 BLOCK, LANES = 1024, 8192
-SLOTS = 1024
+#: Groups of slots of an id, each with one of order 1 and NEAR of order 2.
+GROUPS, NEAR = 512, 7
 #: Bits of class frequencies and of places in a class.
 CLASSES, INSIDE = 16, 12
-_LEAST, _WORD = U(1 << 32), U(32)
+#: Bits of a range; words are cut from the top when it has no more than the lower ones.
+WINDOW = 62
+_LOW, _WORD = U(WINDOW - 32), U(32)
+_LEAST, _REST = U(1 << WINDOW - 32), U((1 << WINDOW - 32) - 1)
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +90,7 @@ class Symbols:
         mass = np.bincount(self.of, weights=count, minlength=self.n).astype(np.int64)
         self.freq = scaled(mass, CLASSES)
         self.cum = np.cumsum(self.freq) - self.freq
-        self.single = np.bincount(self.of, minlength=self.n) == 1
+        single = np.bincount(self.of, minlength=self.n) == 1
         # Places in a class: 2 ** INSIDE shared by its symbols.
         order = np.argsort(self.of, kind="stable")
         inside = np.empty(n, np.int64)
@@ -93,165 +98,196 @@ class Symbols:
         for a, b in zip(start[:-1].tolist(), start[1:].tolist(), strict=True):
             if b > a:
                 inside[order[a:b]] = scaled(count[order[a:b]], INSIDE)
-        self.inside, flat = inside, inside[order]
+        flat = inside[order]
         before = np.empty(n, np.int64)
         before[order] = np.cumsum(flat) - flat - (self.of[order] << INSIDE)
-        self.before = before
-        self.ordered = order
+        self.ordered = order + 1
         share = np.clip((count.astype(np.int64) << 12) // max(1, total), 0, 4095)
-        self.stretched = STRETCH[share]
-        self.freq, self.cum, self.inside, self.before = (x.astype(U) for x in (self.freq, self.cum, self.inside, self.before))
+        # Lanes number symbols from 1.  Symbol 0 and class n are those that aren't coded: they leave a range as it is, but for its last bits.
+        #: Type of a slot, which holds a symbol and three bits.
+        self.slot = np.uint16 if n < 1 << 13 else np.int32
+        self.stretched = np.append(np.int32(0), STRETCH[share])
+        self.of = np.append(0, self.of)
+        self.alone = (first + 1).astype(self.slot)
+        self.several = np.append(~single, False)
+        self.freq, self.cum = np.append(self.freq, 1 << CLASSES).astype(U), np.append(self.cum, 0).astype(U)
+        self.inside, self.before = np.append(1 << INSIDE, inside).astype(U), np.append(0, before).astype(U)
 
     def tables(self) -> tuple[np.ndarray, np.ndarray]:
         """The class at each of 2 ** CLASSES places, and the symbol at each place of each class."""
-        return np.repeat(np.arange(self.n), self.freq.astype(np.int64)), np.repeat(self.ordered, self.inside[self.ordered].astype(np.int64))
+        return np.repeat(np.arange(self.n, dtype=np.int16), self.freq[:-1].astype(np.int64)), np.repeat(self.ordered.astype(self.slot), self.inside[self.ordered].astype(np.int64))
 
 
 class _Lanes:
-    """State of blocks that are coded in step."""
+    """State of blocks that are coded in step.  Arrays of two or three rows have one for each order, the lowest first."""
 
     def __init__(self, lanes: int, symbols: Symbols):
         self.stretched = symbols.stretched
-        self.row, self.row0, self.row16 = (np.arange(lanes) * k for k in (SLOTS, symbols.n, 16))
-        self.slots = [np.zeros(lanes * k, np.int32) for k in (symbols.n, SLOTS, SLOTS)]
-        self.hits = [None, *(np.full(lanes * 16, 1 << 15, np.int32) for _ in range(2))]
+        lane = np.arange(lanes)
+        # The slots of orders 1 and 2 of an id stand together, so that memory is waited for once; those of order 0 follow all groups.
+        width = GROUPS * (NEAR + 1)
+        self.row = np.stack([lane * symbols.n + lanes * width, lane * width])
+        self.slots = np.zeros(lanes * (symbols.n + width), symbols.slot)
+        self.row16 = np.stack([lane * 16, (lane + lanes) * 16])
+        self.hits = np.full(lanes * 32, 1 << 15, np.int32)
+        # An empty slot has state 0, whose probability stays 0.
+        self.row8 = lane * 8
         self.recent = np.full(lanes * 8, 1 << 15, np.int32)
-        self.row8 = np.arange(lanes) * 8
-        self.weights = [np.full(lanes, w, np.int32) for w in (12_000, 22_000, 26_000)]
-        self.range = np.full(lanes, 0xFFFFFFFFFFFFFFFF, U)
-        self.last, self.mixed = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.recent[::8] = 0
+        self.weights = np.repeat(np.array([[12_000], [22_000], [26_000]], np.int32), lanes, axis=1)
+        self.range = np.full(lanes, (1 << WINDOW) - 1, U)
+        self.group, self.place = np.zeros(lanes, np.uint32), np.ones(lanes, np.uint32)
+        self.next = self.place
+        self.at, self.v = np.zeros((3, lanes), np.int64), np.zeros((3, lanes), symbols.slot)
+        self.inputs, self.products = np.zeros((3, lanes), np.int32), np.zeros((3, lanes), np.int32)
 
     def predict(self) -> None:
-        """``guess`` and ``p``, 12 bits, which is 0 where there is none."""
-        a = self.last * 0x9E3779B1
-        at1, at2 = a >> 12, (a + self.mixed) >> 13
-        self.mixed = self.last * 0xC2B2AE35
-        for x in (at1, at2):
-            x &= SLOTS - 1
-            x += self.row
-        self.at = [None, at1, at2]
-        v1, v2 = self.slots[1].take(at1, mode="clip"), self.slots[2].take(at2, mode="clip")
-        g = np.where(v2, v2, v1)
-        guess = g >> 3
-        self.guess, self.v = guess, [None, v1, v2]
-        self.states, self.seen, self.inputs = [None], [None], [self.stretched.take(guess, mode="clip")]
-        for k, v in ((1, v1), (2, v2)):
-            state = v & 7
-            state <<= 1
-            state += (v ^ g) < 8
-            state = state + self.row16
-            seen = self.hits[k].take(state, mode="clip")
-            self.states.append(state)
-            self.seen.append(seen)
-            self.inputs.append(STRETCH.take(seen >> 4, mode="clip"))
-        w, x = self.weights, self.inputs
-        dot = x[0] * w[0]
-        dot += x[1] * w[1]
-        dot += x[2] * w[2]
-        dot >>= 16
+        """``guess`` and ``p``, 12 bits, which is 0 where there is none.
+
+        What depends on a lane's luck is chosen by products with 0 and 1 here and below: branches on it would be guessed wrong.
+        """
+        at = self.at[1:]
+        at[0] = self.group
+        at[0] += self.row[1]
+        np.add(at[0], self.place, out=at[1])
+        v = self.slots.take(at, mode="clip", out=self.v[1:])
+        g = v[0] * (v[1] == 0)
+        g += v[1]
+        self.guess = g >> 3
+        state = v & 7
+        state <<= 1
+        state += (v ^ g) < 8
+        self.state = state.astype(np.int64)
+        self.state += self.row16
+        self.seen = self.hits.take(self.state, mode="clip")
+        x = self.inputs
+        self.stretched.take(self.guess, mode="clip", out=x[0])
+        STRETCH.take(self.seen >> 4, mode="clip", out=x[1:])
+        dot = np.multiply(x, self.weights, out=self.products)
+        dot[0] += dot[1]
+        dot[0] += dot[2]
+        dot = dot[0] >> 16
         dot += 2048
-        p = SQUASH.take(dot, mode="clip")
-        p *= g > 0
-        self.p = p
+        self.p = SQUASH.take(dot, mode="clip")
+        self.p *= g > 0
+
+    def order0(self, cls: np.ndarray) -> np.ndarray:
+        """What stands in the slots of these classes."""
+        np.add(self.row[0], cls, out=self.at[0])
+        return self.slots.take(self.at[0], mode="clip", out=self.v[0])
+
+    def split(self) -> tuple[np.ndarray, np.ndarray]:
+        """Ranges of a hit, which stands above, and of a miss."""
+        bound = self.range >> U(12)
+        bound *= self.p.astype(U)
+        return bound, self.range - bound
+
+    def adapt(self, state: np.ndarray, p: np.ndarray, same: np.ndarray) -> None:
+        """``p`` of these states of order 0 towards what came."""
+        goal = same.astype(np.int32)
+        goal *= 65535
+        goal -= p
+        goal += 8
+        goal >>= 4
+        goal += p
+        self.recent[state] = goal
 
-    def learn(self, symbol: np.ndarray, hit: np.ndarray, at0: np.ndarray, v0: np.ndarray) -> None:
-        """``at0`` and ``v0``: the symbol's slot of order 0, and what stood there."""
+    def learn(self, symbol: np.ndarray, hit: np.ndarray) -> None:
         goal = hit.astype(np.int32)
-        error = ((goal << 12) - self.p) * (self.p > 0)
+        error = goal << 12
+        error -= self.p
+        error *= self.p > 0
         error *= 6
+        x = np.multiply(self.inputs, error, out=self.products)
+        x += 0x8000
+        x >>= 16
+        self.weights += x
         goal *= 65535
-        for k in range(3):
-            x = self.inputs[k] * error
-            x += 0x8000
-            x >>= 16
-            self.weights[k] += x
-        for k in (1, 2):
-            seen = goal - self.seen[k]
-            seen >>= 4
-            seen += self.seen[k]
-            self.hits[k][self.states[k]] = seen
-        first = (symbol << 3).astype(np.int32)
-        top = first | 7
+        seen = goal - self.seen
+        seen >>= 4
+        seen += self.seen
+        self.hits[self.state] = seen
+        first = symbol << 3
+        sure = self.v & 7
+        np.minimum(sure, 6, out=sure)
+        sure *= (self.v ^ first) < 8
         first |= 1
-        for k, (v, at) in enumerate(((v0, at0), (self.v[1], self.at[1]), (self.v[2], self.at[2]))):
-            sure = v & 7
-            np.minimum(sure, 6, out=sure)
-            sure *= (v ^ top) < 8
-            sure += first
-            self.slots[k][at] = sure
-        self.last = symbol
+        sure += first
+        self.slots[self.at] = sure
+        # The id before the last has the place in the group.
+        self.place = self.next
+        hashed = symbol.astype(np.uint32)
+        hashed *= np.uint32(0x9E3779B1)
+        self.group = (hashed >> np.uint32(33 - GROUPS.bit_length())) * np.uint32(NEAR + 1)
+        hashed &= np.uint32(0xFFFF)
+        hashed *= np.uint32(NEAR)
+        self.next = (hashed >> np.uint32(16)) + np.uint32(1)
 
 
 def _encode_lanes(symbols: np.ndarray, of: Symbols) -> list[bytes]:
     """Codes of the rows of ``symbols``."""
     lanes, steps = symbols.shape
     s = _Lanes(lanes, of)
-    low = np.zeros(lanes, U)
-    # Words are kept in 64 bits: carries are added to the last word and carried on at the end.
-    width = 8 + steps // 2
+    # Words are kept in 64 bits: a carry of ``low`` is the word's bit 32, and carried on at the end.
+    low, width = np.zeros(lanes, U), 8 + steps // 2
     out, size, first = np.zeros((lanes, width), U), np.ones(lanes, np.int64), np.arange(lanes)
 
-    def add(at: np.ndarray, by: np.ndarray) -> None:
-        now = low[at] + by
-        low[at] = now
-        over = now < by
-        if over.any():
-            lane = at[over]
-            out[lane, size[lane] - 1] += U(1)
-
-    def flush(at: np.ndarray) -> None:
+    def flush(span: np.ndarray, low: np.ndarray, lane: np.ndarray) -> None:
         nonlocal out, width
+        at = np.flatnonzero(span < _LEAST)
         if len(at):
-            k = size[at]
+            lane = lane.take(at)
+            k = size.take(lane)
             if int(k.max()) >= width - 4:
                 out, width = np.concatenate([out, np.zeros_like(out)], axis=1), width * 2
-            x = low[at]
-            out[at, k] = x >> _WORD
-            size[at] = k + 1
-            low[at] = x << _WORD
-            s.range[at] <<= _WORD
-
-    for symbol in np.ascontiguousarray(symbols.T):
-        symbol = symbol.astype(np.int64)
+            x = low.take(at)
+            out[lane, k] = x >> _LOW
+            size[lane] = k + 1
+            low[at] = (x & _REST) << _WORD
+            span[at] <<= _WORD
+
+    for symbol in np.ascontiguousarray(symbols.T.astype(of.slot)):
         s.predict()
-        hit = (s.guess == symbol) & (s.p > 0)
-        bound = (s.range >> U(12)) * s.p.astype(U)
-        s.range -= bound
-        at = np.flatnonzero(hit)
-        add(at, s.range[at])
-        s.range[at] = bound[at]
+        hit = s.guess == symbol
+        bound, rest = s.split()
+        wide = hit.astype(U)
+        above = rest * wide
+        low += above
+        rest -= above
+        bound *= wide
+        rest += bound
+        rest >>= U(CLASSES)
         cls = of.of.take(symbol, mode="clip")
-        at0 = cls + s.row0
-        v0 = s.slots[0].take(at0, mode="clip")
-        miss = np.flatnonzero(~hit)
-        if len(miss):
-            c = cls[miss]
-            r = s.range[miss] >> U(CLASSES)
-            add(miss, r * of.cum.take(c, mode="clip"))
-            r *= of.freq.take(c, mode="clip")
-            s.range[miss] = r
-            flush(miss[r < _LEAST])
-            miss = miss[~of.single.take(c, mode="clip")]
-            x, v = symbol[miss], v0[miss]
-            state = s.row8[miss] + (v & 7)
-            p = s.recent.take(state, mode="clip")
-            same = ((v >> 3) == x) & (v > 0)
-            have = s.range[miss]
-            bound = (have >> U(16)) * p.astype(U) * (v > 0)
-            add(miss, bound * ~same)
-            s.range[miss] = np.where(same, bound, have - bound)
-            s.recent[state] = p + ((same * 65535 - p + 8) >> 4)
-            far = np.flatnonzero(~same)
-            at, x = miss[far], x[far]
-            r = s.range[at] >> U(INSIDE)
-            add(at, r * of.before.take(x, mode="clip"))
-            s.range[at] = r * of.inside.take(x, mode="clip")
-        flush(np.flatnonzero(s.range < _LEAST))
-        s.learn(symbol, hit, at0, v0)
+        v0 = s.order0(cls)
+        cls += (of.n - cls) * wide.view(np.int64)
+        low += rest * of.cum.take(cls, mode="clip")
+        s.range = rest * of.freq.take(cls, mode="clip")
+        some = np.flatnonzero(of.several.take(cls, mode="clip"))
+        x, v, have, base = symbol.take(some), v0.take(some), s.range.take(some), low.take(some)
+        flush(have, base, some)
+        state = s.row8.take(some)
+        state += v & 7
+        p = s.recent.take(state, mode="clip")
+        same = (v >> 3) == x
+        s.adapt(state, p, same)
+        bound = (have >> U(16)) * p.astype(U)
+        have -= bound
+        wide = same.astype(U)
+        x -= x * same
+        have += (bound - have) * wide
+        have >>= U(INSIDE)
+        bound -= bound * wide
+        base += bound
+        base += have * of.before.take(x, mode="clip")
+        low[some] = base
+        have *= of.inside.take(x, mode="clip")
+        s.range[some] = have
+        flush(s.range, low, first)
+        s.learn(symbol, hit)
     for _ in range(2):
-        out[first, size] = low >> _WORD
+        out[first, size] = low >> _LOW
         size += 1
-        low <<= _WORD
+        low = (low & _REST) << _WORD
     for k in range(int(size.max()) - 1, 0, -1):  # carries
         out[:, k - 1] += out[:, k] >> _WORD
     words = out.astype("<u4")
@@ -261,68 +297,74 @@ def _encode_lanes(symbols: np.ndarray, of: Symbols) -> list[bytes]:
 def _decode_lanes(codes: list[bytes], steps: int, of: Symbols) -> np.ndarray:
     lanes = len(codes)
     s = _Lanes(lanes, of)
-    words = np.zeros((lanes, max(map(len, codes)) // 4 + 4), np.uint32)
+    words = np.zeros((lanes, max(map(len, codes)) // 4 + 4), U)
     for i, c in enumerate(codes):
         words[i, : len(c) // 4] = np.frombuffer(c, "<u4")
-    limit, base = words.shape[1] - 1, np.arange(lanes) * words.shape[1]
-    words, size = words.ravel(), np.full(lanes, 2, np.int64)
-    code = words[base].astype(U) << _WORD | words[base + 1].astype(U)
+    # A window ends two bits before a word does.
+    code = words[:, 0] << _LOW | words[:, 1] >> U(2)
+    words = (words[:, 1:-1] << _LOW | words[:, 2:] >> U(2)).astype(np.uint32)
+    first, last = np.arange(lanes), np.arange(1, lanes + 1) * words.shape[1] - 1
+    words, place = words.ravel(), first * words.shape[1]
     class_at, symbol_at = of.tables()
-    out = np.zeros((steps, lanes), np.int32)
-    top, inside = U((1 << CLASSES) - 1), U((1 << INSIDE) - 1)
+    out = np.zeros((steps, lanes), of.slot)
 
-    def refill(at: np.ndarray) -> None:
+    def refill(span: np.ndarray, code: np.ndarray, lane: np.ndarray) -> None:
+        at = np.flatnonzero(span < _LEAST)
         if len(at):
-            k = size[at]
-            code[at] = code[at] << _WORD | words.take(base[at] + np.minimum(k, limit))
-            size[at] = k + 1
-            s.range[at] <<= _WORD
+            lane = lane.take(at)
+            k = place.take(lane)
+            code[at] = code.take(at) << _WORD | words.take(k)
+            place[lane] = np.minimum(k + 1, last.take(lane))
+            span[at] <<= _WORD
 
-    for t in range(steps):
+    for symbol in out:
         s.predict()
-        bound = (s.range >> U(12)) * s.p.astype(U)
-        s.range -= bound
-        hit = code >= s.range
-        at = np.flatnonzero(hit)
-        code[at] -= s.range[at]
-        s.range[at] = bound[at]
-        symbol = s.guess.astype(np.int64)
-        at0 = of.of.take(s.guess, mode="clip") + s.row0
-        v0 = s.slots[0].take(at0, mode="clip")
-        miss = np.flatnonzero(~hit)
-        if len(miss):
-            r = s.range[miss] >> U(CLASSES)
-            have = code[miss]
-            c = class_at.take(np.minimum(have // np.maximum(r, U(1)), top).astype(np.int64))
-            code[miss] = have - r * of.cum.take(c, mode="clip")
-            r *= of.freq.take(c, mode="clip")
-            s.range[miss] = r
-            refill(miss[r < _LEAST])
-            at0[miss] = here = c + s.row0[miss]
-            v0[miss] = v = s.slots[0].take(here, mode="clip")
-            single = of.single.take(c, mode="clip")
-            symbol[miss] = symbol_at.take(c << INSIDE, mode="clip")  # right for a class of one symbol
-            some = np.flatnonzero(~single)
-            miss, v, c = miss[some], v[some], c[some]
-            state = s.row8[miss] + (v & 7)
-            p = s.recent.take(state, mode="clip")
-            have, left = s.range[miss], code[miss]
-            bound = (have >> U(16)) * p.astype(U) * (v > 0)
-            same = left < bound
-            left -= bound * ~same
-            have = np.where(same, bound, have - bound)
-            s.recent[state] = p + ((same * 65535 - p + 8) >> 4)
-            r = have >> U(INSIDE)
-            x = symbol_at.take((c << INSIDE) + np.minimum(left // np.maximum(r, U(1)), inside).astype(np.int64))
-            far = ~same
-            left -= r * of.before.take(x, mode="clip") * far
-            x = np.where(same, v >> 3, x)
-            symbol[miss] = x
-            code[miss] = left
-            s.range[miss] = np.where(same, have, r * of.inside.take(x, mode="clip"))
-        refill(np.flatnonzero(s.range < _LEAST))
-        out[t] = symbol
-        s.learn(symbol, hit, at0, v0)
+        bound, rest = s.split()
+        hit = code >= rest
+        wide = hit.astype(U)
+        above = rest * wide
+        code -= above
+        rest -= above
+        bound *= wide
+        rest += bound
+        rest >>= U(CLASSES)
+        cls = class_at.take((code // rest).view(np.int64), mode="clip").astype(np.int64)
+        wide = wide.view(np.int64)
+        cls += (of.of.take(s.guess, mode="clip") - cls) * wide
+        v0 = s.order0(cls)
+        of.alone.take(cls, mode="clip", out=symbol)  # right for a class of one symbol
+        symbol += (s.guess - symbol) * hit
+        cls += (of.n - cls) * wide
+        code -= rest * of.cum.take(cls, mode="clip")
+        s.range = rest * of.freq.take(cls, mode="clip")
+        some = np.flatnonzero(of.several.take(cls, mode="clip"))
+        v, have, left = v0.take(some), s.range.take(some), code.take(some)
+        refill(have, left, some)
+        state = s.row8.take(some)
+        state += v & 7
+        p = s.recent.take(state, mode="clip")
+        bound = (have >> U(16)) * p.astype(U)
+        same = left < bound
+        s.adapt(state, p, same)
+        have -= bound
+        wide = same.astype(U)
+        have += (bound - have) * wide
+        bound -= bound * wide
+        left -= bound
+        have >>= U(INSIDE)
+        at = (left // have).view(np.int64)
+        np.minimum(at, (1 << INSIDE) - 1, out=at)
+        at += cls.take(some) << INSIDE
+        x = symbol_at.take(at, mode="clip")
+        far = x - x * same
+        v >>= 3
+        symbol[some] = far + v * same
+        left -= have * of.before.take(far, mode="clip")
+        code[some] = left
+        have *= of.inside.take(far, mode="clip")
+        s.range[some] = have
+        refill(s.range, code, first)
+        s.learn(symbol, hit)
     return out.T
 
 
@@ -359,13 +401,14 @@ def encode(ids: np.ndarray, keys: np.ndarray, lengths: np.ndarray) -> bytes:
         count = np.bincount(ids)
         distinct = np.flatnonzero(count)
         count, number = count[distinct], np.zeros(len(count), np.int32)
-        number[distinct] = np.arange(len(distinct))
+        number[distinct] = np.arange(1, len(distinct) + 1)
         symbols = number[ids]
     else:
         distinct, symbols, count = np.unique(ids, return_inverse=True, return_counts=True)
+        symbols += 1
     of = Symbols(count)
     blocks = -(-len(ids) // BLOCK)
-    padded = np.full(blocks * BLOCK, int(np.argmax(count)) if len(ids) else 0, np.int32)
+    padded = np.full(blocks * BLOCK, int(np.argmax(count)) + 1 if len(ids) else 0, np.int32)
     padded[: len(ids)] = symbols
     padded = padded.reshape(blocks, BLOCK)
     codes: list[bytes] = []
@@ -402,7 +445,7 @@ def decode(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ends = at + np.cumsum(table[:, 0].astype(np.int64))
     if len(table) != header["blocks"] or (len(ends) and ends[-1] != len(data)):
         raise FileError("the file is cut")
-    ids = np.empty(header["blocks"] * BLOCK, "<u4")
+    ids, distinct = np.empty(header["blocks"] * BLOCK, "<u4"), np.append(0, distinct).astype("<u4")
     for a, b in _turns(header["blocks"]):
         codes = [data[e - n : e] for e, n in zip(ends[a:b].tolist(), table[a:b, 0].tolist(), strict=True)]
         found = _decode_lanes(codes, BLOCK, of)

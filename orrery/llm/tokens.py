@@ -27,7 +27,7 @@ from .scratch import Scratch
 from .words import U, lists, prefix, raw, slices, span_hash, trimmed
 
 #: Bytes of text that are encoded at once.
-TEXT = 1 << 19
+TEXT = 1 << 18
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes after which a text is encoded whole: control bytes that some white-space classes hold.
@@ -71,10 +71,12 @@ def _whole(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Tokenizer:
-    """Ids of whole texts, with a table of known pieces that is emptied when it holds ``limit``.
+    """Ids of whole texts, with a table of known pieces that gives way to a new one when it holds ``limit``.
 
     A piece has two places in the table, from its hash; the second is taken where
     the first is, and one that stood there is forgotten, and encoded anew when met again.
+    The table before this one stays: pieces met again go over from it, so only those
+    that were met in neither are encoded.
     """
 
     def __init__(self, path: str, ordinary: bool = False, limit: int = 1_000_000):
@@ -105,6 +107,7 @@ class Tokenizer:
             self.char = np.array([[x[0] for x in shown], [x[-1] for x in shown]], np.uint8)
             self.letter[[*range(65, 91), *range(97, 123)]] = True
         self.bits = U(max(10, int(limit).bit_length() + 1))
+        self.past = None
         self._empty()
 
     def _empty(self) -> None:
@@ -132,7 +135,7 @@ class Tokenizer:
         return ids, np.diff(upto, prepend=0)
 
     def _add(self, keys: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Have new pieces encoded; where their ids stand in the pool, and how many, in one number each."""
+        """Have new pieces encoded; as of ``_store``."""
         # Letters of one or two bytes after at most one blank are whole for the pre-tokenizer.
         from_ = start + (data[start] == 32)
         size = end - from_
@@ -150,11 +153,38 @@ class Tokenizer:
                 else:
                     found = [e.ids for e in self.library.encode_batch_fast([data[a:b].tobytes().decode() for a, b in zip(start[own].tolist(), end[own].tolist(), strict=True)], add_special_tokens=False)]
                     flat, counts = np.fromiter((i for x in found for i in x), np.uint32), np.array([len(x) for x in found], np.int64)
-                while self.used + len(flat) > len(self.pool):
-                    self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-                self.pool[self.used : self.used + len(flat)] = flat
-                at[own] = (self.used + np.cumsum(counts) - counts) << 28 | counts
-                self.used += len(flat)
+                at[own] = self._store(flat, counts)
+        return at
+
+    def _store(self, flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Put ids of pieces into the pool; where they stand there, and how many, in one number each."""
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used : self.used + len(flat)] = flat
+        at = (self.used + np.cumsum(counts) - counts) << 28 | counts
+        self.used += len(flat)
+        return at
+
+    def _recall(self, keys: np.ndarray) -> np.ndarray:
+        """Take pieces over from the table before this one: as of ``_store``, or -1 for those that it doesn't hold."""
+        at = np.full(len(keys), -1, np.int64)
+        if self.past is None:
+            return at
+        past_keys, past_at, pool = self.past
+        for place in self._places(keys):
+            held = np.flatnonzero(past_keys[place] == keys)
+            at[held] = past_at[place[held]]
+        held = np.flatnonzero(at >= 0)
+        size, start = at[held] & ((1 << 28) - 1), at[held] >> 28
+        at[held] = self._store(pool[np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())], size)
+        return at
+
+    def _learn(self, keys: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Give pieces that this table doesn't hold a place in it; as of ``_store``."""
+        at = self._recall(keys)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            at[new] = self._add(keys[new], data, start[new], end[new])
         one, two = self._places(keys)
         free = self.keys[one] == 0
         place = np.where(free, one, two)
@@ -195,6 +225,7 @@ class Tokenizer:
         start = np.flatnonzero(cut)
         end = np.append(start[1:], len(data))
         if self.held > self.limit:
+            self.past = self.keys, self.at, self.pool
             self._empty()
         keys = span_hash(prefix(data), start, end) | U(1)
         one, two = self._places(keys)
@@ -206,7 +237,7 @@ class Tokenizer:
         rest = rest[~second]
         if len(rest):
             new, first, which = np.unique(keys[rest], return_index=True, return_inverse=True)
-            at[rest] = self._add(new, data, start[rest[first]], end[rest[first]])[which]
+            at[rest] = self._learn(new, data, start[rest[first]], end[rest[first]])[which]
         size = at & ((1 << 28) - 1)
         at >>= 28
         upto = np.concatenate([[0], np.cumsum(size)])

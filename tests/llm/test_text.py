@@ -1,6 +1,7 @@
 """Decontamination, mixing, tokens, codec, quality and language models, and the pipeline."""
 
 import hashlib
+import itertools
 import pickle
 import random
 import re
@@ -135,6 +136,29 @@ def test_tokenizer_cache_can_be_emptied(library):
         assert own.encode(pa.array([text]))[0].tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_pieces_met_again_are_encoded_once(library):
+    own, sent = tokens.Tokenizer(tokens.default_tokenizer(), limit=40), []
+    encode = own._library
+    own._library = lambda data, start, end: (sent.append(len(start)), encode(data, start, end))[1]
+    words = ["".join(x) for x in itertools.product("bdfgk", "aeiou", "lmnrt", "aeo")]
+    for k in range(12):
+        text = "x " + " ".join(words[:20] + words[20 + 25 * k : 45 + 25 * k])
+        assert own.encode(pa.array([text]))[0].tolist() == library.encode(text, add_special_tokens=False).ids
+    # 12 x 25 words that come once, 21 that come each time; a few share their places.
+    assert 321 <= sum(sent) <= 335
+
+
+@pytest.mark.parametrize("symbols", [1, 2, 700, 8190, 8191, 8192, 20_000])
+def test_codec_of_many_symbols(symbols):
+    r = np.random.default_rng(symbols)
+    ids = np.concatenate([np.arange(symbols), (r.zipf(1.2, 20_000) - 1) % symbols, np.tile(r.integers(0, symbols, 300), 9)]).astype(np.uint32) * 3
+    keys, lengths = np.array([7]), np.array([len(ids)])
+    data = codec.encode(ids, keys, lengths)
+    assert all((a == b).all() for a, b in zip(codec.decode(data), (ids, keys, lengths), strict=True))
+    of = codec.Symbols(np.bincount(ids // 3))
+    assert np.iinfo(of.slot).max >= symbols << 3 | 7
+
+
 @pytest.mark.parametrize("n", [0, 1, 1023, 1024, 1025, 5000])
 def test_codec_round_trip(n):
     r = np.random.default_rng(n)
